@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellarflow.llm.bpe import encode_corpus
 from cellarflow.llm.looks import same_look_pairs, with_looks
 from cellarflow.sources.tables import table
 
@@ -25,5 +26,10 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.select("token_id", "query_id", "look", "form", norm.alias("norm_form"), latin.alias("skeleton_form"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
