@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellarflow.functions.codepoints import ranges
+from cellarflow.llm.pieces import MOST_HELD, Lists, Numbered, slices
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: Unicode White_Space.
@@ -28,8 +29,6 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^S\p{L}\p{N}]+|[S]+(?![^S])|[S]+".replace("S", SPACE))
 PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 SPACE_BEFORE_SPACE = re.compile(f"[{SPACE}] ")
-MOST_HELD = 400_000  # pieces a worker remembers before it starts anew; no effect on results
-SLICE_BYTES = 8 << 20
 
 
 def read_vocabulary(path: str = DEFAULT_VOCABULARY) -> dict[str, np.ndarray]:
@@ -89,8 +88,8 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.pieces, self.words = _Numbered(), _Numbered()
-        self.piece_ids, self.word_ids = _Lists(), _Lists()
+        self.pieces, self.words = Numbered(), Numbered()
+        self.piece_ids, self.word_ids = Lists(np.int32), Lists(np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -197,52 +196,9 @@ class Encoder:
         self.piece_ids.append(ids, np.diff(ends))
 
 
-class _Numbered(dict):
-    """Numbers its keys in the order in which they are first asked for."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self.fresh.append(key)
-        self[key] = number = len(self)
-        return number
-
-    def taken(self) -> list[str]:
-        fresh, self.fresh = self.fresh, []
-        return fresh
-
-
-class _Lists:
-    """Lists of ids end to end, by number."""
-
-    def __init__(self) -> None:
-        self.ids, self.sizes, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        self.sizes, self.starts = np.concatenate([self.sizes, sizes]), np.concatenate([self.starts, starts])
-
-    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self.sizes[numbers]
-        return self.ids[ranges(self.starts[numbers], sizes)], sizes
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose texts have at most ``most`` bytes, or one row each."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes.astype(np.int64)) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def encode_corpus(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABULARY, ids: str = "ids") -> DataFrame:
     """``key`` and the list of token ids of ``text``, without special tokens: their spellings are plain text.
 
@@ -260,7 +216,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABU
         encoder = _ENCODERS[path]
         for whole in batches:
             for batch in slices(whole, 1):
-                flat, sizes = encoder.encode(pa.compute.fill_null(batch.column(1), "").to_pylist())
+                flat, sizes = encoder.encode(pc.fill_null(batch.column(1), "").to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, ids])

@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,7 +179,7 @@ def look_column(column: pa.Array, script: bool = False) -> pa.Array:
     points, offsets = look(*to_codepoints(column))
     made = from_codepoints(readable(points, offsets) if script else points, offsets)
     if column.null_count:
-        made = pa.compute.if_else(column.is_valid(), made, pa.scalar(None, made.type))
+        made = pc.if_else(column.is_valid(), made, pa.scalar(None, made.type))
     return made.cast(pa.string())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarflow.llm.bpe import encode_corpus
+from cellarflow.llm.leaks import leaked_items
 from cellarflow.llm.looks import same_look_pairs, with_looks
 from cellarflow.sources.tables import table
 
@@ -31,5 +32,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, with the items."""
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each evaluation item that leaked: its split and the number of documents that hold it."""
+    found = p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return found.join(table(spark, sf_dir, "eval_items").select("item_id", "split_name", "lang"), "item_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report}
 SQL: dict[str, str] = {}
