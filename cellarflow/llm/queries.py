@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellarflow.llm.bpe import encode_corpus
 from cellarflow.llm.leaks import leaked_items
 from cellarflow.llm.looks import same_look_pairs, with_looks
+from cellarflow.llm.subjects import assign_subjects
 from cellarflow.sources.tables import table
 
 
@@ -43,5 +44,15 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(table(spark, sf_dir, "eval_items").select("item_id", "split_name", "lang"), "item_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report}
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document, with their sentences and their share of the sentences on any subject."""
+    return assign_subjects(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "doc_subjects"), "doc_id", "subject_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that take up at least a fifth of a document's sentences on any."""
+    return p10_shares(spark, sf_dir).select("doc_id", "subject_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
