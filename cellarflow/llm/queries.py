@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 from cellarflow.llm.bpe import encode_corpus
 from cellarflow.llm.leaks import leaked_items
 from cellarflow.llm.looks import same_look_pairs, with_looks
+from cellarflow.llm.overlaps import overlap_counts, split_overlaps
 from cellarflow.llm.subjects import assign_subjects
 from cellarflow.sources.tables import table
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlaps(table(spark, sf_dir, "frames"), table(spark, sf_dir, "predictions"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training and an evaluation frame that are the same file or nearly the same picture."""
+    return _overlaps(spark, sf_dir).select(F.least("train_id", "eval_id").alias("frame_id_a"), F.greatest("train_id", "eval_id").alias("frame_id_b"))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps by evaluation split and source."""
+    return overlap_counts(_overlaps(spark, sf_dir), table(spark, sf_dir, "frames"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of tokens of one photo that look the same but are different strings."""
     return same_look_pairs(table(spark, sf_dir, "token_spans"), "token_id", "query_id", "text")
@@ -54,5 +69,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).select("doc_id", "subject_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
