@@ -9,6 +9,7 @@ from cellarflow.llm.bpe import encode_corpus
 from cellarflow.llm.leaks import leaked_items
 from cellarflow.llm.looks import same_look_pairs, with_looks
 from cellarflow.llm.overlaps import overlap_counts, split_overlaps
+from cellarflow.llm.splits import grouped_splits, split_of_records
 from cellarflow.llm.subjects import assign_subjects
 from cellarflow.sources.tables import table
 
@@ -43,6 +44,25 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.select("token_id", "query_id", "look", "form", norm.alias("norm_form"), latin.alias("skeleton_form"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame that is tied to a frame of smaller id, with the smallest of all frames tied to it."""
+    members = grouped_splits(table(spark, sf_dir, "frames"), "frame_id", ["group_key", "shooter"]).members
+    return members.where("component < record").select(F.col("component").alias("lead_frame_id"), F.col("record").alias("frame_id"))
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame with its component and its new split."""
+    return split_of_records(grouped_splits(table(spark, sf_dir, "frames"), "frame_id", ["group_key", "shooter"]), "frame_id")
+
+
+def p5_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames' splits if those taken up to the middle of 2025 come first and the others are added to the kept tables."""
+    frames = table(spark, sf_dir, "frames")
+    early = F.coalesce(F.col("taken_at") < F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(False))
+    kept = grouped_splits(frames.where(early), "frame_id", ["group_key", "shooter"])
+    return split_of_records(grouped_splits(frames.where(~early), "frame_id", ["group_key", "shooter"], kept), "frame_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -69,5 +89,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).select("doc_id", "subject_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
