@@ -58,6 +58,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def load(self, name: str) -> DataFrame:
+        """The table again, with columns that no join confuses with those of another reading."""
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def drop(self, name: str) -> None:
         self._delete(f"{self.root}/{name}")
 
