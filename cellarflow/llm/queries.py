@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellarflow.llm.bpe import encode_corpus
 from cellarflow.llm.leaks import leaked_items
 from cellarflow.llm.looks import same_look_pairs, with_looks
+from cellarflow.llm.neighbours import nearest
 from cellarflow.llm.overlaps import overlap_counts, split_overlaps
 from cellarflow.llm.splits import grouped_splits, split_of_records
 from cellarflow.llm.subjects import assign_subjects
@@ -28,6 +29,17 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_counts(_overlaps(spark, sf_dir), table(spark, sf_dir, "frames"))
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar other vectors of every vector, with their cosine."""
+    return nearest(table(spark, sf_dir, "index_vectors"), "vec_id", "vec").select(F.col("id").alias("vec_id"), F.col("other").alias("other_vec_id"), "score", "rank")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which one is among the ten most similar to the other."""
+    found = p3_neighbours(spark, sf_dir)
+    return found.select(F.least("vec_id", "other_vec_id").alias("vec_id_a"), F.greatest("vec_id", "other_vec_id").alias("vec_id_b")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of tokens of one photo that look the same but are different strings."""
     return same_look_pairs(table(spark, sf_dir, "token_spans"), "token_id", "query_id", "text")
@@ -89,5 +101,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).select("doc_id", "subject_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
