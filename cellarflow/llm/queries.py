@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellarflow.llm.bpe import encode_corpus
 from cellarflow.llm.leaks import leaked_items
 from cellarflow.llm.looks import same_look_pairs, with_looks
+from cellarflow.llm.names import match_names
 from cellarflow.llm.neighbours import nearest
 from cellarflow.llm.overlaps import overlap_counts, split_overlaps
 from cellarflow.llm.splits import grouped_splits, split_of_records
@@ -75,6 +76,18 @@ def p5_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_of_records(grouped_splits(frames.where(~early), "frame_id", ["group_key", "shooter"], kept), "frame_id")
 
 
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line that isn't blank with the entry it names (-1: none), its canonical form and norm, and how near they are."""
+    entries = table(spark, sf_dir, "lex_entries")
+    matched = match_names(table(spark, sf_dir, "text_lines"), "line_id", "text", entries)
+    return matched.join(entries.select("entry_id", "canonical", "norm"), "entry_id", "left")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line that isn't blank with the entry it names, or -1."""
+    return match_names(table(spark, sf_dir, "text_lines"), "line_id", "text", table(spark, sf_dir, "lex_entries")).select("line_id", "entry_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -101,5 +114,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).select("doc_id", "subject_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
