@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellarflow.llm.bpe import encode_corpus
 from cellarflow.llm.leaks import leaked_items
+from cellarflow.llm.listings import product_groups, product_pairs
 from cellarflow.llm.looks import same_look_pairs, with_looks
 from cellarflow.llm.names import match_names
 from cellarflow.llm.neighbours import nearest
@@ -16,6 +17,16 @@ from cellarflow.llm.subjects import assign_subjects
 from cellarflow.sources.tables import table
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing with its group and what was read of it."""
+    return product_groups(table(spark, sf_dir, "wine_cards"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listings of the same wine."""
+    return product_pairs(p1_groups(spark, sf_dir))
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlaps(table(spark, sf_dir, "frames"), table(spark, sf_dir, "predictions"))
 
@@ -114,5 +125,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).select("doc_id", "subject_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
