@@ -19,11 +19,16 @@ def test_reader():
 def test_groups(spark):
     rng = random.Random(13)
     makers = [("Востоба", "Vostoba"), ("Драшамадран", "Drashamadran"), ("Зиданет", "Zidanet"), ("Корадрот", "Koradrot"), ("Лепованом", "Lepovanom"), ("Мапетост", "Mapetost"), ("Кигогин", "Kigogin")]
-    names = [("Пашидрокир", "Pashidrokir"), ("Вашигокир", "Vashigokir"), ("Решититам", "Reshititam"), ("Сошибебис", "Soshibebis"), ("Дашишорел", "Dashishorel")]
+    syllables = [("ва", "va"), ("ши", "shi"), ("до", "do"), ("ре", "re"), ("га", "ga"), ("бу", "bu"), ("ни", "ni"), ("ко", "ko"), ("ле", "le"), ("тро", "tro")]
+    names = []  # of each maker, its own
+    while len(names) < 5 * len(makers):
+        parts = [rng.choice(syllables) for _ in range(4)]
+        names.append((("".join(a for a, _ in parts) + "р").capitalize(), ("".join(b for _, b in parts) + "r").capitalize()))
     colours, sugars = {"r": ["красное", "red", "кр."], "w": ["бел.", "blanc"]}, {"d": ["сухое", "dry"], "s": ["сладкое", "dolce"]}
     rows, truth = [], {}
     for k in range(600):
-        maker, name = rng.randrange(len(makers)), rng.randrange(len(names))
+        maker = rng.randrange(len(makers))
+        name = 5 * maker + rng.randrange(5)
         second, colour, sugar, year, size = rng.choice(["", "", " Резерв"]), rng.choice("rw"), rng.choice("ds"), rng.choice([None, 2015]), rng.choice([750, 1500])
         wine = (maker, name, second, colour, sugar, year, size)
         said = rng.choice(names[name]) + second
