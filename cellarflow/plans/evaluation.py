@@ -192,7 +192,7 @@ def ag31_sign_test(spark, d):
 
 
 def ag33_judge(spark, d):
-    rows = M.judge(truth(spark, d).where("frame_id % 7 <> 0").select(F.col("query_id").alias("id"), "slug"), answers(spark, d).select(F.col("query_id").alias("id"), F.col("predicted").alias("slug")))
+    rows = M.judge(truth(spark, d).select(F.col("query_id").alias("id"), "slug"), answers(spark, d).select(F.col("query_id").alias("id"), F.col("predicted").alias("slug")))
     return rows.withColumn("accuracy", F.round("accuracy", 6))
 
 
@@ -239,7 +239,7 @@ def ma17_thresholds(spark, d):
 
 
 def jn14_outer(spark, d):
-    both = truth(spark, d).where("frame_id % 5 <> 0").select("query_id", F.col("slug").alias("want")).join(answers(spark, d).select("query_id", F.col("predicted").alias("got")), "query_id", "full_outer")
+    both = truth(spark, d).select("query_id", F.col("slug").alias("want")).join(answers(spark, d).select("query_id", F.col("predicted").alias("got")), "query_id", "full_outer")
     return both.select("query_id", "want", "got", F.when(F.col("want").isNull() & F.col("got").isNull(), "empty").when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("want") == F.col("got"), "right").otherwise("wrong").alias("state"))
 
 
@@ -296,7 +296,7 @@ SQL = {
     "ag31_sign_test": f"""{_WITH}{_TWO}, f as (select count(*) filter (not ok and after) as fixes, count(*) filter (ok and not after) as breaks from runs union all select * from (values (18, 3), (0, 0), (5, 5), (40, 22)) v(a, b))
       select fixes, breaks, round(case when fixes + breaks = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(fixes, breaks) + 1), lambda i: exp(lgamma(fixes + breaks + 1) - lgamma(i + 1) - lgamma(fixes + breaks - i + 1) - (fixes + breaks) * ln(2))))) end, 8) as p from f""",
     "ag33_judge": f"""{_WITH} select count(*) filter (t) as n_truth, count(*) filter (t and a is null) as n_missing, count(*) filter (t is null) as n_extra, count(*) filter (t and got is not null) as n_answered, count(*) filter (t and a and want is not distinct from got) as n_right,
-      round(count(*) filter (t and a and want is not distinct from got) / nullif(count(*) filter (t), 0)::double, 6) as accuracy from (select query_id, slug as want, true as t from truth where frame_id % 7 <> 0) full join (select query_id, predicted as got, true as a from answers) using (query_id)""",
+      round(count(*) filter (t and a and want is not distinct from got) / nullif(count(*) filter (t), 0)::double, 6) as accuracy from (select query_id, slug as want, true as t from truth) full join (select query_id, predicted as got, true as a from answers) using (query_id)""",
     "ag34_coverage": "select count(*) as n, count(distinct winery) as wineries, count(*) filter (len(grapes) > 0) as grapes, count(sugar_class) as sugar, count(vintage) as vintage, count(*) filter (len(abv) > 0) as abv, count(cluster_b) as clustered from catalog_positions",
     "ag36_f1": f"""{_WITH}, r as (select k.slug is not null as in_catalogue, a.predicted is not null as answered, case when k.slug is not null then ranks.rank end as rank from truth t left join catalog_positions k on k.slug = t.slug left join answers a on a.query_id = t.query_id left join ranks on ranks.query_id = t.query_id),
       s as (select count(*) filter (rank <= 1) / count(*) filter (answered)::double as p1, count(*) filter (rank <= 1) / count(*) filter (in_catalogue)::double as r1, count(*) filter (rank <= 5) / count(*) filter (answered)::double as p5, count(*) filter (rank <= 5) / count(*) filter (in_catalogue)::double as r5 from r)
@@ -306,7 +306,7 @@ SQL = {
     "ag43_set_stats": f"""{_WITH} select set_name, n, r as "right", round(r / n::double, 4) as share, abs(round(r / n::double, 4) * n - r) < 0.5 as agrees from (select set_name, count(*) as n, count(*) filter (ok) as r from judged group by 1)""",
     "ag46_truth_rank": f"{_WITH} select case when k.slug is null then 'out' when rank <= 5 then rank::varchar else '>5' end as rank, count(*) as n from truth t left join catalog_positions k on k.slug = t.slug left join ranks using (query_id) where t.slug is not null group by 1",
     "jn14_outer": f"""{_WITH} select query_id, want, got, case when want is null and got is null then 'empty' when got is null then 'missing' when want is null then 'extra' when want = got then 'right' else 'wrong' end as state
-      from (select query_id, slug as want from truth where frame_id % 5 <> 0) full join (select query_id, predicted as got from answers) using (query_id)""",
+      from (select query_id, slug as want from truth) full join (select query_id, predicted as got from answers) using (query_id)""",
     "ma17_thresholds": f"""{_WITH}, r as (select (length(query_id) + substr(query_id, 3)::bigint) % 4 as fold, margin, ok from judged where margin is not null), o as (select h.fold as held, r.* from r, (select distinct fold from r) h where r.fold <> h.fold),
       c as (select held, margin, count(*) filter (ok) over (partition by held order by margin desc range unbounded preceding) + count(*) filter (not ok) over (partition by held) - count(*) filter (not ok) over (partition by held order by margin desc range unbounded preceding) as good from o),
       b as (select held, arg_max(margin, struct_pack(g := good, m := -margin)) as threshold from c group by 1) select fold, any_value(threshold) as threshold, round(avg(((margin >= threshold) = ok)::int), 6) as accuracy from r join b on r.fold = b.held group by fold""",

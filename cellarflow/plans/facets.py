@@ -1,2 +1,378 @@
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+"""Queries of facets, recommendation and rules: on the catalogue, and part × supplier as wine × dish."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cellarflow.operators import facets as C
+from cellarflow.operators import rules as R
+from cellarflow.sources.tables import table
+
+
+def _rows(spark, d):
+    rows = table(spark, d, "catalog_positions")
+    return rows.select("slug", "name", "winery", "category", "grapes", "sugar_class", "vintage", F.try_element_at("abv", F.lit(1)).alias("strength"), "cluster_b")
+
+
+def _anchors(spark, d):
+    """The first position of every winery is an anchor that others are compared with."""
+    return _rows(spark, d).where("winery is not null").groupBy("winery").agg(F.min_by(F.struct("slug", "name", "category", "grapes", "sugar_class", "vintage", "strength", "cluster_b"), "slug").alias("a")).select("winery", "a.*")
+
+
+def _near(spark, d):
+    return C.similar_pairs(_anchors(spark, d).withColumn("block", F.col("category")), _rows(spark, d).withColumn("block", F.col("category")), ["block"])
+
+
+def pf01_keys(spark, d):
+    rows = _rows(spark, d)
+    return rows.select("slug", F.array_join(F.array_sort(F.array_distinct(F.transform(F.coalesce("grapes", F.array().cast("array<string>")), lambda g: F.translate(F.lower(g), "ё", "е")))), "|").alias("grape_keys"), F.translate(F.lower("winery"), "ё", "е").alias("winery_key"), C.sugar_step("sugar_class").alias("sugar"))
+
+
+def pf03_pool(spark, d):
+    rows = table(spark, d, "catalog_positions")
+    return rows.where((F.coalesce(F.size("noise_flags"), F.lit(0)) <= 0) & F.col("category").isNotNull()).select("slug", "category")
+
+
+def pf04_style_pool(spark, d):
+    return C.pool(table(spark, d, "part"), p_brand="Brand#2", p_type=None, p_size=None).select("p_partkey", "p_brand", "p_type")
+
+
+def pf05_excluded(spark, d):
+    pairs = _anchors(spark, d).select(F.col("slug").alias("a_slug"), F.col("winery").alias("a_winery"), F.col("cluster_b").alias("a_cluster"), "category").join(_rows(spark, d), "category")
+    kept = pairs.where(~((F.col("slug") == F.col("a_slug")) | F.coalesce(F.col("cluster_b") == F.col("a_cluster"), F.lit(False)) | F.coalesce(F.col("winery") == F.col("a_winery"), F.lit(False))))
+    return kept.groupBy("a_slug").agg(F.count("*").alias("n"))
+
+
+def pf06_sugar_close(spark, d):
+    rows = _rows(spark, d)
+    return rows.select("slug", C.close_ordinal(C.sugar_step("sugar_class"), F.lit(1)).alias("close"))
+
+
+def pf07_differs(spark, d):
+    pairs = _near(spark, d)
+    flag = C.differs([(F.col("sugar_class"), F.col("a_sugar_class"))], (F.col("strength"), F.col("a_strength")), (F.col("grapes"), F.col("a_grapes")))
+    return pairs.groupBy("a_slug").agg(F.count("*").alias("n"), F.count_if(flag).alias("n_differ"))
+
+
+def pf08_contradicts(spark, d):
+    rows = _rows(spark, d)
+    bad = F.coalesce((F.col("sugar_class") != "suhoe"), F.lit(False)) | F.coalesce(~F.col("category").isin("Белое", "Оранжевое"), F.lit(False))
+    return rows.select("slug", bad.alias("contradicts"))
+
+
+def pf09_agreement(spark, d):
+    pairs = _near(spark, d)
+    rows = pairs.select(C.agreement_sets(F.col("grapes"), F.col("a_grapes")).alias("grapes"), C.agreement(F.col("sugar_class"), F.col("a_sugar_class")).alias("sugar"), C.agreement(F.col("strength"), F.col("a_strength"), 0.05).alias("strength"))
+    return rows.groupBy("grapes", "sugar", "strength").agg(F.count("*").alias("n"))
+
+
+def pf10_minus_groups(spark, d):
+    rows = _rows(spark, d)
+    out = rows.where("winery = 'Пистагир'").select("cluster_b").where("cluster_b is not null").distinct()
+    return rows.join(out, "cluster_b", "left_anti").select("slug")
+
+
+def pf11_rules(spark, d):
+    names = {c: F.col(c) for c in ("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")} | {"line.price": F.col("l_extendedprice")}
+    texts = {"cheap": "line.price / l_quantity < 1000 and l_discount >= 0.05", "flagged": "l_returnflag in {'A', 'R'} and not l_linestatus == 'O'", "mid": "0.02 <= l_tax <= 0.05 or abs(l_quantity - 25) < 3", "sets": "len({'A', 'R'} & {l_returnflag}) == 1"}
+    rows = table(spark, d, "lineitem").select("l_returnflag", *[F.coalesce(R.compile_rule(t, names), F.lit(False)).alias(n) for n, t in texts.items()])
+    return rows.groupBy(*texts).agg(F.count("*").alias("n"))
+
+
+def pf13_requirements(spark, d):
+    wanted = F.when(F.col("p_size") % 3 == 0, "10-30").when(F.col("p_size") % 3 == 1, "<=15 or >= 40").otherwise("25")
+    ranges = R.requirement_ranges(wanted)
+    price = R.requirement_ranges(F.when(F.col("p_partkey") % 2 == 0, "900-1000"))
+    rows = table(spark, d, "part").withColumn("fit", R.satisfied_share({"size": (F.col("p_size").cast("double"), ranges), "price": (F.col("p_retailprice"), price)}))
+    return rows.select("p_partkey", F.round("fit", 6).alias("fit"))
+
+
+def pf12_ranges(spark, d):
+    wanted = F.when(F.col("p_size") % 3 == 0, "tannin 1.5-3").when(F.col("p_size") % 3 == 1, "<=1 or >= 4").otherwise("0 or 2 - 3")
+    return table(spark, d, "part").select("p_partkey", F.inline(R.requirement_ranges(wanted)))
+
+
+def pf14_limited(spark, d):
+    order = Window.partitionBy("l_returnflag").orderBy(F.sha2(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), 256), "l_extendedprice")
+    return table(spark, d, "lineitem").withColumn("n", F.row_number().over(order)).where("n <= 20").select("l_returnflag", "l_orderkey", "n")
+
+
+def pf15_states(spark, d):
+    rows = table(spark, d, "frames")
+    state = F.when(F.col("failure").isNotNull(), "failed").when(F.col("p_top1").isNull(), "unknown").when(F.col("p_top1") >= 0.8, "sure").when(F.col("p_top1") >= 0.5, "likely").otherwise("ambiguous")
+    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def pf16_abstain(spark, d):
+    from cellarflow.plans.evaluation import answers
+
+    rows = answers(spark, d)
+    low, tight = F.coalesce(F.col("margin") < 0.03, F.lit(False)), F.coalesce(F.size("candidates") < 3, F.lit(True))
+    slow, unknown = F.coalesce(F.col("latency_ms") > 1500, F.lit(False)), F.col("predicted").isNull()
+    return rows.select("query_id", low.alias("low_margin"), tight.alias("few"), slow.alias("slow"), unknown.alias("no_answer"), (low & (tight | slow) | unknown).alias("abstain"))
+
+
+def pf17_evaluable(spark, d):
+    return _rows(spark, d).select("slug", (F.col("sugar_class").isNotNull() | F.col("strength").isNotNull() | (F.coalesce(F.size("grapes"), F.lit(0)) > 0)).alias("evaluable"))
+
+
+def pf20_storage(spark, d):
+    rows = table(spark, d, "part")
+    rule = F.when(F.col("p_type") == "PROMO", "soon").when((F.col("p_size") >= 40) & (F.col("p_retailprice") > 950), "years").when(F.col("p_size") >= 20, "year").otherwise("cool")
+    return rows.groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
+
+
+def pf22_groups(spark, d):
+    group = F.when(F.col("p_partkey").isin(3, 7, 11), "special").when(F.col("p_type").isin("ECONOMY", "SMALL"), "light").when(F.col("p_type") == "PROMO", "festive").otherwise("other")
+    return table(spark, d, "part").groupBy(group.alias("g")).agg(F.count("*").alias("n"))
+
+
+def st01_jaccard(spark, d):
+    return _near(spark, d).groupBy("a_slug").agg(F.max("alike").alias("best"), F.round(F.avg("alike"), 6).alias("mean"))
+
+
+def _order():
+    return [F.col("alike").desc(), F.col("sugar_gap"), F.col("strength_gap"), F.col("slug")]
+
+
+def so01_similar(spark, d):
+    ranked = _near(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("a_slug").orderBy(*_order())))
+    return ranked.where("place <= 5").select("a_slug", "slug", "place", "alike", "sugar_gap")
+
+
+def so02_nearness(spark, d):
+    order = Window.partitionBy("a_slug").orderBy("sugar_gap", "strength_gap", F.col("alike").desc(), "slug")
+    return _near(spark, d).withColumn("place", F.row_number().over(order)).where("place <= 3").select("a_slug", "slug", "place")
+
+
+def so03_two_stage(spark, d):
+    """Three with the anchor's category and sugar; where there are fewer, all of the category, its own sugar first."""
+    pairs = _near(spark, d).withColumn("style", F.coalesce(F.col("sugar_class") == F.col("a_sugar_class"), F.lit(False)))
+    n = F.count_if("style").over(Window.partitionBy("a_slug"))
+    found = pairs.withColumn("widened", n < 3).where(F.col("style") | F.col("widened"))
+    order = Window.partitionBy("a_slug").orderBy(F.col("style").desc(), *_order())
+    return found.withColumn("place", F.row_number().over(order)).where("place <= 3").select("a_slug", "slug", "place", "widened")
+
+
+def so04_plain(spark, d):
+    order = Window.partitionBy("category").orderBy(F.lower("name"), "slug")
+    return _rows(spark, d).where("category is not null and name is not null").withColumn("place", F.row_number().over(order)).where("place <= 10").select("category", "slug", "place")
+
+
+def so05_same_winery(spark, d):
+    order = Window.partitionBy("winery").orderBy(F.col("vintage").desc_nulls_last(), "slug")
+    return _rows(spark, d).where("winery is not null").withColumn("place", F.row_number().over(order)).where("place <= 6").select("winery", "slug", "place")
+
+
+def wn07_one_per_winery(spark, d):
+    return C.one_per_group(_near(spark, d), ["a_slug"], "winery", _order(), 4).select("a_slug", "slug", "winery", "place")
+
+
+def wn08_contrast(spark, d):
+    ranked = _near(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("a_slug").orderBy(*_order())))
+    flag = F.coalesce(F.col("sugar_class") != F.col("a_sugar_class"), F.lit(False))
+    return C.with_contrast(ranked.withColumn("differs", flag), ["a_slug"], "place", "differs", 3).select("a_slug", "slug", "place", "differs")
+
+
+def wn14_evenly(spark, d):
+    rows = table(spark, d, "part").select("p_partkey").withColumn("i", F.row_number().over(Window.orderBy("p_partkey")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    picks = spark.range(20).withColumnRenamed("id", "k")
+    return rows.join(F.broadcast(picks), F.col("i") == F.floor(F.col("k") * F.col("n") / 20)).select("k", "p_partkey")
+
+
+def _profile(spark, d):
+    rows = _rows(spark, d)
+    priors = rows.select(F.explode("grapes").alias("grape"), "strength").groupBy("grape").agg(F.avg("strength").alias("p_strength"))
+    own = rows.select("slug", F.explode_outer("grapes").alias("grape")).join(priors, "grape", "left").groupBy("slug").agg(F.avg("p_strength").alias("p_strength"))
+    made = rows.join(own, "slug").withColumn("age", C.age_shift(F.col("vintage"), 2026))
+    body = F.least(F.greatest(C.strength_axis(F.coalesce("strength", "p_strength")) + F.col("age") * 0.05, F.lit(0.0)), F.lit(5.0))
+    return made.select("slug", "category", "sugar_class", F.round(body, 2).alias("body"), F.round(C.sugar_step("sugar_class") * 1.25, 2).alias("sweet"), F.when(F.col("strength").isNotNull(), "card").when(F.col("p_strength").isNotNull(), "grape").otherwise("none").alias("source"))
+
+
+def ma01_profile(spark, d):
+    return _profile(spark, d).select("slug", "body", "sweet", "source")
+
+
+def ma02_age(spark, d):
+    return _rows(spark, d).select("slug", C.age_shift(F.col("vintage"), 2026).alias("shift"))
+
+
+def ma03_axis(spark, d):
+    return _rows(spark, d).select("slug", F.round(C.strength_axis(F.col("strength")), 6).alias("axis"))
+
+
+def ma06_move(spark, d):
+    """Whether a wine is lighter than its anchor: strength first, then the profile's body by at least 0.3; sweeter vetoes."""
+    body = _profile(spark, d).select("slug", "body")
+    pairs = _near(spark, d).join(body, "slug").join(body.select(F.col("slug").alias("a_slug"), F.col("body").alias("a_body")), "a_slug")
+    by_fact = F.when(F.abs(F.col("strength") - F.col("a_strength")) >= 0.5, F.col("strength") < F.col("a_strength"))
+    by_body = F.round(F.col("a_body") - F.col("body"), 6) >= 0.3
+    veto = F.coalesce(C.sugar_step("sugar_class") > C.sugar_step("a_sugar_class"), F.lit(False))
+    return pairs.groupBy("a_slug").agg(F.count_if(F.coalesce(by_fact, by_body, F.lit(False)) & ~veto).alias("lighter"), F.count_if(veto).alias("vetoed"))
+
+
+def so11_profile_distance(spark, d):
+    p = _profile(spark, d)
+    a = p.join(_anchors(spark, d).select("slug"), "slug").select(F.col("slug").alias("a_slug"), "category", F.col("body").alias("ab"), F.col("sweet").alias("asw"))
+    distance, known = C.profile_distance([F.col("body"), F.col("sweet")], [F.col("ab"), F.col("asw")])
+    rows = a.join(p, "category").where("slug <> a_slug").withColumn("distance", F.round(distance, 4)).withColumn("known", known).where("known > 0")
+    order = Window.partitionBy("a_slug").orderBy("distance", F.col("known").desc(), "slug")
+    return rows.withColumn("place", F.row_number().over(order)).where("place <= 3").select("a_slug", "slug", "distance", "known", "place")
+
+
+RULE_WEIGHTS = [("price_fits", 2.0), ("size_clash", -3.5), ("same_digit", 1.0), ("poor", -1.0), ("festive", 1.5)]
+
+
+def _pairs(spark, d):
+    """Every part with every supplier: suppliers are the few dishes of the menu, sent to each task."""
+    dishes = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    pairs = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice", "p_brand").crossJoin(F.broadcast(dishes))
+    rules = [("price_fits", 2.0, F.abs(F.col("p_retailprice") * 5 - F.col("s_acctbal")) < 1000), ("size_clash", -3.5, (F.col("p_size") > 40) & (F.col("s_nationkey") < 5)), ("same_digit", 1.0, F.col("p_size") % 10 == F.col("s_nationkey") % 10), ("poor", -1.0, F.col("s_acctbal") < 0), ("festive", 1.5, F.col("p_type") == "PROMO")]
+    return R.score_rules(pairs, rules)
+
+
+def jn09_rule_join(spark, d):
+    return _pairs(spark, d).groupBy("total", F.array_join("plus", ",").alias("plus"), F.array_join("minus", ",").alias("minus")).agg(F.count("*").alias("n"))
+
+
+def jn10_first_rule(spark, d):
+    rules = spark.createDataFrame([(1, "promo big", "PROMO", 30), (2, "any big", None, 40), (3, "economy", "ECONOMY", None), (4, "rest", None, None)], "ord int, rule string, p_type string, size_min int")
+    return R.first_rule(table(spark, d, "part").select("p_partkey", "p_type", "p_size"), "p_partkey", rules, ["p_type"], {"p_size": "size_min"})
+
+
+def ma04_fit(spark, d):
+    rows = _pairs(spark, d).select("p_partkey", "s_suppkey", F.round(R.fit_score(F.col("total")), 6).alias("score"))
+    return rows.groupBy("score").agg(F.count("*").alias("n"))
+
+
+def _verdicts(spark, d):
+    rows = _pairs(spark, d).withColumn("score", R.fit_score(F.col("total")))
+    n = F.size("plus") + F.size("minus")
+    return rows.withColumn("verdict", R.verdict(F.col("score"), F.when(F.array_contains("minus", "size_clash"), -3.5), n, F.array_contains("minus", "poor")))
+
+
+def ma05_verdicts(spark, d):
+    return _verdicts(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def jn11_goes_with(spark, d):
+    yes = _verdicts(spark, d).where("verdict = 'yes' and s_nationkey = 3").select("p_partkey").distinct()
+    return table(spark, d, "part").join(yes, "p_partkey", "left_semi").select("p_partkey")
+
+
+def jn24_verdict_lookup(spark, d):
+    few = _verdicts(spark, d).where("verdict <> 'neutral'").select("p_partkey", "s_suppkey", "verdict")
+    asked = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    return asked.join(few, ["p_partkey", "s_suppkey"], "left").groupBy(F.coalesce("verdict", F.lit("neutral")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def ag45_group_verdict(spark, d):
+    order = F.when(F.col("verdict") == "yes", 0).when(F.col("verdict") == "caveat", 1).when(F.col("verdict") == "neutral", 2).otherwise(3)
+    return _verdicts(spark, d).groupBy("p_partkey", "s_nationkey").agg(F.min(order).alias("best")).groupBy("best").agg(F.count("*").alias("n"))
+
+
+def so08_top_dishes(spark, d):
+    rows = _verdicts(spark, d).where("verdict = 'yes'")
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("p_partkey", "s_nationkey").orderBy(F.col("total").desc(), "s_suppkey"))).where("k = 1")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.col("total").desc(), "s_suppkey"))).where("place <= 5").select("p_partkey", "s_suppkey", "place")
+
+
+def so07_rule_order(spark, d):
+    rows = spark.createDataFrame([(n, w) for n, w in RULE_WEIGHTS], "id string, weight double")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.abs("weight").desc(), "id")))
+
+
+def ma28_chip_source(spark, d):
+    level = F.create_map(*[F.lit(x) for pair in {"card": 0, "grape": 1, "none": 2}.items() for x in pair])
+    rows = _profile(spark, d).select("slug", F.array(F.col("source"), F.when(F.col("sugar_class").isNull(), "none").otherwise("card")).alias("s"))
+    return rows.select("slug", F.array_max(F.transform("s", lambda x: level[x])).alias("weakest"))
+
+
+def so15_by_label(spark, d):
+    """By winery and category read from a label: up to six of the winery, then three similar of others."""
+    asked = _anchors(spark, d).select(F.col("winery").alias("said"), F.col("category").alias("wanted"))
+    own = asked.join(_rows(spark, d), F.col("said") == F.col("winery"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("said").orderBy(F.col("vintage").desc_nulls_last(), "slug"))).where("place <= 6").select("said", "slug", F.lit("winery").alias("part"), "place")
+    near = so01_similar(spark, d).where("place <= 3").join(_anchors(spark, d).select(F.col("slug").alias("a_slug"), F.col("winery").alias("said")), "a_slug").select("said", "slug", F.lit("similar").alias("part"), "place")
+    return own.unionByName(near)
+
+
+def so19_question(spark, d):
+    """Per cluster: the first field of a fixed order with two or more known values among its members."""
+    rows = _rows(spark, d).where("cluster_b is not null").groupBy("cluster_b").agg(F.count("*").alias("n"), *[F.countDistinct(c).alias(c) for c in ("category", "sugar_class", "vintage", "winery")])
+    return rows.select("cluster_b", "n", F.coalesce(*[F.when(F.col(c) >= 2, F.lit(c)) for c in ("category", "sugar_class", "vintage", "winery")]).alias("field"))
+
+
+def so16_similar_cards(spark, d):
+    near = so01_similar(spark, d).where("place <= 3").join(_rows(spark, d).select("slug", "name", "winery"), "slug")
+    return near.select("a_slug", "slug", "place", F.concat_ws(" / ", "name", "winery", F.when(F.col("alike") == 1, "same grapes").when(F.col("alike") > 0, "shares grapes"), F.when(F.col("sugar_gap") == 0, "as sweet")).alias("note"))
+
+
+def so17_dish_check(spark, d):
+    """Where a dish is no match for a part: the nearest parts by price of the same brand that go with it."""
+    rows = _verdicts(spark, d).select("p_partkey", "s_suppkey", "p_brand", "p_retailprice", "verdict")
+    bad = rows.where("verdict = 'no' and s_suppkey < 10").select("s_suppkey", "p_brand", F.col("p_partkey").alias("asked"), F.col("p_retailprice").alias("price"))
+    good = rows.where("verdict = 'yes' and s_suppkey < 10").select("s_suppkey", "p_brand", "p_partkey", "p_retailprice")
+    near = bad.join(good, ["s_suppkey", "p_brand"]).withColumn("gap", F.abs(F.col("price") - F.col("p_retailprice")))
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("s_suppkey", "asked").orderBy("gap", "p_partkey"))).where("place <= 2").select("s_suppkey", "asked", "p_partkey", "place")
+
+
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("pf", "st", "so", "wn", "ma", "jn", "ag") and n[2:4].isdigit()}
+_R = "rows as (select slug, name, winery, category, grapes, sugar_class, vintage, abv[1] as strength, cluster_b from catalog_positions)"
+_STEP = "case lower({0}) when 'extra_brut' then 0 when 'ekstra_bryut' then 0 when 'brut' then 1 when 'suhoe' then 1 when 'polusuhoe' then 2 when 'polusladkoe' then 3 when 'sladkoe' then 4 end"
+_A = "anchors as (select * from rows where winery is not null qualify row_number() over (partition by winery order by slug) = 1)"
+_G = "len(list_distinct(list_concat(coalesce(r.grapes, []), coalesce(a.grapes, []))))"
+_N = f"""near as (select a.slug as a_slug, r.slug, r.winery, r.sugar_class, a.sugar_class as a_sugar_class, r.strength, a.strength as a_strength, r.grapes, a.grapes as a_grapes,
+  round(case when {_G} = 0 then 0.0 else len(list_intersect(coalesce(r.grapes, []), coalesce(a.grapes, []))) / {_G}::double end, 6) as alike, coalesce(abs({_STEP.format('r.sugar_class')} - {_STEP.format('a.sugar_class')}), 9) as sugar_gap,
+  round(coalesce(abs(r.strength - a.strength), 3.0), 6) as strength_gap from anchors a join rows r using (category) where r.slug <> a.slug and r.winery is distinct from a.winery)"""
+_WITH = f"with {_R}, {_A}, {_N}"
+_ORD = "alike desc, sugar_gap, strength_gap, slug"
+_RULES = """pairs as (select p_partkey, p_type, p_size, p_retailprice, p_brand, s_suppkey, s_nationkey, abs(p_retailprice * 5 - s_acctbal) < 1000 as r1, p_size > 40 and s_nationkey < 5 as r2, p_size % 10 = s_nationkey % 10 as r3, s_acctbal < 0 as r4, p_type = 'PROMO' as r5 from part, supplier),
+scored as (select *, (case when r1 then 2 else 0 end + case when r2 then -3.5 else 0 end + case when r3 then 1 else 0 end + case when r4 then -1 else 0 end + case when r5 then 1.5 else 0 end)::double as total from pairs),
+verdicts as (select *, least(1 / (1 + exp(-total / 5)), 0.96) as score, case when not (r1 or r2 or r3 or r4 or r5) then 'neutral' when r2 or least(1 / (1 + exp(-total / 5)), 0.96) < 0.55 then 'no' when r4 then 'caveat' else 'yes' end as verdict from scored)"""
+SQL = {
+    "pf01_keys": f"select slug, array_to_string(list_sort(list_distinct(list_transform(coalesce(grapes, []), lambda g: replace(lower(g), 'ё', 'е')))), '|') as grape_keys, replace(lower(winery), 'ё', 'е') as winery_key, {_STEP.format('sugar_class')} as sugar from catalog_positions",
+    "pf03_pool": "select slug, category from catalog_positions where coalesce(len(noise_flags), 0) = 0 and category is not null",
+    "pf04_style_pool": "select p_partkey, p_brand, p_type from part where p_brand = 'Brand#2'",
+    "pf05_excluded": f"with {_R}, {_A} select a.slug as a_slug, count(*) as n from anchors a join rows r using (category) where not (r.slug = a.slug or coalesce(r.cluster_b = a.cluster_b, false) or coalesce(r.winery = a.winery, false)) group by 1",
+    "pf06_sugar_close": f"select slug, coalesce(abs({_STEP.format('sugar_class')} - 1) <= 1, true) as close from catalog_positions",
+    "pf07_differs": f"{_WITH} select a_slug, count(*) as n, count(*) filter (coalesce(sugar_class <> a_sugar_class, false) or coalesce(abs(strength - a_strength) >= 0.5, false) or coalesce(len(grapes) > 0 and len(a_grapes) > 0 and list_sort(grapes) <> list_sort(a_grapes), false)) as n_differ from near group by 1",
+    "pf08_contradicts": "select slug, coalesce(sugar_class <> 'suhoe', false) or coalesce(category not in ('Белое', 'Оранжевое'), false) as contradicts from catalog_positions",
+    "pf09_agreement": f"""{_WITH} select case when coalesce(len(grapes), 0) = 0 or coalesce(len(a_grapes), 0) = 0 then 'unknown' when list_has_any(grapes, a_grapes) then 'match' else 'conflict' end as grapes, case when sugar_class is null or a_sugar_class is null then 'unknown' when sugar_class = a_sugar_class then 'match' else 'conflict' end as sugar,
+      case when strength is null or a_strength is null then 'unknown' when abs(strength - a_strength) <= 0.05 then 'match' else 'conflict' end as strength, count(*) as n from near group by 1, 2, 3""",
+    "pf10_minus_groups": "select slug from catalog_positions where cluster_b is null or cluster_b not in (select cluster_b from catalog_positions where winery = 'Пистагир' and cluster_b is not null)",
+    "pf11_rules": """select coalesce(case when l_extendedprice / l_quantity < 1000 then l_discount >= 0.05 else false end, false) as cheap, coalesce(l_returnflag in ('A', 'R') and not l_linestatus = 'O', false) as flagged, coalesce((l_tax >= 0.02 and l_tax <= 0.05) or abs(l_quantity - 25) < 3, false) as mid, l_returnflag in ('A', 'R') as sets, count(*) as n from lineitem group by 1, 2, 3, 4""",
+    "pf13_requirements": """with f as (select p_partkey, case p_size % 3 when 0 then p_size between 9.5 and 30.5 when 1 then p_size <= 15.5 or p_size >= 39.5 else p_size between 24.5 and 25.5 end as a, p_retailprice between 899.5 and 1000.5 as b from part)
+      select p_partkey, round((2.0 * (a::int + case when p_partkey % 2 = 0 then b::int else 0 end) / case when p_partkey % 2 = 0 then 2 else 1 end - 1)::double, 6) as fit from f""",
+    "pf15_states": "select case when failure is not null then 'failed' when p_top1 is null then 'unknown' when p_top1 >= 0.8 then 'sure' when p_top1 >= 0.5 then 'likely' else 'ambiguous' end as state, count(*) as n from frames group by 1",
+    "pf14_limited": "select l_returnflag, l_orderkey, row_number() over (partition by l_returnflag order by sha256(l_orderkey || '-' || l_linenumber || '-' || l_partkey), l_extendedprice)::int as n from lineitem qualify n <= 20",
+    "pf17_evaluable": "select slug, sugar_class is not null or abv[1] is not null or coalesce(len(grapes), 0) > 0 as evaluable from catalog_positions",
+    "pf20_storage": "select case when p_type = 'PROMO' then 'soon' when p_size >= 40 and p_retailprice > 950 then 'years' when p_size >= 20 then 'year' else 'cool' end as rule, count(*) as n from part group by 1",
+    "pf22_groups": "select case when p_partkey in (3, 7, 11) then 'special' when p_type in ('ECONOMY', 'SMALL') then 'light' when p_type = 'PROMO' then 'festive' else 'other' end as g, count(*) as n from part group by 1",
+    "st01_jaccard": f"{_WITH} select a_slug, max(alike) as best, round(avg(alike), 6) as mean from near group by 1",
+    "so01_similar": f"{_WITH} select a_slug, slug, row_number() over (partition by a_slug order by {_ORD})::int as place, alike, sugar_gap from near qualify place <= 5",
+    "so02_nearness": f"{_WITH} select a_slug, slug, row_number() over (partition by a_slug order by sugar_gap, strength_gap, alike desc, slug)::int as place from near qualify place <= 3",
+    "so03_two_stage": f"{_WITH}, s as (select *, coalesce(sugar_class = a_sugar_class, false) as style from near), w as (select *, count(*) filter (style) over (partition by a_slug) < 3 as widened from s) select a_slug, slug, row_number() over (partition by a_slug order by style desc, {_ORD})::int as place, widened from w where style or widened qualify place <= 3",
+    "so04_plain": "select category, slug, row_number() over (partition by category order by lower(name), slug)::int as place from catalog_positions where category is not null and name is not null qualify place <= 10",
+    "so05_same_winery": "select winery, slug, row_number() over (partition by winery order by vintage desc nulls last, slug)::int as place from catalog_positions where winery is not null qualify place <= 6",
+    "wn07_one_per_winery": f"{_WITH}, g as (select *, row_number() over (partition by a_slug, winery order by {_ORD}) as k from near) select a_slug, slug, winery, row_number() over (partition by a_slug order by k > 1, {_ORD})::int as place from g qualify place <= 4",
+    "wn08_contrast": f"""{_WITH}, r as (select *, row_number() over (partition by a_slug order by {_ORD})::int as place, coalesce(sugar_class <> a_sugar_class, false) as differs from near),
+      m as (select *, max(case when place <= 3 then differs::int end) over (partition by a_slug) = 1 as has, min(case when place > 3 and differs then place end) over (partition by a_slug) as nearest from r)
+      select a_slug, slug, least(place, 3) as place, differs from m where place < 3 or (place = 3 and (has or nearest is null)) or (not has and place = nearest)""",
+    "wn14_evenly": "select k, p_partkey from (select p_partkey, row_number() over (order by p_partkey) - 1 as i, count(*) over () as n from part), range(20) t(k) where i = k * n // 20",
+    "ma02_age": "select slug, coalesce(case when 2026 - vintage >= 3 then least(2026 - vintage, 12) end, 0) as shift from catalog_positions",
+    "ma03_axis": "select slug, round(least(greatest((abv[1] - 8.0) * (5.0::double / 8.0::double), 0), 5), 6) as axis from catalog_positions where abv[1] is not null union all select slug, null from catalog_positions where abv[1] is null",
+    "jn09_rule_join": f"with {_RULES} select total, concat_ws(',', case when r1 then 'price_fits' end, case when r5 then 'festive' end, case when r3 then 'same_digit' end) as plus, concat_ws(',', case when r2 then 'size_clash' end, case when r4 then 'poor' end) as minus, count(*) as n from scored group by 1, 2, 3",
+    "jn10_first_rule": "select p_partkey, case when p_type = 'PROMO' and p_size >= 30 then 'promo big' when p_size >= 40 then 'any big' when p_type = 'ECONOMY' then 'economy' else 'rest' end as rule from part",
+    "ma04_fit": f"with {_RULES} select round(score, 6) as score, count(*) as n from verdicts group by 1",
+    "ma05_verdicts": f"with {_RULES} select verdict, count(*) as n from verdicts group by 1",
+    "jn11_goes_with": f"with {_RULES} select distinct p_partkey from verdicts where verdict = 'yes' and s_nationkey = 3",
+    "jn24_verdict_lookup": f"with {_RULES} select coalesce(nullif(verdict, 'neutral'), 'neutral') as verdict, count(*) as n from (select distinct l_partkey, l_suppkey from lineitem) left join verdicts on p_partkey = l_partkey and s_suppkey = l_suppkey group by 1",
+    "ag45_group_verdict": f"with {_RULES} select best, count(*) as n from (select min(case verdict when 'yes' then 0 when 'caveat' then 1 when 'neutral' then 2 else 3 end) as best from verdicts group by p_partkey, s_nationkey) group by 1",
+    "so08_top_dishes": f"with {_RULES}, f as (select * from verdicts where verdict = 'yes' qualify row_number() over (partition by p_partkey, s_nationkey order by total desc, s_suppkey) = 1) select p_partkey, s_suppkey, row_number() over (partition by p_partkey order by total desc, s_suppkey)::int as place from f qualify place <= 5",
+    "so07_rule_order": "select *, row_number() over (order by abs(weight) desc, id)::int as place from (values ('price_fits', 2.0::double), ('size_clash', -3.5), ('same_digit', 1.0), ('poor', -1.0), ('festive', 1.5)) v(id, weight)",
+    "so15_by_label": f"{_WITH} select a.winery as said, r.slug, 'winery' as part, row_number() over (partition by a.winery order by r.vintage desc nulls last, r.slug)::int as place from anchors a join rows r on r.winery = a.winery qualify place <= 6 union all select a.winery, n.slug, 'similar', row_number() over (partition by a_slug order by n.alike desc, n.sugar_gap, n.strength_gap, n.slug)::int as place from near n join anchors a on a.slug = n.a_slug qualify place <= 3",
+    "so19_question": "select cluster_b, count(*) as n, case when count(distinct category) >= 2 then 'category' when count(distinct sugar_class) >= 2 then 'sugar_class' when count(distinct vintage) >= 2 then 'vintage' when count(distinct winery) >= 2 then 'winery' end as field from catalog_positions where cluster_b is not null group by 1",
+    "so17_dish_check": f"with {_RULES}, b as (select * from verdicts where verdict = 'no' and s_suppkey < 10), g as (select * from verdicts where verdict = 'yes' and s_suppkey < 10) select b.s_suppkey, b.p_partkey as asked, g.p_partkey, row_number() over (partition by b.s_suppkey, b.p_partkey order by abs(b.p_retailprice - g.p_retailprice), g.p_partkey)::int as place from b join g on b.s_suppkey = g.s_suppkey and b.p_brand = g.p_brand qualify place <= 2",
+}
