@@ -129,16 +129,30 @@ def satisfied_share(axes: dict[str, tuple[Column, Column]], slack: float = 0.5)
     return F.when(n == 0, 0.0).otherwise(2 * met / n - 1)
 
 
-def score_rules(pairs: DataFrame, rules: list[tuple[str, float, Column]]) -> DataFrame:
-    """``pairs`` with total, plus and minus: the sum of the weights of the rules that hold, and their ids by sign.
+def rule_mask(rules: list[tuple[str, float, Column]]) -> Column:
+    """A number with a bit for each rule that holds, the first rule the lowest."""
+    return sum((F.when(F.coalesce(c, F.lit(False)), 1 << i).otherwise(0) for i, (_, _, c) in enumerate(rules)), F.lit(0))
 
-    Ids are ordered by falling absolute weight, then id.
-    """
+
+def decoded_mask(mask: Column, rules: list[tuple[str, float, Column]]) -> dict[str, Column]:
+    """total, plus and minus of a rule mask, as score_rules gives them."""
+    return _scores([(name, weight, mask.bitwiseAND(1 << i) != 0) for i, (name, weight, _) in enumerate(rules)])
+
+
+def _scores(rules: list[tuple[str, float, Column]]) -> dict[str, Column]:
     ordered = sorted(rules, key=lambda r: (-abs(r[1]), r[0]))
     holds = {name: F.coalesce(condition, F.lit(False)) for name, _, condition in ordered}
     total = sum((F.when(holds[name], weight).otherwise(0.0) for name, weight, _ in ordered), F.lit(0.0))
     ids = lambda sign: F.filter(F.array(*[F.when(holds[name], F.lit(name)) for name, weight, _ in ordered if weight * sign > 0]), lambda x: x.isNotNull())
-    return pairs.withColumns({"total": total, "plus": ids(1), "minus": ids(-1)})
+    return {"total": total, "plus": ids(1), "minus": ids(-1)}
+
+
+def score_rules(pairs: DataFrame, rules: list[tuple[str, float, Column]]) -> DataFrame:
+    """``pairs`` with total, plus and minus: the sum of the weights of the rules that hold, and their ids by sign.
+
+    Ids are ordered by falling absolute weight, then id.
+    """
+    return pairs.withColumns(_scores(rules))
 
 
 def first_rule(df: DataFrame, key: str, rules: DataFrame, exact: list[str], least: dict[str, str]) -> DataFrame:

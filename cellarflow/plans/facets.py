@@ -224,16 +224,24 @@ def so11_profile_distance(spark, d):
 RULE_WEIGHTS = [("price_fits", 2.0), ("size_clash", -3.5), ("same_digit", 1.0), ("poor", -1.0), ("festive", 1.5)]
 
 
-def _pairs(spark, d):
-    """Every part with every supplier: suppliers are the few dishes of the menu, sent to each task."""
+def _rules():
+    return [("price_fits", 2.0, F.abs(F.col("p_retailprice") * 5 - F.col("s_acctbal")) < 1000), ("size_clash", -3.5, (F.col("p_size") > 40) & (F.col("s_nationkey") < 5)), ("same_digit", 1.0, F.col("p_size") % 10 == F.col("s_nationkey") % 10), ("poor", -1.0, F.col("s_acctbal") < 0), ("festive", 1.5, F.col("p_type") == "PROMO")]
+
+
+def _crossed(spark, d):
+    """Every part with every supplier, as every wine is scored with every dish: the result is the matrix."""
     dishes = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    pairs = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice", "p_brand").crossJoin(F.broadcast(dishes))
-    rules = [("price_fits", 2.0, F.abs(F.col("p_retailprice") * 5 - F.col("s_acctbal")) < 1000), ("size_clash", -3.5, (F.col("p_size") > 40) & (F.col("s_nationkey") < 5)), ("same_digit", 1.0, F.col("p_size") % 10 == F.col("s_nationkey") % 10), ("poor", -1.0, F.col("s_acctbal") < 0), ("festive", 1.5, F.col("p_type") == "PROMO")]
-    return R.score_rules(pairs, rules)
+    return table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice", "p_brand").crossJoin(dishes)
+
+
+def _pairs(spark, d):
+    return R.score_rules(_crossed(spark, d), _rules())
 
 
 def jn09_rule_join(spark, d):
-    return _pairs(spark, d).groupBy("total", F.array_join("plus", ",").alias("plus"), F.array_join("minus", ",").alias("minus")).agg(F.count("*").alias("n"))
+    # pairs are counted by which rules hold before anything is spelled out
+    masks = _crossed(spark, d).groupBy(R.rule_mask(_rules()).alias("mask")).agg(F.count("*").alias("n")).withColumns(R.decoded_mask(F.col("mask"), _rules()))
+    return masks.groupBy("total", F.array_join("plus", ",").alias("plus"), F.array_join("minus", ",").alias("minus")).agg(F.sum("n").alias("n"))
 
 
 def jn10_first_rule(spark, d):
