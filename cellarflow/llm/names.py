@@ -169,9 +169,11 @@ def similar_sets(left: DataFrame, right: DataFrame, jaccard: float = JACCARD) ->
     """(l, r, jaccard): pairs of a row of ``left`` (l, tokens) and of ``right`` (r, tokens) with sets so similar.
 
     Tokens are ordered by how many sets of both sides have them, rarest first. A pair is met at its first common
-    token, so none comes twice. Empty sets and null pair with nothing.
+    token, so none comes twice. Empty sets and null pair with nothing. Tokens are compared by 64-bit hashes.
     """
     scratch = Scratch(left.sparkSession, "sets")
+    hashed = lambda df: df.withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))
+    left, right = hashed(left), hashed(right)
     order = left.select(F.explode("tokens").alias("t")).unionByName(right.select(F.explode("tokens").alias("t"))).groupBy("t").agg(F.count("*").alias("n"))
     order = scratch.save(order, "order")
 
@@ -179,12 +181,18 @@ def similar_sets(left: DataFrame, right: DataFrame, jaccard: float = JACCARD) ->
         ranked = df.select(key, F.explode("tokens").alias("t")).join(order, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("x"))
         size = F.size("x")
         prefix = size - F.ceil(jaccard * size - 1e-9) + 1
-        return ranked.select(key, F.col("x.t").alias(f"all_{key}"), F.posexplode(F.slice("x", F.lit(1), prefix.cast("int"))).alias(f"at_{key}", "y")).select(key, f"all_{key}", f"at_{key}", F.col("y.t").alias("t"))
+        # a set's signature has a bit for each token's hash
+        bits = F.aggregate("x", F.lit(0).cast("long"), lambda s, y: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(y["t"], F.lit(64)).cast("int"))))
+        whole = ranked.select(key, F.col("x.t").alias(f"all_{key}"), bits.alias(f"bits_{key}"), "x")
+        return whole.select(key, f"all_{key}", f"bits_{key}", F.posexplode(F.slice("x", F.lit(1), prefix.cast("int"))).alias(f"at_{key}", "y")).select(key, f"all_{key}", f"bits_{key}", f"at_{key}", F.col("y.t").alias("t"))
 
     met = prefixed(left, "l").join(prefixed(right, "r"), "t")
     a, b = F.size("all_l"), F.size("all_r")
     need = F.ceil((a + b) * (jaccard / (1 + jaccard)) - 1e-9)
     near = met.where((b >= jaccard * a) & (a >= jaccard * b) & (F.least(a - F.col("at_l"), b - F.col("at_r")) >= need))
+    # tokens whose bit the other side lacks can't be common
+    lacking = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y)))
+    near = near.where(F.least(a - lacking("bits_l", "bits_r"), b - lacking("bits_r", "bits_l")) >= need)
     first = (F.col("at_l") == 0) | (F.col("at_r") == 0) | ~F.arrays_overlap(F.slice("all_l", 1, F.col("at_l")), F.slice("all_r", 1, F.col("at_r")))
     common = F.size(F.array_intersect("all_l", "all_r"))
     return near.where(first).withColumn("jaccard", common / (a + b - common)).where(F.col("jaccard") >= jaccard).select("l", "r", "jaccard")
