@@ -8,7 +8,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
-PLANS = ("general", "retrieval", "evaluation", "words", "ranking", "facets", "entities", "scans", "streams")
+PLANS = ("general", "retrieval", "evaluation", "words", "ranking", "facets", "entities", "scans", "streams", "chat")
 CASES = [(p, q) for p in PLANS for q in importlib.import_module(f"cellarflow.plans.{p}").SQL]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
