@@ -126,4 +126,22 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
-SQL: dict[str, str] = {}
+_FRAMES = """known as (select frame_id as id, query_id, source, case when trim(lower(set_name), ' ') in ('train', 'training', 'trn') then 'train' when trim(lower(set_name), ' ') in ('validation', 'valid', 'val', 'dev') then 'validation'
+  when trim(lower(set_name), ' ') in ('test', 'holdout') then 'test' end as split, nullif(regexp_replace(regexp_replace(lower(slug), '[\\s_-]+', '-', 'g'), '^-|-$', '', 'g'), '') as slug,
+  case when regexp_full_match(lower(trim(dhash, ' ')), '[0-9a-f]{16}') then ('0x' || lower(trim(dhash, ' ')))::ubigint end as hash from frames),
+digests as (select distinct query_id, d from (select query_id, regexp_replace(regexp_replace(lower(image_sha256), '^\\s*(sha-?256\\s*[:=]\\s*|0x)', ''), '[\\s:_-]', '', 'g') as d from predictions) where regexp_full_match(d, '[0-9a-f]{64}')),
+f as (select id, split, d from known join digests using (query_id)),
+pairs as (select a.id as t, b.id as e, true as same from f a join f b using (d) where a.split = 'train' and b.split <> 'train' union all
+  select a.id, b.id, false from known a join known b using (slug) where a.split = 'train' and b.split <> 'train' and bit_count(xor(a.hash, b.hash)) <= 6)"""
+_TIED = """k as (select frame_id as id, 'g' || key as key from (select frame_id, regexp_replace(lower(group_key), '[\\s_-]+', '', 'g') as key from frames) where key not in ('', 'unknown', 'нет', 'n/a') union all
+  select frame_id, 's' || key from (select frame_id, regexp_replace(lower(shooter), '[\\s_-]+', '', 'g') as key from frames) where key not in ('', 'unknown', 'нет', 'n/a')),
+hub as (select k.id, h.id as lead from k join (select key, min(id) as id from k group by 1) h using (key)), edge as (select id as a, lead as b from hub union select lead, id from hub),
+reach(a, b) as (select a, a from edge union select reach.a, edge.b from reach join edge on edge.a = reach.b)"""
+_UNIT = """v as (select vec_id, list_transform(vec, lambda x: x::double / sqrt(list_inner_product(vec::double[], vec::double[]))) as u from index_vectors where list_inner_product(vec::double[], vec::double[]) > 0),
+n as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id qualify row_number() over (partition by a.vec_id order by round(list_inner_product(a.u, b.u), 12) desc, b.vec_id) <= 10)"""
+SQL = {
+    "p2_found": f"with {_FRAMES} select distinct least(t, e) as frame_id_a, greatest(t, e) as frame_id_b from pairs",
+    "p2_counts": f"with {_FRAMES} select split, source, count(*) as n_pairs, count(*) filter (same) as n_same_file, count(distinct e) as n_records from (select t, e, bool_or(same) as same from pairs group by 1, 2) join known on known.id = e group by 1, 2",
+    "p3_found": f"with {_UNIT} select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from n",
+    "p5_found": f"with recursive {_TIED} select min(b) as lead_frame_id, a as frame_id from reach group by a having min(b) < a",
+}
