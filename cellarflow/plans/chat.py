@@ -113,4 +113,7 @@ SQL = {
     "tx18_forms": "select w, array_to_string(list_transform(case when w like '%ий' then ['ий', 'яя', 'ее', 'ие', 'его'] else ['ый', 'ая', 'ое', 'ые', 'ого'] end, lambda e: left(w, length(w) - 2) || e), ',') as forms from (select distinct split_part(norm, ' ', -1) as w from lex_entries where lex_field <> 'cuvee' and regexp_matches(norm, '(ый|ий)$'))",
     "ux02_vectors": "select slug, 1.0::double as length from catalog_positions where length(name) > 1",
     "ma16_grid": "with r as (select t.threshold / 10.0::double as threshold, round(avg(((p_top1 >= t.threshold / 10.0::double) = (margin >= 0.05))::int), 6) as accuracy from frames join predictions using (query_id), range(1, 10) t(threshold) where p_top1 is not null and margin is not null group by 1) select *, row_number() over (order by accuracy desc, threshold)::int as place from r",
+    "vr09_best_view": """with s as (select q.vec_id // 100 as query, i.vec_id as row_id, i.label as slug, i.vec_id % 3 as view, list_inner_product(i.embedding::double[], q.embedding::double[]) as sim from embeddings i, embeddings q where i.vec_id % 25 <> 0 and q.vec_id % 25 = 0)
+      select query, slug, arg_max(view, struct_pack(b := best, r := -row_id)) as view from (select query, row_id, slug, view, max(sim) as best from s group by all) group by query, slug""",
+    "tx31_smalltalk": """with t as (select trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') as t from text_lines) select case when t in ('привет', 'здравствуйте', 'hello', 'hi') then 'hello' when t in ('спасибо', 'thanks', 'thank you') then 'thanks' when t in ('пока', 'до свидания', 'bye') then 'bye' end as kind, count(*) as n from t group by 1""",
 }

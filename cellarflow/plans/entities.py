@@ -231,4 +231,6 @@ SQL = {
       g as (select winery, slug, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) as gram from r), c as (select winery, gram, count(distinct slug) as n, any_value(size) as size from g join s using (winery) group by 1, 2 having n >= 0.25 * any_value(size))
       select winery, gram, n from c where not exists (select 1 from c p where p.winery = c.winery and contains(p.gram, ' ') and list_contains(string_split(p.gram, ' '), c.gram))""",
     "ag41_flags": "select flag, count(*) as n from (select unnest(noise_flags) as flag from catalog_positions) group by 1",
+    "jn23_dishes": """with d(dish, phrase) as (values (1, 'жирность лосося'), (2, 'стейк средней прожарки'), (3, 'fried mussels'), (4, 'salty cheese'), (5, 'сладость груши'))
+      select doc_id, dish from (select doc_id, lower(text) as t from documents where text is not null) x join d on contains(t, phrase) and not regexp_matches(t, '(без|without) ' || phrase) qualify row_number() over (partition by doc_id order by length(phrase) desc, dish) = 1""",
 }

@@ -186,4 +186,8 @@ SQL = {
     "ma24_days": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n from events group by 1",
     "ma22_boxes": "select line_id, round(greatest(least(box.x1, 0.8) - greatest(box.x0, 0.2), 0) * greatest(least(box.y1, 0.6) - greatest(box.y0, 0.1), 0) / nullif((box.x1 - box.x0) * (box.y1 - box.y0), 0), 6) as share from text_lines where box is not null",
     "so14_target_box": "with s as (select query_id, line_id, round((box.x1 - box.x0) * (box.y1 - box.y0) * (1 - sqrt(((box.x0 + box.x1) / 2 - 0.5) ** 2 + ((box.y0 + box.y1) / 2 - 0.5) ** 2)) ** 2, 9) as score from text_lines where box is not null) select query_id, line_id from s qualify row_number() over (partition by query_id order by score desc, line_id) = 1",
+    "io07_problems": """with l as (select query_id, margin > 0.3 as broken, predicted_slug is null as keyless from predictions), k as (select count(*) as n, count(distinct query_id) as d from l where not coalesce(broken, false) and not keyless)
+      select * from (select 'not JSON' as problem, count(*) as n from l where broken union all select 'no key', count(*) from l where not coalesce(broken, false) and keyless union all select 'repeated', n - d from k union all select 'good', d from k) where n > 0""",
+    "io09_built_index": """with m as (select slug, view_name, p, avg(vec[p]) as x from index_vectors, range(1, 65) r(p) where vec is not null and slug is not null group by all) select slug, view_name, count(*) as dim, round(sum(x), 5) as total from m group by 1, 2""",
+    "io13_cache": """with l as (select line_id, sha256(concat_ws('|', reader, text)) as key, conf < 0.6 as failed from text_lines), c as (select distinct key from l where line_id % 2 = 0 and not coalesce(failed, false)) select case when c.key is null then 'miss' else 'hit' end as state, count(*) as n from l left join c using (key) group by 1""",
 }

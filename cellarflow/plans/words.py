@@ -401,4 +401,14 @@ SQL = {
     "tx35_read_bag": "select w, count(*) as n from (select case when trim(text, ' ') <> '' then lower(text) else norm end as w from token_spans) where w is not null group by 1",
     "tx36_photo_kind": "select case when regexp_matches(lower(image_path), '^scan') then 'scan' when regexp_matches(lower(image_path), '^(img|photo|dsc)') then 'photo' else 'other' end as kind, lower(regexp_extract(image_path, '\\.(\\w+)$', 1)) as suffix, count(*) as n from predictions where image_path is not null group by 1, 2",
     "ma18_hashes": "select doc_id, sha1(text) as sha1 from documents where text is not null",
+    "tx03_clean": "select doc_id, length(trim(regexp_replace(regexp_replace(text, '[\\p{Cc}\\p{Cf}]+', ' ', 'g'), '[ \\t\\n\\f\\r\\v]+', ' ', 'g'), ' '))::int as n from documents",
+    "tx22_barrier": "select doc_id, case when regexp_matches(lower(text), 'здоров|health') then 'health' when regexp_matches(lower(text), 'употребл|responsibly') then 'drink' when regexp_matches(lower(text), 'этикет|label') then 'label' end as refusal from documents where not regexp_matches(lower(text), 'на этикетке|the label reads') and regexp_matches(lower(text), 'здоров|health|употребл|responsibly|этикет|label')",
+    "tx24_guards": "select doc_id, case when t = '' then 'empty' when length(t) > 2000 then 'length' when regexp_matches(lower(t), '[0-9]{5,}') then 'numbers' when contains(t, '<p>') then 'markup' when regexp_matches(lower(t), '^(##|digest|дайджест|заметка)') then 'preamble' end as code from (select doc_id, coalesce(trim(text, ' '), '') as t from documents)",
+    "tx19_sugar": """select slug, case when regexp_matches(lower(name), 'экстра[ -]брют|extra[ -]brut') then 'extra_brut' when regexp_matches(lower(name), 'полусух|semi-?dry|off-dry') then 'polusuhoe' when regexp_matches(lower(name), 'полуслад|semi-?sweet') then 'polusladkoe' when regexp_matches(lower(name), 'брют|(^|[^a-z])brut($|[^a-z])') then 'brut'
+      when regexp_matches(lower(name), 'сух(ое|ой|ая)|(^|[^a-z])dry($|[^a-z])') then 'suhoe' when regexp_matches(lower(name), 'сладк(ое|ий|ая)|(^|[^a-z])sweet($|[^a-z])') then 'sladkoe' end as by_name, regexp_extract_all(slug, '(ekstra-bryut|bryut|polusukhoe|polusladkoe|sukhoe|sladkoe)', 1)[-1] as by_slug from catalog_positions""",
+    "ma19_vintage": """with t as (select *, case when norm in ('урожай', 'vintage', 'год', 'г') then 'vintage' when norm in ('гост', 'партия', 'no') then 'not' end as a, coalesce(kind in ('year', 'number', 'abv', 'ratio'), false) as stop from token_spans),
+      w as (select token_id, text, kind, lag(a, 1) over w as l1, lag(a, 2) over w as l2, lag(a, 3) over w as l3, coalesce(lag(stop, 1) over w, false) as s1, coalesce(lag(stop, 2) over w, false) as s2, lead(a, 1) over w as r1, lead(a, 2) over w as r2, coalesce(lead(stop, 1) over w, false) as q1 from t window w as (partition by line_id order by pos_no)),
+      n as (select token_id, text, coalesce(l1, case when not s1 then coalesce(l2, case when not s2 then l3 end) end) as l, coalesce(r1, case when not q1 then r2 end) as r from w where kind = 'year'),
+      c as (select token_id, text, case when l = 'not' or r = 'not' then 'not' else coalesce(l, r) end as anchor from n where regexp_full_match(text, '[0-9]{4}'))
+      select token_id, text::int as vintage from c where text::int between 1950 and 2026 and (anchor is not distinct from 'vintage' or (anchor is null and text::int >= 1990))""",
 }
