@@ -50,7 +50,10 @@ def embed(df: DataFrame, column: str, embedder: str, name: str = "vec") -> DataF
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             known = batch.notna().to_numpy()
-            made = np.asarray(model(batch[known].tolist()), np.float64).reshape(int(known.sum()), -1)
+            if not known.any():
+                yield pd.Series([None] * len(batch), dtype=object)
+                continue
+            made = np.asarray(model(batch[known].tolist()), np.float64)
             made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
             rows = iter(made.tolist())
             yield pd.Series([next(rows) if k else None for k in known])

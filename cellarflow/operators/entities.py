@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellarflow.operators.order import numbered
 from cellarflow.session import Scratch
 
 
@@ -59,7 +60,7 @@ def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
         return F.struct(load.alias("load"), F.array_append(state["out"], F.struct(x["g"].alias("g"), (-x["m"]).alias("n"), (at - 1).alias("fold"))).alias("out"))
 
     large = packed.select(F.inline(F.aggregate("s", zero, place)["out"])).select(F.col("g").alias(group), "n", "fold")
-    single = sizes.where("n = 1").withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(F.sha2(F.col(group).cast("string"), 256), group)) - 1, F.lit(folds)).cast("int"))
+    single = numbered(sizes.where("n = 1"), [F.sha2(F.col(group).cast("string"), 256), F.col(group)]).withColumn("fold", F.pmod(F.col("number"), F.lit(folds)).cast("int"))
     return large.unionByName(single.select(group, "n", "fold"))
 
 

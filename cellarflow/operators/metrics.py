@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellarflow.operators.order import numbered, tiles
+
 
 def share(numerator: Column | str, denominator: Column | str) -> Column:
     """numerator / denominator, null where there is nothing to share."""
@@ -24,12 +26,15 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str,
     """``by``, n and one column for each quantile: the value at rank rint(q (n - 1)) from 0, ties to even.
 
     With ``ceil_rule`` the value at rank ceil(q n) from 1. Null values don't count; a group without values is left out.
-    A group is sorted by the shuffle, not held in memory.
+    Ranks come from one global order by key and value, so a group of any size is spread over tasks.
     """
     df, keys = _keys(df.where(F.col(value).isNotNull()), by)
-    ordered = df.select(*keys, value).withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-    at = lambda q: F.greatest(F.ceil(F.lit(q) * F.col("__n")), F.lit(1)) if ceil_rule else F.rint(F.lit(q) * (F.col("__n") - 1)) + 1
-    return ordered.groupBy(*keys).agg(F.first("__n").alias("n"), *[F.max(F.when(F.col("__at") == at(q), F.col(value))).alias(name) for name, q in quantiles.items()]).drop("__all")
+    ordered = numbered(df.select(*keys, value), [*keys, value], "__at")
+    groups = ordered.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    rank = lambda q: F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)) - 1 if ceil_rule else F.rint(F.lit(q) * (F.col("n") - 1))
+    targets = F.array(*[F.struct(F.lit(name).alias("__q"), (F.col("__first") + rank(q)).cast("long").alias("__at")) for name, q in quantiles.items()])
+    picked = groups.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "n", F.inline(targets)).join(ordered, "__at")
+    return picked.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("__q") == name, F.col(value))).alias(name) for name in quantiles]).drop("__all")
 
 
 def level_medians(df: DataFrame, levels: list[list[str]], values: list[str], digits: int = 2) -> DataFrame:
@@ -116,7 +121,9 @@ def sign_test(fixes: Column, breaks: Column) -> Column:
 
 def calibration(df: DataFrame, probability: str, ok: str, bins: int, order: list[str]) -> DataFrame:
     """(bin, n, p_mean, accuracy, gap): bins of equal counts by probability, the first ones one larger."""
-    binned = df.where(F.col(probability).isNotNull()).withColumn("bin", F.ntile(bins).over(Window.orderBy(probability, *order)))
+    known = df.where(F.col(probability).isNotNull())
+    n = known.count()
+    binned = numbered(known.select(probability, ok, *[c for c in order if c not in (probability, ok)]), [probability, *order]).withColumn("bin", tiles(F.col("number"), F.lit(n), bins))
     right = F.col(ok).cast("double")
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(probability).alias("p_mean"), F.avg(right).alias("accuracy"), F.abs(F.avg(probability) - F.avg(right)).alias("gap"))
 

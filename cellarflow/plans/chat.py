@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellarflow.functions import registry as G
 from cellarflow.operators import chat as H
 from cellarflow.operators import text as X
+from cellarflow.operators.order import numbered, tiles
 from cellarflow.plans.facets import _near, _profile, _rows
 from cellarflow.plans.retrieval import _index, _queries, _sims
 from cellarflow.operators import facets as C
@@ -80,7 +81,8 @@ def ma16_grid(spark, d):
 
 
 def wn13_bins(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.ntile(7).over(Window.orderBy("p_retailprice", "p_partkey")).alias("bin"))
+    rows = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    return numbered(rows, ["p_retailprice", "p_partkey"]).select("p_partkey", tiles(F.col("number"), F.lit(rows.count()), 7).alias("bin"))
 
 
 def vr09_best_view(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellarflow.operators import facets as C
 from cellarflow.operators import rules as R
+from cellarflow.operators.order import numbered
 from cellarflow.sources.tables import table
 
 
@@ -176,9 +177,9 @@ def wn08_contrast(spark, d):
 
 
 def wn14_evenly(spark, d):
-    rows = table(spark, d, "part").select("p_partkey").withColumn("i", F.row_number().over(Window.orderBy("p_partkey")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    picks = spark.range(20).withColumnRenamed("id", "k")
-    return rows.join(F.broadcast(picks), F.col("i") == F.floor(F.col("k") * F.col("n") / 20)).select("k", "p_partkey")
+    rows = table(spark, d, "part").select("p_partkey")
+    picks = spark.range(20).select(F.col("id").alias("k"), F.floor(F.col("id") * F.lit(rows.count()) / 20).alias("number"))
+    return numbered(rows, ["p_partkey"]).join(F.broadcast(picks), "number").select("k", "p_partkey")
 
 
 def _profile(spark, d):

@@ -173,3 +173,52 @@ def test_agreement(spark):
     df = spark.createDataFrame([(["a"], ["a", "b"]), (["a"], ["c"]), ([], ["c"]), (None, None)], "x array<string>, y array<string>")
     assert [r[0] for r in df.select(C.agreement_sets(F.col("x"), F.col("y"))).collect()] == ["match", "conflict", "unknown", "unknown"]
     assert [r[0] for r in df.select(C.jaccard("x", "y")).collect()] == [0.5, 0.0, 0.0, 0.0]
+
+
+def test_global_order(spark):
+    from cellarflow.operators.order import numbered, tiles
+
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, 7]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "v int, i int").repartition(7)
+    got = {r.i: (r.number, r.t) for r in numbered(df, ["v", "i"]).withColumn("t", tiles(F.col("number"), F.lit(500), 7)).collect()}
+    parts = np.array_split(np.arange(500), 7)
+    tile = {int(n): k + 1 for k, part in enumerate(parts) for n in part}
+    assert {i: n for i, (n, _) in got.items()} == {i: n for n, (_, i) in enumerate(sorted(rows))}
+    assert all(t == tile[n] for n, t in got.values())
+    assert numbered(df.limit(0), ["v", "i"]).count() == 0
+
+
+def test_routes(spark):
+    from cellarflow.operators import chat as H
+
+    rows = [("a", 1, "Привет!"), ("a", 2, "Я беременна"), ("a", 3, "что к рыбе?"), ("b", 1, "что к рыбе?"), ("b", 2, None), ("b", 3, "hm")]
+    df = spark.createDataFrame(rows, "u string, t int, q string")
+    got = {(r.u, r.t): r.route for r in H.routed(df, "u", ["t"], "q").collect()}
+    assert got == {("a", 1): "hello", ("a", 2): "pregnancy", ("a", 3): "pregnancy", ("b", 1): "dish", ("b", 2): "unknown", ("b", 3): "unknown"}
+    words = spark.createDataFrame([("d", i, w) for i, w in enumerate("вредит ваше чрезмерное употребление".split())], "d string, i int, w string")
+    assert H.near_words(words, ["d"], "i", "w", ["употребление"], ["вредит"], 3).count() == 1 and H.near_words(words, ["d"], "i", "w", ["употребление"], ["вредит"], 2).count() == 0
+
+
+def test_registry(spark):
+    from cellarflow.functions import registry as G
+
+    df = spark.createDataFrame([("a\n\n b",), (None,), ("",)], "t string")
+    assert [r.lines for r in G.read_lines(df, "t", "lines").collect()] == [["a", "b"], None, []]
+    vectors = [r.vec for r in G.embed(df, "t", "letters").collect()]
+    assert vectors[1] is None and abs(sum(x * x for x in vectors[0]) - 1) < 1e-9
+    with pytest.raises(ValueError):
+        G.register_reader("lines", str.split)
+
+
+def test_layered_rules_and_first_match(spark):
+    base = spark.createDataFrame([("a", 1.0, "x"), ("b", 2.0, "y"), ("c", 3.0, "z")], "id string, weight double, text string")
+    none = base.limit(0)
+    over, patch = base.where("id = 'b'").withColumn("weight", F.lit(9.0)), spark.createDataFrame([("c", None, "patched")], "id string, weight double, text string")
+    got = {r.id: (r.weight, r.text) for r in U.layered_rules(base, over, patch, ["a"], spark.createDataFrame([("n", 0.0, "new")], "id string, weight double, text string")).collect()}
+    assert got == {"b": (9.0, "y"), "c": (3.0, "patched"), "n": (0.0, "new")}
+    with pytest.raises(Exception, match="rule twice"):
+        U.layered_rules(base, none, none, [], base.where("id = 'a'")).collect()
+    rules = spark.createDataFrame([(2, "any", None, None), (1, "big x", "x", 5)], "ord int, rule string, kind string, least int")
+    rows = spark.createDataFrame([(1, "x", 9), (2, "x", 1), (3, None, None)], "k int, kind string, size int")
+    assert {r.k: r.rule for r in U.first_rule(rows, "k", rules, ["kind"], {"size": "least"}).collect()} == {1: "big x", 2: "any", 3: "any"}
