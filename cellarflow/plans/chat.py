@@ -9,6 +9,9 @@ from cellarflow.functions import registry as G
 from cellarflow.operators import chat as H
 from cellarflow.operators import text as X
 from cellarflow.operators.order import numbered, tiles
+from cellarflow.plans.facets import _PROFILE as _FACETS_PROFILE
+from cellarflow.plans.facets import _STEP as _FACETS_STEP
+from cellarflow.plans.facets import _WITH as _FACETS
 from cellarflow.plans.facets import _near, _profile, _rows
 from cellarflow.plans.retrieval import _index, _queries, _sims
 from cellarflow.operators import facets as C
@@ -118,4 +121,8 @@ SQL = {
     "vr09_best_view": """with s as (select q.vec_id // 100 as query, i.vec_id as row_id, i.label as slug, i.vec_id % 3 as view, list_inner_product(i.embedding::double[], q.embedding::double[]) as sim from embeddings i, embeddings q where i.vec_id % 25 <> 0 and q.vec_id % 25 = 0)
       select query, slug, arg_max(view, struct_pack(b := best, r := -row_id)) as view from (select query, row_id, slug, view, max(sim) as best from s group by all) group by query, slug""",
     "tx31_smalltalk": """with t as (select trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') as t from text_lines) select case when t in ('привет', 'здравствуйте', 'hello', 'hi') then 'hello' when t in ('спасибо', 'thanks', 'thank you') then 'thanks' when t in ('пока', 'до свидания', 'bye') then 'bye' end as kind, count(*) as n from t group by 1""",
+    "pf02_facts": """select slug, coalesce(case when regexp_matches(lower(name), 'экстра[ -]брют|extra[ -]brut') then 'extra_brut' when regexp_matches(lower(name), 'полусух|semi-?dry|off-dry') then 'polusuhoe' when regexp_matches(lower(name), 'полуслад|semi-?sweet') then 'polusladkoe' when regexp_matches(lower(name), 'брют|(^|[^a-z])brut($|[^a-z])') then 'brut'
+      when regexp_matches(lower(name), 'сух(ое|ой|ая)|(^|[^a-z])dry($|[^a-z])') then 'suhoe' when regexp_matches(lower(name), 'сладк(ое|ий|ая)|(^|[^a-z])sweet($|[^a-z])') then 'sladkoe' end, regexp_extract_all(slug, '(ekstra-bryut|bryut|polusukhoe|polusladkoe|sukhoe|sladkoe)', 1)[-1]) as sugar, cluster_b, coalesce(list_contains(noise_flags, 'wrong_photo'), false) as wrong_photo from catalog_positions""",
+    "ma07_moves": f"""{_FACETS}, {_FACETS_PROFILE}, x as (select n.*, r.body, a.body as a_body from near n join prof r on r.slug = n.slug join prof a on a.slug = n.a_slug), m as (select a_slug, a_strength - strength as ds, a_body - body as db, {_FACETS_STEP.format('a_sugar_class')} - {_FACETS_STEP.format('sugar_class')} as dg from x)
+      select a_slug, count(*) filter (coalesce(case when ds <> 0 then ds >= 0.5 end, db >= 0.5, false)) as lighter, count(*) filter (coalesce(case when ds <> 0 then -ds >= 0.5 end, -db >= 0.5, false)) as fuller, count(*) filter (coalesce(dg >= 1, false)) as drier, count(*) filter (coalesce(-dg >= 1, false)) as sweeter from m group by 1""",
 }

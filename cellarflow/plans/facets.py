@@ -188,7 +188,7 @@ def _profile(spark, d):
     own = rows.select("slug", F.explode_outer("grapes").alias("grape")).join(priors, "grape", "left").groupBy("slug").agg(F.avg("p_strength").alias("p_strength"))
     made = rows.join(own, "slug").withColumn("age", C.age_shift(F.col("vintage"), 2026))
     body = F.least(F.greatest(C.strength_axis(F.coalesce("strength", "p_strength")) + F.col("age") * 0.05, F.lit(0.0)), F.lit(5.0))
-    return made.select("slug", "category", "sugar_class", F.round(body, 2).alias("body"), F.round(C.sugar_step("sugar_class") * 1.25, 2).alias("sweet"), F.when(F.col("strength").isNotNull(), "card").when(F.col("p_strength").isNotNull(), "grape").otherwise("none").alias("source"))
+    return made.select("slug", "category", "sugar_class", F.round(body, 4).alias("body"), F.round(C.sugar_step("sugar_class") * 1.25, 2).alias("sweet"), F.when(F.col("strength").isNotNull(), "card").when(F.col("p_strength").isNotNull(), "grape").otherwise("none").alias("source"))
 
 
 def ma01_profile(spark, d):
@@ -340,6 +340,9 @@ _ORD = "alike desc, sugar_gap, strength_gap, slug"
 _RULES = """pairs as (select p_partkey, p_type, p_size, p_retailprice, p_brand, s_suppkey, s_nationkey, abs(p_retailprice * 5 - s_acctbal) < 1000 as r1, p_size > 40 and s_nationkey < 5 as r2, p_size % 10 = s_nationkey % 10 as r3, s_acctbal < 0 as r4, p_type = 'PROMO' as r5 from part, supplier),
 scored as (select *, (case when r1 then 2 else 0 end + case when r2 then -3.5 else 0 end + case when r3 then 1 else 0 end + case when r4 then -1 else 0 end + case when r5 then 1.5 else 0 end)::double as total from pairs),
 verdicts as (select *, least(1 / (1 + exp(-total / 5)), 0.96) as score, case when not (r1 or r2 or r3 or r4 or r5) then 'neutral' when r2 or least(1 / (1 + exp(-total / 5)), 0.96) < 0.55 then 'no' when r4 then 'caveat' else 'yes' end as verdict from scored)"""
+_PROFILE = f"""p as (select grape, avg(s) as s from (select unnest(grapes) as grape, abv[1] as s from catalog_positions) group by 1), o as (select slug, avg(p.s) as s from (select slug, unnest(grapes) as grape from catalog_positions) join p using (grape) group by 1),
+prof as (select c.slug, c.category, round(least(greatest(case when coalesce(abv[1], o.s) is not null then least(greatest((coalesce(abv[1], o.s) - 8.0) * 0.625::double, 0), 5) end + coalesce(case when 2026 - vintage >= 3 then least(2026 - vintage, 12) end, 0) * 0.05::double, 0), 5), 4) as body,
+  round({_STEP.format('sugar_class')} * 1.25::double, 2) as sweet, case when abv[1] is not null then 'card' when o.s is not null then 'grape' else 'none' end as source from catalog_positions c left join o on o.slug = c.slug)"""
 SQL = {
     "pf01_keys": f"select slug, array_to_string(list_sort(list_distinct(list_transform(coalesce(grapes, []), lambda g: replace(lower(g), 'ё', 'е')))), '|') as grape_keys, replace(lower(winery), 'ё', 'е') as winery_key, {_STEP.format('sugar_class')} as sugar from catalog_positions",
     "pf03_pool": "select slug, category from catalog_positions where coalesce(len(noise_flags), 0) = 0 and category is not null",
@@ -391,4 +394,5 @@ SQL = {
       select a_slug, t.slug, place, concat_ws(' / ', r.name, r.winery, case when alike = 1 then 'same grapes' when alike > 0 then 'shares grapes' end, case when sugar_gap = 0 then 'as sweet' end) as note from t join rows r on r.slug = t.slug""",
     "ma28_chip_source": """with p as (select grape, avg(s) as s from (select unnest(grapes) as grape, abv[1] as s from catalog_positions) group by 1), o as (select slug, avg(p.s) as s from (select slug, unnest(grapes) as grape from catalog_positions) join p using (grape) group by 1)
       select c.slug, greatest(case when abv[1] is not null then 0 when o.s is not null then 1 else 2 end, case when sugar_class is null then 2 else 0 end)::int as weakest from catalog_positions c left join o on o.slug = c.slug""",
+    "ma01_profile": f"with {_PROFILE} select slug, body, sweet, source from prof",
 }

@@ -411,4 +411,13 @@ SQL = {
       n as (select token_id, text, coalesce(l1, case when not s1 then coalesce(l2, case when not s2 then l3 end) end) as l, coalesce(r1, case when not q1 then r2 end) as r from w where kind = 'year'),
       c as (select token_id, text, case when l = 'not' or r = 'not' then 'not' else coalesce(l, r) end as anchor from n where regexp_full_match(text, '[0-9]{4}'))
       select token_id, text::int as vintage from c where text::int between 1950 and 2026 and (anchor is not distinct from 'vintage' or (anchor is null and text::int >= 1990))""",
+    "tx23_invented": """with t as (select listing_id, regexp_extract_all(coalesce(name, ''), '(\\d+(?:[.,]\\d+)?)', 1) as a, regexp_extract_all(coalesce(slug, ''), '(\\d+(?:[.,]\\d+)?)', 1) as b from wine_cards),
+      u as (select listing_id, x, min(p) as p from (select listing_id, a[p] as x, p from t, range(1, 60) r(p) where p <= len(a) and not list_contains(b, a[p])) group by 1, 2) select t.listing_id, coalesce((select string_agg(x, ',' order by p) from u where u.listing_id = t.listing_id), '') as numbers from t""",
+    "tx34_name_words": """with g as (select distinct unnest(string_split(norm, ' ')) as w from lex_entries where lex_field = 'grape'), w as (select slug, string_split(replace(lower(name), 'ё', 'е'), ' ') as a from catalog_positions where name is not null),
+      e as (select slug, a[p] as x, min(p) as p from w, range(1, 30) r(p) where p <= len(a) group by 1, 2), k as (select * from e where x not in (select w from g) and x not in ('красное', 'белое', 'розовое', 'оранжевое', 'сухое', 'полусухое', 'сладкое', 'полусладкое', 'брют', 'экстра'))
+      select slug, coalesce((select string_agg(x, ' ' order by p) from k where k.slug = w.slug), '') as words from w""",
+    "wn11_anchor": """with t as (select *, case when norm in ('урожай', 'vintage', 'год', 'г') then 'vintage' when norm in ('гост', 'партия', 'no') then 'not' end as a, coalesce(kind in ('year', 'number', 'abv', 'ratio'), false) as stop from token_spans),
+      w as (select token_id, kind, lag(a, 1) over w as l1, lag(a, 2) over w as l2, lag(a, 3) over w as l3, coalesce(lag(stop, 1) over w, false) as s1, coalesce(lag(stop, 2) over w, false) as s2, lead(a, 1) over w as r1, lead(a, 2) over w as r2, coalesce(lead(stop, 1) over w, false) as q1 from t window w as (partition by line_id order by pos_no)),
+      n as (select token_id, coalesce(l1, case when not s1 then coalesce(l2, case when not s2 then l3 end) end) as l, coalesce(r1, case when not q1 then r2 end) as r from w where kind = 'year')
+      select token_id, case when l = 'not' or r = 'not' then 'not' else coalesce(l, r) end as anchor from n""",
 }
