@@ -168,12 +168,16 @@ def fit(distinct: DataFrame, n: int, sample: int = SAMPLE, part_rows: int = PART
 def nearest(df: DataFrame, key: str, vector: str, k: int = 10, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """(id, other, score, rank): the k vectors of highest cosine to each vector, equal cosines by the smaller id.
 
-    Null, empty, all-zero and not finite vectors take no part; all vectors have one length. A vector has fewer than k
+    Null, empty, all-zero and not finite vectors take no part, nor do those of another length than most have (of equally
+    frequent lengths the shorter). A vector has fewer than k
     rows only if there are no more others that it was compared with. Rows stored twice are each other's neighbours of
     score 1. Ids are unique. An empty table gives no rows. Approximate: see the README for the measured recall.
     """
     scratch = Scratch(df.sparkSession, "nearest")
     cleaned = scratch.save(clean_vectors(df, key, vector).withColumn("sig", F.sha2("raw", 256)), "cleaned")
+    usual = cleaned.groupBy(F.length("raw").alias("size")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "size").first()
+    if usual is not None:
+        cleaned = cleaned.where(F.length("raw") == usual["size"])
     # equal vectors: all of a group are found through the smallest id, of which the first k + 1 members are enough
     ordered = Window.partitionBy("sig").orderBy("id")
     first = cleaned.withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= k + 1)

@@ -34,7 +34,7 @@ def test_exact_when_all_parts_are_searched(spark):
     vectors = clustered(300, 1)
     rows = [(i + 1, vectors[i].tolist()) for i in range(300)]
     rows += [(500 + i, vectors[0].tolist()) for i in range(25)] + [(600, vectors[3].tolist()), (601, (2 * vectors[3]).tolist())]
-    extra = [(900, None), (901, [0.0] * 16), (902, []), (903, [float("nan")] * 16)]
+    extra = [(900, None), (901, [0.0] * 16), (902, []), (903, [float("nan")] * 16), (904, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows + extra], "id long, vec array<float>, score string")
     got, want = got_of(nearest(df, "id", "vec", part_rows=40)), exact(rows, 10)
     assert got.keys() == want.keys()
