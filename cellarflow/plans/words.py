@@ -218,10 +218,14 @@ def tx14_budget(spark, d):
 
 
 def tx15_forms(spark, d):
-    words = table(spark, d, "documents").where("text is not null").select(F.explode(F.array_distinct(X.words_of(F.lower("text")))).alias("w")).where("length(w) >= 4").groupBy("w").agg(F.count("*").alias("n")).where("n >= 5")
-    # forms share their first four letters, so they only meet there
-    a, b = words.select(F.col("w").alias("a"), F.substring("w", 1, 4).alias("k")), words.select(F.col("w").alias("b"), F.substring("w", 1, 4).alias("k"))
-    return a.join(b, "k").where("a < b").where(X.words_match("a", "b")).select("a", "b")
+    words = table(spark, d, "documents").where("text is not null").select(F.explode(F.array_distinct(X.words_of(F.lower("text")))).alias("w")).where("length(w) >= 4").distinct().withColumn("n", F.length("w"))
+    # the shorter word's length tells how many letters must be equal; a longer word meets each length that its own allows
+    stem = lambda n: F.least(F.lit(5), F.greatest(n - 1, F.lit(3)))
+    a = words.select(F.col("w").alias("x"), F.col("n").alias("size"), F.substring("w", F.lit(1), stem(F.col("n"))).alias("k"))
+    b = words.select("w", "n", F.explode(F.sequence(F.greatest(F.col("n") - 3, F.lit(4)), F.col("n"))).alias("size"))
+    b = b.select(F.col("w").alias("y"), F.col("n").alias("m"), "size", F.substring("w", F.lit(1), stem(F.col("size"))).alias("k"))
+    met = a.join(b, ["size", "k"]).where("m > size or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(X.words_match("a", "b"))
 
 
 def tx16_bag(spark, d):
