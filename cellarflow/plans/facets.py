@@ -320,11 +320,21 @@ def so16_similar_cards(spark, d):
 
 def so17_dish_check(spark, d):
     """Where a dish is no match for a part: the nearest parts by price of the same brand that go with it."""
-    rows = _verdicts(spark, d).select("p_partkey", "s_suppkey", "p_brand", "p_retailprice", "verdict")
-    bad = rows.where("verdict = 'no' and s_suppkey < 10").select("s_suppkey", "p_brand", F.col("p_partkey").alias("asked"), F.col("p_retailprice").alias("price"))
-    good = rows.where("verdict = 'yes' and s_suppkey < 10").select("s_suppkey", "p_brand", "p_partkey", "p_retailprice")
-    near = bad.join(good, ["s_suppkey", "p_brand"]).withColumn("gap", F.abs(F.col("price") - F.col("p_retailprice")))
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("s_suppkey", "asked").orderBy("gap", "p_partkey"))).where("place <= 2").select("s_suppkey", "asked", "p_partkey", "place")
+    rows = _verdicts(spark, d).where("verdict in ('no', 'yes')").select("s_suppkey", "p_brand", "p_partkey", F.col("p_retailprice").alias("price"), (F.col("verdict") == "yes").alias("good"))
+    # two neighbours on either side in the order of prices hold the nearest two; no join of all bad with all good ones
+    block = ["s_suppkey", "p_brand"]
+    rows = rows.where("p_brand is not null").repartition(*block)
+    own = F.struct("price", "p_partkey")
+    for name, price in (("below", F.col("price")), ("above", F.col("price").desc())):
+        # of equal prices the good parts come before the bad one below and after it above, so that each is met once
+        good = F.col("good").desc() if name == "below" else F.col("good")
+        order = [price, good, F.col("p_partkey").desc()]
+        pair = F.when(F.col("good"), F.array(own, F.lag(own).over(Window.partitionBy(*block, "good").orderBy(*order))))
+        rows = rows.withColumn(name, pair).withColumn(name, F.last(name, True).over(Window.partitionBy(*block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    near = F.filter(F.concat(F.coalesce("below", F.array()), F.coalesce("above", F.array())), lambda x: x.isNotNull())
+    near = F.slice(F.array_sort(F.transform(near, lambda x: F.struct(F.abs(F.col("price") - x["price"]).alias("gap"), x["p_partkey"].alias("p_partkey")))), 1, 2)
+    found = rows.where("not good").select("s_suppkey", F.col("p_partkey").alias("asked"), F.posexplode(near).alias("at", "x"))
+    return found.select("s_suppkey", "asked", F.col("x.p_partkey").alias("p_partkey"), (F.col("at") + 1).alias("place"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("pf", "st", "so", "wn", "ma", "jn", "ag") and n[2:4].isdigit()}

@@ -2,6 +2,7 @@
 
 import itertools
 
+from cellarflow.plans import facets as P
 from cellarflow.plans import words as W
 
 
@@ -23,3 +24,18 @@ def test_forms_of_all_words(spark, tmp_path):
     words = sorted({w for t in texts if t for w in t.lower().replace(",", "").split()})
     got = [tuple(r) for r in W.tx15_forms(spark, d).select("a", "b").collect()]
     assert sorted(got) == [p for p in itertools.combinations(words, 2) if match(*p)] and ("вина", "вино") in got
+
+
+def test_dish_check_of_all_suppliers(spark, tmp_path):
+    parts = [(k, f"Brand#{k % 2}", ("PROMO", "SMALL", "ECONOMY")[k % 3], k * 7 % 50 + 1, 900.0 + k * 13 % 17) for k in range(1, 61)]  # few prices: many ties
+    dishes = [(k, k % 9, 4400.0 + k * 41 % 700 if k % 4 else -5.0) for k in range(1, 25)]
+    d = tables(spark, tmp_path, part=(parts, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double"), supplier=(dishes, "s_suppkey long, s_nationkey int, s_acctbal double"))
+    verdicts = {(r.p_partkey, r.s_suppkey): r.verdict for r in P._verdicts(spark, d).collect()}
+    want = set()
+    for s, *_ in dishes:
+        for a, brand, _, _, price in parts:
+            if verdicts[a, s] == "no":
+                good = sorted((abs(price - p), k) for k, b, _, _, p in parts if b == brand and verdicts[k, s] == "yes")
+                want |= {(s, a, k, i) for i, (_, k) in enumerate(good[:2], 1)}
+    got = [tuple(r) for r in P.so17_dish_check(spark, d).select("s_suppkey", "asked", "p_partkey", "place").collect()]
+    assert len(got) == len(want) and set(got) == want and any(s >= 10 for s, *_ in want)
