@@ -27,7 +27,8 @@ from cellarflow.llm.pieces import WordReader, slices
 WEIGHT = 7  # words a seed compares
 LEAST_WORDS = 15  # words in a row of the item
 ONE_ERROR_IN = 8
-SHIFT = 3  # most places by which missing or added words may move the alignment inside one window
+SIZES = (LEAST_WORDS, 2 * ONE_ERROR_IN, 3 * ONE_ERROR_IN, 4 * ONE_ERROR_IN)  # windows tried; a longer passage within the bound holds one
+SHIFT = SIZES[-1] // ONE_ERROR_IN  # most places by which missing or added words may move the alignment inside one window
 BLOCK_CHARS = 4_000_000  # evaluation text that is sent to the executors at once; more goes in several passes
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -100,7 +101,7 @@ class EvalIndex:
         return pairs[0], pairs[1]
 
     def _verify(self, words: np.ndarray, offsets: np.ndarray, j: np.ndarray, k: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        longest = 3 * ONE_ERROR_IN
+        longest = SIZES[-1]
         back = longest - 1
         t = np.arange(-back, longest + WEIGHT + 1)
         at = k[:, None] + t
@@ -114,15 +115,15 @@ class EvalIndex:
         text = np.where(own, words[np.clip(where, 0, len(words) - 1)], np.uint64(1))
         equal = np.stack([item == text[:, s : s + len(t)] for s in range(2 * SHIFT + 1)])
         equal &= inside & np.stack([own[:, s : s + len(t)] for s in range(2 * SHIFT + 1)])
-        # a necessary condition first: enough words of a window found at any shift
+        # a necessary condition of each size first: enough words of a window found at any shift
         some = np.cumsum(np.pad(equal.any(0), ((0, 0), (1, 0))), axis=1)
-        length = LEAST_WORDS
-        likely = np.flatnonzero(((some[:, length:] - some[:, :-length]) >= length - 1 - length // ONE_ERROR_IN).any(1))
+        enough = [((some[:, size:] - some[:, :-size]) >= size - size // ONE_ERROR_IN).any(1) for size in SIZES]
+        likely = np.flatnonzero(np.logical_or.reduce(enough))
         result = np.zeros(len(j), bool)
         if not len(likely):
             return result
         equal, inside = equal[:, likely], inside[likely]
-        for size in (LEAST_WORDS, 2 * ONE_ERROR_IN, 3 * ONE_ERROR_IN):
+        for size in SIZES:
             result[likely] |= self._aligned(equal, inside, size)
         return result
 
