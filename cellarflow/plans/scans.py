@@ -99,8 +99,9 @@ def io13_cache(spark, d):
 
 def io14_append_log(spark, d):
     path = _path(spark, "log")
-    for kind in ("view", "click", "purchase"):
-        table(spark, d, "events").where(F.col("event_type") == kind).select("event_id", "event_type").write.mode("append").json(path)
+    kinds = [r.event_type for r in table(spark, d, "events").select("event_type").distinct().collect()]
+    for kind in kinds:
+        table(spark, d, "events").where(F.col("event_type").eqNullSafe(F.lit(kind))).select("event_id", "event_type").write.mode("append").json(path)
     return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
@@ -123,7 +124,7 @@ def io17_sitemap(spark, d):
 
 
 def io19_layered_rules(spark, d):
-    base = table(spark, d, "part").where("p_partkey < 40").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_size").cast("double").alias("weight"), F.col("p_name").alias("text"))
+    base = table(spark, d, "part").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_size").cast("double").alias("weight"), F.col("p_name").alias("text"))
     over = base.where("weight > 40").select("id", F.lit(1.0).alias("weight"), F.lit("over").alias("text"))
     patch = base.where("text like 'red%'").select("id", F.lit(None).cast("double").alias("weight"), F.lit("patched").alias("text"))
     added = spark.createDataFrame([("n1", 5.0, "new")], "id string, weight double, text string")

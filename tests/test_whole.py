@@ -3,6 +3,7 @@
 import itertools
 
 from cellarflow.plans import facets as P
+from cellarflow.plans import scans as I
 from cellarflow.plans import words as W
 
 
@@ -39,3 +40,14 @@ def test_dish_check_of_all_suppliers(spark, tmp_path):
                 want |= {(s, a, k, i) for i, (_, k) in enumerate(good[:2], 1)}
     got = [tuple(r) for r in P.so17_dish_check(spark, d).select("s_suppkey", "asked", "p_partkey", "place").collect()]
     assert len(got) == len(want) and set(got) == want and any(s >= 10 for s, *_ in want)
+
+
+def test_rules_of_all_parts_and_log_of_all_events(spark, tmp_path):
+    parts = [(k, "red hat" if k % 9 == 0 else f"hat {k}", k % 50 + 1) for k in range(1, 101)]
+    events = [(i, ("view", "click", "purchase", "signup", "error", None)[i % 6]) for i in range(30)]
+    d = tables(spark, tmp_path, part=(parts, "p_partkey long, p_name string, p_size int"), events=(events, "event_id long, event_type string"))
+    want = {f"r{k}": (1.0 if size > 40 else float(size), "patched" if name[:3] == "red" else "over" if size > 40 else name) for k, name, size in parts if k > 2}
+    rules = I.io19_layered_rules(spark, d).collect()
+    assert {r.id: (r.weight, r.text) for r in rules} == want | {"n1": (5.0, "new")} and len(rules) == 99
+    log = {r.event_type: (r.n, r.last) for r in I.io14_append_log(spark, d).collect()}
+    assert log == {kind: (5, 24 + i) for i, kind in enumerate(("view", "click", "purchase", "signup", "error", None))}
