@@ -139,25 +139,27 @@ def fit_listwise(df: DataFrame, query: str, features: list[str], positive: str,
     return [{"name": c, "coef": float(a), "mean": float(m), "scale": float(s)} for c, a, m, s in zip(features, w, mean, scale)]
 
 
-def fit_temperature(df: DataFrame, query: str, score: str, positive: str, low: float = 0.05, high: float = 20.0, steps: int = 20) -> float:
-    """The temperature of least log loss, by golden section on its logarithm; queries without a positive don't count."""
+def fit_temperature(df: DataFrame, query: str, score: str, positive: str, low: float = 0.05, high: float = 20.0, steps: int = 20, width: float = 1e-6) -> float:
+    """The temperature of least log loss; queries without a positive don't count.
+
+    Each step takes the losses of 16 temperatures in one aggregate and keeps the logarithms next to the best, until they are ``width`` apart.
+    """
     kept = df.join(df.where(F.col(positive)).select(query).distinct(), query, "left_semi").select(query, score, positive).persist()
+    whole = Window.partitionBy(query)
+    below = kept.withColumn("__s", F.col(score) - F.max(score).over(whole))
 
-    def loss(log_t: float) -> float:
-        p = softmax(kept, query, score, math.exp(log_t))
-        return p.where(F.col(positive)).agg(F.avg(-F.log(F.greatest("p", F.lit(1e-300))))).first()[0] or 0.0
+    def losses(logs: list[float]) -> list[float]:
+        parts = [F.exp(F.col("__s") / math.exp(t)) for t in logs]
+        p = below.select(positive, *[(e / F.sum(e).over(whole)).alias(f"__p{i}") for i, e in enumerate(parts)])
+        return [x or 0.0 for x in p.where(F.col(positive)).agg(*[F.avg(-F.log(F.greatest(f"__p{i}", F.lit(1e-300)))) for i in range(len(logs))]).first()]
 
-    a, b, ratio = math.log(low), math.log(high), (math.sqrt(5) - 1) / 2
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = loss(c), loss(d)
+    a, b, n = math.log(low), math.log(high), 16
     for _ in range(steps):
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = loss(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = loss(d)
+        if b - a <= width:
+            break
+        logs = [a + (b - a) * i / (n - 1) for i in range(n)]
+        values = losses(logs)
+        best = values.index(min(values))
+        a, b = logs[max(best - 1, 0)], logs[min(best + 1, n - 1)]
     kept.unpersist()
     return math.exp((a + b) / 2)

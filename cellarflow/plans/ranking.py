@@ -68,7 +68,7 @@ def ma10_fitted(spark, d):
 
 def ma11_temperature(spark, d):
     rows = _lines(spark, d).withColumn("y", F.col("l_extendedprice") == F.max("l_extendedprice").over(Window.partitionBy("l_orderkey")))
-    return spark.createDataFrame([(R.fit_temperature(rows, "l_orderkey", "l_quantity", "y", steps=6),)], "temperature double")
+    return spark.createDataFrame([(R.fit_temperature(rows, "l_orderkey", "l_quantity", "y"),)], "temperature double")
 
 
 def ma12_features(spark, d):

@@ -1,8 +1,10 @@
 """Queries that have to answer for whole tables: against brute force, on small tables that hold what a cut would lose."""
 
 import itertools
+import math
 
 from cellarflow.plans import facets as P
+from cellarflow.plans import ranking as K
 from cellarflow.plans import scans as I
 from cellarflow.plans import words as W
 
@@ -51,3 +53,23 @@ def test_rules_of_all_parts_and_log_of_all_events(spark, tmp_path):
     assert {r.id: (r.weight, r.text) for r in rules} == want | {"n1": (5.0, "new")} and len(rules) == 99
     log = {r.event_type: (r.n, r.last) for r in I.io14_append_log(spark, d).collect()}
     assert log == {kind: (5, 24 + i) for i, kind in enumerate(("view", "click", "purchase", "signup", "error", None))}
+
+
+def test_temperature_is_the_best(spark, tmp_path):
+    lines = [(q, q * 7 + i, 1, i, float((q * 5 + i * 11) % 13), 100.0 * ((q * 5 + i * 11) % 13 + (q + i) * 3 % 8), 0.0, 0.0) for q in range(40) for i in range(1, 6)]
+    d = tables(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"))
+    queries = [[(x[4], x[5]) for x in lines if x[0] == q] for q in range(40)]
+
+    def loss(log_t):
+        ones = []
+        for rows in queries:
+            total = sum(math.exp(s / math.exp(log_t)) for s, _ in rows)
+            ones += [math.log(total) - s / math.exp(log_t) for s, y in rows if y == max(y for _, y in rows)]
+        return sum(ones) / len(ones)
+
+    a, b = math.log(0.05), math.log(20)
+    for _ in range(100):
+        c, e = a + (b - a) / 3, b - (b - a) / 3
+        a, b = (a, e) if loss(c) < loss(e) else (c, b)
+    got = K.ma11_temperature(spark, d).first().temperature
+    assert 0.1 < got < 19 and abs(got / math.exp(a) - 1) < 1e-4
