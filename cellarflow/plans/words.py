@@ -127,12 +127,16 @@ def wn11_anchor(spark, d):
 
 
 def wn12_negation(spark, d):
+    """Of every word how often it is negated: by one of the two words before it, or refused within four words after it; clauses bound both."""
     from pyspark.sql import Window
 
-    words = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(X.sentences("text")).alias("clause", "s")).select("doc_id", "clause", F.posexplode(X.words_of(F.lower("s"))).alias("pos", "w"))
-    near = Window.partitionBy("doc_id", "clause").orderBy("pos").rowsBetween(-2, -1)
-    rows = words.withColumn("negated", F.coalesce(F.bool_or(F.col("w").isin("не", "без", "no", "not", "without")).over(near), F.lit(False)))
-    return rows.where(F.col("w").isin("кожицу", "перезапуска", "доступа", "wine", "air")).groupBy("w").agg(F.count("*").alias("n"), F.count_if("negated").alias("negated"))
+    clauses = F.flatten(F.transform(X.sentences("text"), lambda s: F.split(s, "[,.;:!?—]+")))
+    words = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(clauses).alias("clause", "s")).select("doc_id", "clause", F.posexplode(X.words_of(F.lower("s"))).alias("pos", "w"))
+    order = Window.partitionBy("doc_id", "clause").orderBy("pos")
+    refusal = F.col("w").isin("нет", "нету", "кончился", "кончилась", "закончился") | ((F.col("w") == "не") & F.coalesce(F.lead("w").over(order) == "будет", F.lit(False)))
+    before = F.bool_or(F.col("w").isin("не", "без", "no", "not", "without")).over(order.rowsBetween(-2, -1))
+    rows = words.withColumn("refusal", refusal).withColumn("negated", F.coalesce(before, F.lit(False)) | F.coalesce(F.bool_or("refusal").over(order.rowsBetween(1, 4)), F.lit(False)))
+    return rows.groupBy("w").agg(F.count("*").alias("n"), F.count_if("negated").alias("negated"))
 
 
 def wn15_outermost(spark, d):

@@ -55,6 +55,15 @@ def test_rules_of_all_parts_and_log_of_all_events(spark, tmp_path):
     assert log == {kind: (5, 24 + i) for i, kind in enumerate(("view", "click", "purchase", "signup", "error", None))}
 
 
+def test_negation_of_all_words(spark, tmp_path):
+    texts = ["не сладкое вино, сухое", "шашлыка у нас совсем нет", "борща сегодня не будет; рыба есть", "без сахара: вино", "один два три четыре пять нет", None]
+    d = tables(spark, tmp_path, documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.w: (r.n, r.negated) for r in W.wn12_negation(spark, d).collect()}
+    negated = {"сладкое", "вино", "шашлыка", "у", "нас", "совсем", "борща", "сегодня", "сахара", "два", "три", "четыре", "пять", "будет"}
+    assert {w for w, (_, k) in got.items() if k} == negated and got["вино"] == (2, 1)
+    assert set(got) == {w for t in texts if t for w in t.replace(",", "").replace(";", "").replace(":", "").split()}
+
+
 def test_temperature_is_the_best(spark, tmp_path):
     lines = [(q, q * 7 + i, 1, i, float((q * 5 + i * 11) % 13), 100.0 * ((q * 5 + i * 11) % 13 + (q + i) * 3 % 8), 0.0, 0.0) for q in range(40) for i in range(1, 6)]
     d = tables(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"))
