@@ -396,7 +396,7 @@ SQL = {
     "so07_rule_order": "select *, row_number() over (order by abs(weight) desc, id)::int as place from (values ('price_fits', 2.0::double), ('size_clash', -3.5), ('same_digit', 1.0), ('poor', -1.0), ('festive', 1.5)) v(id, weight)",
     "so15_by_label": f"{_WITH} select a.winery as said, r.slug, 'winery' as part, row_number() over (partition by a.winery order by r.vintage desc nulls last, r.slug)::int as place from anchors a join rows r on r.winery = a.winery qualify place <= 6 union all select a.winery, n.slug, 'similar', row_number() over (partition by a_slug order by n.alike desc, n.sugar_gap, n.strength_gap, n.slug)::int as place from near n join anchors a on a.slug = n.a_slug qualify place <= 3",
     "so19_question": "select cluster_b, count(*) as n, case when count(distinct category) >= 2 then 'category' when count(distinct sugar_class) >= 2 then 'sugar_class' when count(distinct vintage) >= 2 then 'vintage' when count(distinct winery) >= 2 then 'winery' end as field from catalog_positions where cluster_b is not null group by 1",
-    "so17_dish_check": f"with {_RULES}, b as (select * from verdicts where verdict = 'no' and s_suppkey < 10), g as (select * from verdicts where verdict = 'yes' and s_suppkey < 10) select b.s_suppkey, b.p_partkey as asked, g.p_partkey, row_number() over (partition by b.s_suppkey, b.p_partkey order by abs(b.p_retailprice - g.p_retailprice), g.p_partkey)::int as place from b join g on b.s_suppkey = g.s_suppkey and b.p_brand = g.p_brand qualify place <= 2",
+    "so17_dish_check": f"with {_RULES}, b as (select * from verdicts where verdict = 'no'), g as (select * from verdicts where verdict = 'yes') select b.s_suppkey, b.p_partkey as asked, g.p_partkey, row_number() over (partition by b.s_suppkey, b.p_partkey order by abs(b.p_retailprice - g.p_retailprice), g.p_partkey)::int as place from b join g on b.s_suppkey = g.s_suppkey and b.p_brand = g.p_brand qualify place <= 2",
     "pf12_ranges": """select p_partkey, unnest(case p_size % 3 when 0 then [1.5::double] when 1 then ['-inf'::double, 4.0] else [0.0::double, 2.0] end) as lo, unnest(case p_size % 3 when 0 then [3.0::double] when 1 then [1.0, 'inf'::double] else [0.0::double, 3.0] end) as hi from part""",
     "pf16_abstain": """with a as (select query_id, nullif(regexp_replace(lower(trim(predicted_slug, ' ')), '[ _]+', '-', 'g'), '') as predicted, latency_ms, candidates, margin from predictions qualify row_number() over (partition by query_id order by logged_at desc nulls last, latency_ms nulls last, margin nulls last, predicted_slug nulls last, image_path nulls last) = 1),
       f as (select query_id, coalesce(margin < 0.03, false) as low_margin, coalesce(len(candidates) < 3, true) as few, coalesce(latency_ms > 1500, false) as slow, predicted is null as no_answer from a) select *, (low_margin and (few or slow)) or no_answer as abstain from f""",

@@ -176,11 +176,11 @@ SQL = {
     "io10_index": "select label::varchar as slug, vec_id % 3 as view, count(*) as n from embeddings group by 1, 2",
     "io11_dictionary": "select entry_id, lex_field, canonical, len(slugs)::int as n_slugs from lex_entries",
     "io12_model": "select round(sum(2.0 * (l_tax - 0.04) / 0.02), 2) as total from lineitem",
-    "io14_append_log": "select event_type, count(*) as n, max(event_id) as last from events where event_type in ('view', 'click', 'purchase') group by 1",
+    "io14_append_log": "select event_type, count(*) as n, max(event_id) as last from events group by 1",
     "io15_sealed": "select 'dev' as split, count(*) as n from frames where coalesce(lower(trim(set_name, ' ')) not in ('test', 'holdout'), true)",
     "io16_merge_patch": """select event_id, '{"z": 1}' as state from events""",
     "io17_sitemap": "select distinct slug from catalog_positions",
-    "io19_layered_rules": "select 'r' || p_partkey as id, case when p_size > 40 then 1.0 else p_size end::double as weight, case when p_name like 'red%' then 'patched' when p_size > 40 then 'over' else p_name end as text from part where p_partkey < 40 and (p_partkey not in (1, 2) or p_size > 40) union all select 'n1', 5.0, 'new'",
+    "io19_layered_rules": "select 'r' || p_partkey as id, case when p_size > 40 then 1.0 else p_size end::double as weight, case when p_name like 'red%' then 'patched' when p_size > 40 then 'over' else p_name end as text from part where p_partkey not in (1, 2) or p_size > 40 union all select 'n1', 5.0, 'new'",
     "io20_strict": "select entry_id, lex_field, canonical, 'lex_entries' as source from lex_entries",
     "io21_same_hash": "select count(*) as n, true as same from part",
     "ma23_flattened": "select event_id, (props::json->>'k')::int as f_k from events",
