@@ -13,7 +13,7 @@ from cellarflow.plans.facets import _PROFILE as _FACETS_PROFILE
 from cellarflow.plans.facets import _STEP as _FACETS_STEP
 from cellarflow.plans.facets import _WITH as _FACETS
 from cellarflow.plans.facets import _near, _profile, _rows
-from cellarflow.plans.retrieval import _index, _queries, _sims
+from cellarflow.plans.retrieval import _ALIGNED, _SIMS, _index, _queries, _slugs
 from cellarflow.operators import facets as C
 from cellarflow.operators import vectors as V
 from cellarflow.sources.tables import table
@@ -89,7 +89,7 @@ def wn13_bins(spark, d):
 
 
 def vr09_best_view(spark, d):
-    return V.per_slug(V.best_window(_sims(spark, d)), "max").select("query", "slug", "view")
+    return _slugs(spark, d, "max").select("query", "slug", "view")
 
 
 def ux01_lines(spark, d):
@@ -106,11 +106,15 @@ def ux05_aggregations(spark, d):
     """The three ways to aggregate, side by side: the first entity of each query."""
     result = None
     for how in V.AGGREGATIONS:
-        part = V.search(_index(spark, d), _queries(spark, d), 1, how).select(F.lit(how).alias("how"), "query", "slug")
+        part = V.search(_index(spark, d), _queries(spark, d), 1, how, skip_self=True).select(F.lit(how).alias("how"), "query", "slug")
         result = part if result is None else result.unionByName(part)
     return result
 
 
+def _first_of(how: str, score: str, source: str, total: str) -> str:
+    return f"select '{how}' as how, query, slug from (select query, slug, {total}(best) as score from (select query, row_id, slug, max({score}) as best from {source} group by all) group by all) join firsts using (slug) qualify row_number() over (partition by query order by round(score, 12) desc, first) = 1"
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("tx", "pf", "ma", "wn", "vr", "ux") and n[2:4].isdigit()}
 SQL = {
     "pf21_rule_sugar": "select listing_id, coalesce(sugar_class, case when regexp_matches(lower(name), 'десерт|портвейн|dolce|sweet') then 'sladkoe' end) as sugar from wine_cards",
@@ -118,8 +122,10 @@ SQL = {
     "tx18_forms": "select w, array_to_string(list_transform(case when w like '%ий' then ['ий', 'яя', 'ее', 'ие', 'его'] else ['ый', 'ая', 'ое', 'ые', 'ого'] end, lambda e: left(w, length(w) - 2) || e), ',') as forms from (select distinct split_part(norm, ' ', -1) as w from lex_entries where lex_field <> 'cuvee' and regexp_matches(norm, '(ый|ий)$'))",
     "ux02_vectors": "select slug, 1.0::double as length from catalog_positions where length(name) > 1",
     "ma16_grid": "with r as (select t.threshold / 10.0::double as threshold, round(avg(((p_top1 >= t.threshold / 10.0::double) = (margin >= 0.05))::int), 6) as accuracy from frames join predictions using (query_id), range(1, 10) t(threshold) where p_top1 is not null and margin is not null group by 1) select *, row_number() over (order by accuracy desc, threshold)::int as place from r",
-    "vr09_best_view": """with s as (select q.vec_id // 100 as query, i.vec_id as row_id, i.label as slug, i.vec_id % 3 as view, list_inner_product(i.embedding::double[], q.embedding::double[]) as sim from embeddings i, embeddings q where i.vec_id % 25 <> 0 and q.vec_id % 25 = 0)
+    "vr09_best_view": """with s as (select q.vec_id // 100 as query, i.vec_id as row_id, i.label as slug, i.vec_id % 3 as view, list_inner_product(i.embedding::double[], q.embedding::double[]) as sim from embeddings i, embeddings q where i.vec_id <> q.vec_id and q.vec_id % 20 = 0)
       select query, slug, arg_max(view, struct_pack(b := best, r := -row_id)) as view from (select query, row_id, slug, view, max(sim) as best from s group by all) group by query, slug""",
+    "ux05_aggregations": f"""with {_SIMS}, {_ALIGNED.format(base='is_base')}, firsts as (select label as slug, min(vec_id) as first from embeddings group by 1)
+      {_first_of('max', 'sim', 'sims', 'max')} union all {_first_of('mean', 'sim', 'sims', 'avg')} union all {_first_of('zmax', 'aligned', 'aligned', 'max')}""",
     "tx31_smalltalk": """with t as (select trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') as t from text_lines) select case when t in ('привет', 'здравствуйте', 'hello', 'hi') then 'hello' when t in ('спасибо', 'thanks', 'thank you') then 'thanks' when t in ('пока', 'до свидания', 'bye') then 'bye' end as kind, count(*) as n from t group by 1""",
     "pf02_facts": """select slug, coalesce(case when regexp_matches(lower(name), 'экстра[ -]брют|extra[ -]brut') then 'extra_brut' when regexp_matches(lower(name), 'полусух|semi-?dry|off-dry') then 'polusuhoe' when regexp_matches(lower(name), 'полуслад|semi-?sweet') then 'polusladkoe' when regexp_matches(lower(name), 'брют|(^|[^a-z])brut($|[^a-z])') then 'brut'
       when regexp_matches(lower(name), 'сух(ое|ой|ая)|(^|[^a-z])dry($|[^a-z])') then 'suhoe' when regexp_matches(lower(name), 'сладк(ое|ий|ая)|(^|[^a-z])sweet($|[^a-z])') then 'sladkoe' end, regexp_extract_all(slug, '(ekstra-bryut|bryut|polusukhoe|polusladkoe|sukhoe|sladkoe)', 1)[-1]) as sugar, cluster_b, coalesce(list_contains(noise_flags, 'wrong_photo'), false) as wrong_photo from catalog_positions""",
