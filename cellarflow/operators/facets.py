@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellarflow.operators.skew import salted_join
+
 # Steps of sweetness, what an unknown gap costs, axes' bounds.
 SUGAR_STEPS = {"ekstra_bryut": 0, "extra_brut": 0, "brut": 1, "suhoe": 1, "polusuhoe": 2, "polusladkoe": 3, "sladkoe": 4}
 UNKNOWN_STRENGTH_GAP, UNKNOWN_SUGAR_GAP, STRENGTH_STEP = 3.0, 9, 0.5
@@ -77,19 +79,18 @@ def with_contrast(ranked: DataFrame, by: list[str], place: str, contrast: str, k
     return kept.withColumn(place, F.least(F.col(place), F.lit(k))).drop("__some", "__first")
 
 
-def similar_pairs(anchors: DataFrame, rows: DataFrame, block: list[str]) -> DataFrame:
+def similar_pairs(anchors: DataFrame, rows: DataFrame, block: str) -> DataFrame:
     """Anchor × row of one block, with the parts of the nearness key; an anchor never meets itself or its winery.
 
-    Both have (slug, winery, region, grapes, sugar_class, strength) and the block columns; ``a_`` names the anchor's.
+    Both have (slug, winery, category, grapes, sugar_class, strength) and the column ``block``; ``a_`` names the anchor's.
+    A block of many pairs is cut into parts by the anchors' slugs. Rows of a null block meet nothing.
     """
-    a = anchors.select(*block, *[F.col(c).alias(f"a_{c}") for c in ("slug", "winery", "category", "grapes", "sugar_class", "strength")])
-    pairs = a.join(rows, block).where((F.col("slug") != F.col("a_slug")) & ~F.col("winery").eqNullSafe(F.col("a_winery")))
+    a = anchors.select(block, *[F.col(c).alias(f"a_{c}") for c in ("slug", "winery", "category", "grapes", "sugar_class", "strength")])
+    pairs = salted_join(a, rows, block, "a_slug").where((F.col("slug") != F.col("a_slug")) & ~F.col("winery").eqNullSafe(F.col("a_winery")))
     gap = F.abs(sugar_step("sugar_class") - sugar_step("a_sugar_class"))
     return pairs.withColumn("alike", F.round(jaccard("grapes", "a_grapes"), 6)).withColumn("sugar_gap", F.coalesce(gap, F.lit(UNKNOWN_SUGAR_GAP))).withColumn("strength_gap", F.round(F.coalesce(F.abs(F.col("strength") - F.col("a_strength")), F.lit(UNKNOWN_STRENGTH_GAP)), 6))
 
 
-
-
 def strength_axis(strength: Column) -> Column:
     """Strength in per cent to an axis from 0 to 5: 8 % and less is 0, 12 % is 2.5, 16 % and more is 5; null stays null."""
     return F.when(strength.isNotNull(), F.least(F.greatest((strength - 8.0) * (5.0 / 8.0), F.lit(0.0)), F.lit(5.0)))

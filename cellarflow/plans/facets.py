@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellarflow.operators import facets as C
 from cellarflow.operators import rules as R
 from cellarflow.operators.order import numbered
+from cellarflow.operators.skew import salted_join
 from cellarflow.sources.tables import table
 
 
@@ -16,13 +17,10 @@ def _rows(spark, d):
     return rows.select("slug", "name", "winery", "category", "grapes", "sugar_class", "vintage", F.try_element_at("abv", F.lit(1)).alias("strength"), "cluster_b")
 
 
-def _anchors(spark, d):
-    """The first position of every winery is an anchor that others are compared with."""
-    return _rows(spark, d).where("winery is not null").groupBy("winery").agg(F.min_by(F.struct("slug", "name", "category", "grapes", "sugar_class", "vintage", "strength", "cluster_b"), "slug").alias("a")).select("winery", "a.*")
-
-
 def _near(spark, d):
-    return C.similar_pairs(_anchors(spark, d).withColumn("block", F.col("category")), _rows(spark, d).withColumn("block", F.col("category")), ["block"])
+    """Every position as an anchor with the others of its category."""
+    rows = _rows(spark, d).withColumn("block", F.col("category"))
+    return C.similar_pairs(rows, rows, "block")
 
 
 def pf01_keys(spark, d):
@@ -40,7 +38,8 @@ def pf04_style_pool(spark, d):
 
 
 def pf05_excluded(spark, d):
-    pairs = _anchors(spark, d).select(F.col("slug").alias("a_slug"), F.col("winery").alias("a_winery"), F.col("cluster_b").alias("a_cluster"), "category").join(_rows(spark, d), "category")
+    anchors = _rows(spark, d).select(F.col("slug").alias("a_slug"), F.col("winery").alias("a_winery"), F.col("cluster_b").alias("a_cluster"), "category")
+    pairs = salted_join(anchors, _rows(spark, d), "category", "a_slug")
     kept = pairs.where(~((F.col("slug") == F.col("a_slug")) | F.coalesce(F.col("cluster_b") == F.col("a_cluster"), F.lit(False)) | F.coalesce(F.col("winery") == F.col("a_winery"), F.lit(False))))
     return kept.groupBy("a_slug").agg(F.count("*").alias("n"))
 
@@ -215,9 +214,9 @@ def ma06_move(spark, d):
 
 def so11_profile_distance(spark, d):
     p = _profile(spark, d)
-    a = p.join(_anchors(spark, d).select("slug"), "slug").select(F.col("slug").alias("a_slug"), "category", F.col("body").alias("ab"), F.col("sweet").alias("asw"))
+    a = p.select(F.col("slug").alias("a_slug"), "category", F.col("body").alias("ab"), F.col("sweet").alias("asw"))
     distance, known = C.profile_distance([F.col("body"), F.col("sweet")], [F.col("ab"), F.col("asw")])
-    rows = a.join(p, "category").where("slug <> a_slug").withColumn("distance", F.round(distance, 4)).withColumn("known", known).where("known > 0")
+    rows = salted_join(a, p, "category", "a_slug").where("slug <> a_slug").withColumn("distance", F.round(distance, 4)).withColumn("known", known).where("known > 0")
     order = Window.partitionBy("a_slug").orderBy("distance", F.col("known").desc(), "slug")
     return rows.withColumn("place", F.row_number().over(order)).where("place <= 3").select("a_slug", "slug", "distance", "known", "place")
 
@@ -229,10 +228,34 @@ def _rules():
     return [("price_fits", 2.0, F.abs(F.col("p_retailprice") * 5 - F.col("s_acctbal")) < 1000), ("size_clash", -3.5, (F.col("p_size") > 40) & (F.col("s_nationkey") < 5)), ("same_digit", 1.0, F.col("p_size") % 10 == F.col("s_nationkey") % 10), ("poor", -1.0, F.col("s_acctbal") < 0), ("festive", 1.5, F.col("p_type") == "PROMO")]
 
 
+_PART, _DISH = ["p_partkey", "p_type", "p_size", "p_retailprice", "p_brand"], ["s_suppkey", "s_nationkey", "s_acctbal"]
+PRICE_BAND = 1000
+
+
 def _crossed(spark, d):
     """Every part with every supplier, as every wine is scored with every dish: the result is the matrix."""
-    dishes = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice", "p_brand").crossJoin(dishes)
+    return table(spark, d, "part").select(*_PART).crossJoin(table(spark, d, "supplier").select(*_DISH))
+
+
+def _counted(spark, d):
+    """(mask, n): how many pairs of a part and a supplier have which rules, without making the pairs.
+
+    All rules but the one on prices compare properties with few values, so pairs are counted by those; the pairs that
+    meet in price are found by bands and counted by the same properties, and come off the rest.
+    """
+    small = {"p_big": F.col("p_size") > 40, "p_digit": F.col("p_size") % 10, "p_promo": F.col("p_type") == "PROMO"}, {"s_low": F.col("s_nationkey") < 5, "s_digit": F.col("s_nationkey") % 10, "s_poor": F.col("s_acctbal") < 0}
+    price, band = (F.col("p_retailprice") * 5).alias("price"), lambda c: F.floor(c / PRICE_BAND)
+    parts = table(spark, d, "part").withColumns(small[0]).groupBy(*small[0], price).agg(F.count("*").alias("np"))
+    dishes = table(spark, d, "supplier").withColumns(small[1]).groupBy(*small[1], "s_acctbal").agg(F.count("*").alias("ns"))
+    names = [*small[0], *small[1]]
+    near = salted_join(parts.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: band(F.col("price")) + k))), dishes.withColumn("band", band(F.col("s_acctbal"))), "band", "price")
+    near = near.where(F.abs(F.col("price") - F.col("s_acctbal")) < PRICE_BAND).groupBy(*names).agg(F.sum(F.col("np") * F.col("ns")).alias("met"))
+    every = parts.groupBy(*small[0]).agg(F.sum("np").alias("np")).crossJoin(dishes.groupBy(*small[1]).agg(F.sum("ns").alias("ns")))  # classes, at most 44 x 44
+    sides = every.alias("e").join(near.alias("m"), [F.col(f"e.{c}").eqNullSafe(F.col(f"m.{c}")) for c in names], "left").select(*[f"e.{c}" for c in names], F.coalesce("met", F.lit(0)).alias("met"), (F.col("np") * F.col("ns")).alias("n"))
+    split = sides.select(*names, F.explode(F.array(F.struct(F.lit(True).alias("fits"), F.col("met").alias("k")), F.struct(F.lit(False).alias("fits"), (F.col("n") - F.col("met")).alias("k")))).alias("x")).where("x.k > 0")
+    holds = [F.col("x.fits"), F.col("p_big") & F.col("s_low"), F.col("p_digit") == F.col("s_digit"), F.col("s_poor"), F.col("p_promo")]
+    mask = R.rule_mask([(name, weight, c) for (name, weight), c in zip(RULE_WEIGHTS, holds)])
+    return split.groupBy(mask.alias("mask")).agg(F.sum("x.k").alias("n")).withColumns(R.decoded_mask(F.col("mask"), _rules()))
 
 
 def _pairs(spark, d):
@@ -240,9 +263,7 @@ def _pairs(spark, d):
 
 
 def jn09_rule_join(spark, d):
-    # pairs are counted by which rules hold before anything is spelled out
-    masks = _crossed(spark, d).groupBy(R.rule_mask(_rules()).alias("mask")).agg(F.count("*").alias("n")).withColumns(R.decoded_mask(F.col("mask"), _rules()))
-    return masks.groupBy("total", F.array_join("plus", ",").alias("plus"), F.array_join("minus", ",").alias("minus")).agg(F.sum("n").alias("n"))
+    return _counted(spark, d).groupBy("total", F.array_join("plus", ",").alias("plus"), F.array_join("minus", ",").alias("minus")).agg(F.sum("n").alias("n"))
 
 
 def jn10_first_rule(spark, d):
@@ -251,18 +272,21 @@ def jn10_first_rule(spark, d):
 
 
 def ma04_fit(spark, d):
-    rows = _pairs(spark, d).select("p_partkey", "s_suppkey", F.round(R.fit_score(F.col("total")), 6).alias("score"))
-    return rows.groupBy("score").agg(F.count("*").alias("n"))
+    return _counted(spark, d).groupBy(F.round(R.fit_score(F.col("total")), 6).alias("score")).agg(F.sum("n").alias("n"))
 
 
-def _verdicts(spark, d):
-    rows = _pairs(spark, d).withColumn("score", R.fit_score(F.col("total")))
+def _judged(scored):
+    rows = scored.withColumn("score", R.fit_score(F.col("total")))
     n = F.size("plus") + F.size("minus")
     return rows.withColumn("verdict", R.verdict(F.col("score"), F.when(F.array_contains("minus", "size_clash"), -3.5), n, F.array_contains("minus", "poor")))
 
 
+def _verdicts(spark, d):
+    return _judged(_pairs(spark, d))
+
+
 def ma05_verdicts(spark, d):
-    return _verdicts(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
+    return _judged(_counted(spark, d)).groupBy("verdict").agg(F.sum("n").alias("n"))
 
 
 def jn11_goes_with(spark, d):
@@ -271,9 +295,10 @@ def jn11_goes_with(spark, d):
 
 
 def jn24_verdict_lookup(spark, d):
-    few = _verdicts(spark, d).where("verdict <> 'neutral'").select("p_partkey", "s_suppkey", "verdict")
+    """The verdict of each asked pair; a pair of an unknown part or supplier is neutral."""
     asked = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
-    return asked.join(few, ["p_partkey", "s_suppkey"], "left").groupBy(F.coalesce("verdict", F.lit("neutral")).alias("verdict")).agg(F.count("*").alias("n"))
+    known = asked.join(table(spark, d, "part").select(*_PART), "p_partkey", "left").join(table(spark, d, "supplier").select(*_DISH), "s_suppkey", "left")
+    return _judged(R.score_rules(known, _rules())).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 def ag45_group_verdict(spark, d):
@@ -299,11 +324,12 @@ def ma28_chip_source(spark, d):
 
 
 def so15_by_label(spark, d):
-    """By winery and category read from a label: up to six of the winery, then three similar of others."""
-    asked = _anchors(spark, d).select(F.col("winery").alias("said"), F.col("category").alias("wanted"))
-    own = asked.join(_rows(spark, d), F.col("said") == F.col("winery"))
-    own = own.withColumn("place", F.row_number().over(Window.partitionBy("said").orderBy(F.col("vintage").desc_nulls_last(), "slug"))).where("place <= 6").select("said", "slug", F.lit("winery").alias("part"), "place")
-    near = so01_similar(spark, d).where("place <= 3").join(_anchors(spark, d).select(F.col("slug").alias("a_slug"), F.col("winery").alias("said")), "a_slug").select("said", "slug", F.lit("similar").alias("part"), "place")
+    """For the winery and category on each position's label: up to six of the winery, then three similar of others."""
+    rows = _rows(spark, d)
+    newest = Window.partitionBy("winery").orderBy(F.col("vintage").desc_nulls_last(), "slug")
+    first = rows.where("winery is not null").withColumn("place", F.row_number().over(newest)).where("place <= 6").select("winery", "slug", "place")
+    own = rows.select(F.col("slug").alias("a_slug"), "winery").join(first, "winery").select("a_slug", "slug", F.lit("winery").alias("part"), "place")
+    near = so01_similar(spark, d).where("place <= 3").select("a_slug", "slug", F.lit("similar").alias("part"), "place")
     return own.unionByName(near)
 
 
@@ -340,7 +366,7 @@ def so17_dish_check(spark, d):
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("pf", "st", "so", "wn", "ma", "jn", "ag") and n[2:4].isdigit()}
 _R = "rows as (select slug, name, winery, category, grapes, sugar_class, vintage, abv[1] as strength, cluster_b from catalog_positions)"
 _STEP = "case lower({0}) when 'extra_brut' then 0 when 'ekstra_bryut' then 0 when 'brut' then 1 when 'suhoe' then 1 when 'polusuhoe' then 2 when 'polusladkoe' then 3 when 'sladkoe' then 4 end"
-_A = "anchors as (select * from rows where winery is not null qualify row_number() over (partition by winery order by slug) = 1)"
+_A = "anchors as (select * from rows)"
 _G = "len(list_distinct(list_concat(coalesce(r.grapes, []), coalesce(a.grapes, []))))"
 _N = f"""near as (select a.slug as a_slug, r.slug, r.winery, r.sugar_class, a.sugar_class as a_sugar_class, r.strength, a.strength as a_strength, r.grapes, a.grapes as a_grapes,
   round(case when {_G} = 0 then 0.0 else len(list_intersect(coalesce(r.grapes, []), coalesce(a.grapes, []))) / {_G}::double end, 6) as alike, coalesce(abs({_STEP.format('r.sugar_class')} - {_STEP.format('a.sugar_class')}), 9) as sugar_gap,
@@ -394,7 +420,7 @@ SQL = {
     "ag45_group_verdict": f"with {_RULES} select best, count(*) as n from (select min(case verdict when 'yes' then 0 when 'caveat' then 1 when 'neutral' then 2 else 3 end) as best from verdicts group by p_partkey, s_nationkey) group by 1",
     "so08_top_dishes": f"with {_RULES}, f as (select * from verdicts where verdict = 'yes' qualify row_number() over (partition by p_partkey, s_nationkey order by total desc, s_suppkey) = 1) select p_partkey, s_suppkey, row_number() over (partition by p_partkey order by total desc, s_suppkey)::int as place from f qualify place <= 5",
     "so07_rule_order": "select *, row_number() over (order by abs(weight) desc, id)::int as place from (values ('price_fits', 2.0::double), ('size_clash', -3.5), ('same_digit', 1.0), ('poor', -1.0), ('festive', 1.5)) v(id, weight)",
-    "so15_by_label": f"{_WITH} select a.winery as said, r.slug, 'winery' as part, row_number() over (partition by a.winery order by r.vintage desc nulls last, r.slug)::int as place from anchors a join rows r on r.winery = a.winery qualify place <= 6 union all select a.winery, n.slug, 'similar', row_number() over (partition by a_slug order by n.alike desc, n.sugar_gap, n.strength_gap, n.slug)::int as place from near n join anchors a on a.slug = n.a_slug qualify place <= 3",
+    "so15_by_label": f"{_WITH} select a.slug as a_slug, r.slug, 'winery' as part, row_number() over (partition by a.slug order by r.vintage desc nulls last, r.slug)::int as place from anchors a join rows r on r.winery = a.winery qualify place <= 6 union all select a_slug, n.slug, 'similar', row_number() over (partition by a_slug order by n.alike desc, n.sugar_gap, n.strength_gap, n.slug)::int as place from near n qualify place <= 3",
     "so19_question": "select cluster_b, count(*) as n, case when count(distinct category) >= 2 then 'category' when count(distinct sugar_class) >= 2 then 'sugar_class' when count(distinct vintage) >= 2 then 'vintage' when count(distinct winery) >= 2 then 'winery' end as field from catalog_positions where cluster_b is not null group by 1",
     "so17_dish_check": f"with {_RULES}, b as (select * from verdicts where verdict = 'no'), g as (select * from verdicts where verdict = 'yes') select b.s_suppkey, b.p_partkey as asked, g.p_partkey, row_number() over (partition by b.s_suppkey, b.p_partkey order by abs(b.p_retailprice - g.p_retailprice), g.p_partkey)::int as place from b join g on b.s_suppkey = g.s_suppkey and b.p_brand = g.p_brand qualify place <= 2",
     "pf12_ranges": """select p_partkey, unnest(case p_size % 3 when 0 then [1.5::double] when 1 then ['-inf'::double, 4.0] else [0.0::double, 2.0] end) as lo, unnest(case p_size % 3 when 0 then [3.0::double] when 1 then [1.0, 'inf'::double] else [0.0::double, 3.0] end) as hi from part""",
@@ -404,5 +430,10 @@ SQL = {
       select a_slug, t.slug, place, concat_ws(' / ', r.name, r.winery, case when alike = 1 then 'same grapes' when alike > 0 then 'shares grapes' end, case when sugar_gap = 0 then 'as sweet' end) as note from t join rows r on r.slug = t.slug""",
     "ma28_chip_source": """with p as (select grape, avg(s) as s from (select unnest(grapes) as grape, abv[1] as s from catalog_positions) group by 1), o as (select slug, avg(p.s) as s from (select slug, unnest(grapes) as grape from catalog_positions) join p using (grape) group by 1)
       select c.slug, greatest(case when abv[1] is not null then 0 when o.s is not null then 1 else 2 end, case when sugar_class is null then 2 else 0 end)::int as weakest from catalog_positions c left join o on o.slug = c.slug""",
+    "ma06_move": f"""{_WITH}, {_PROFILE} select a_slug, count(*) filter (coalesce(case when abs(n.strength - n.a_strength) >= 0.5 then n.strength < n.a_strength end, round(a.body - r.body, 6) >= 0.3, false) and not coalesce({_STEP.format('n.sugar_class')} > {_STEP.format('n.a_sugar_class')}, false)) as lighter,
+      count(*) filter (coalesce({_STEP.format('n.sugar_class')} > {_STEP.format('n.a_sugar_class')}, false)) as vetoed from near n join prof r on r.slug = n.slug join prof a on a.slug = n.a_slug group by 1""",
+    "so11_profile_distance": f"""with {_PROFILE}, x as (select a.slug as a_slug, p.slug, round(abs(p.body - a.body) / 5, 2) as b, round(abs(p.sweet - a.sweet) / 5, 2) as s from prof a join prof p using (category) where p.slug <> a.slug),
+      y as (select a_slug, slug, round(coalesce(b, 0) + coalesce(s, 0), 4) as distance, (b is not null)::int + (s is not null)::int as known from x where b is not null or s is not null)
+      select *, row_number() over (partition by a_slug order by distance, known desc, slug)::int as place from y qualify place <= 3""",
     "ma01_profile": f"with {_PROFILE} select slug, body, sweet, source from prof",
 }
