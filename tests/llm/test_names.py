@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cellarflow.llm.names import entry_spellings, match_names, runs_of, similar_sets, sounds
+from cellarflow.llm.names import entry_spellings, match_names, run_lengths, runs_of, similar_sets, sounds
 
 ENTRIES = [(1, "producer", "Хутор Дризестай", False), (2, "producer", "Товавин", False), (3, "cuvee", "Ладосистам Резерв", False), (4, "grape", "Каберне Совиньон", False), (5, "grape", "Каберне Фран", False), (6, "grape", "каберне", True), (7, "cuvee", "Damoneman", False)]
 ENTRIES += [(10 + i, "producer", f"Хутор {n}", False) for i, n in enumerate(["Переботар", "Тедремим", "Кобиралой", "Сталерилай"])]
@@ -40,4 +40,23 @@ def test_sounds():
     assert sounds("Saperavi") == ["saperavi"] and sounds("2019") == [] and len(sounds("COCEP")) == 2
     spelled, common = entry_spellings([(e, f, c) for e, f, c, p in ENTRIES if not p])
     assert (3, "ladrezerv", 0, 2) in spelled and "hutor" in common
-    assert ("drizestai", 1) in runs_of("Xyтop Дpизecтaй")
+    assert ("drizestai", 1) in runs_of("Xyтop Дpизecтaй", run_lengths(spelled))
+
+
+def test_names_of_many_words_and_letters(spark):
+    long = "Верхнедолинопогребновиноградниковский Замечательноразмеренносозревающий"
+    entries = spark.createDataFrame([(1, "cuvee", "Белый Конь Среди Синих Ночных Полей", False), (2, "producer", long, False)], "entry_id long, lex_field string, canonical string, is_part boolean")
+    cases = ["белый конь среди синих ночных полей", "Белый Конь Среди Си них Ночных Полей 2019", "белый конь", long.upper(), long.replace("размер", "разнер"), "Полей"]
+    lines = spark.createDataFrame(list(enumerate(cases)), "line_id long, text string")
+    assert {r.line_id: r.entry_id for r in match_names(lines, "line_id", "text", entries).collect()} == {0: 1, 1: 1, 2: -1, 3: 2, 4: 2, 5: -1}
+
+
+def test_sized_join_against_all_pairs(spark):
+    rng = random.Random(3)
+    made = lambda side, n: [(f"{side}{i}", rng.sample("abcdefghijk", rng.choice([2, 4, 6])), rng.randrange(4, 12)) for i in range(n)]
+    a, b = made("l", 90), made("r", 70)
+    left = spark.createDataFrame(a, "l string, tokens array<string>, size int")
+    right = spark.createDataFrame([(r, t, n - 2, n + 2) for r, t, n in b], "r string, tokens array<string>, lo int, hi int")
+    rows = similar_sets(left, right, 0.4).collect()
+    want = {(x, y) for x, s, n in a for y, t, m in b if abs(n - m) <= 2 and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.4 - 1e-12}
+    assert {(r.l, r.r) for r in rows} == want and len(rows) == len(want)
