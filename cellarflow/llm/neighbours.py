@@ -1,9 +1,12 @@
 """The k most similar vectors of every vector, by learned partitions.
 
 On a bounded sample the exact neighbour graph is cut into balanced parts; a small classifier learns from it which part
-a vector and its neighbours lie in. Every vector is then indexed in its most probable part, routed as a query to
-several most probable ones, and reranked exactly there. Parts that are larger than a block are cut, queries too, so no
-task holds more than one block of each, and equal vectors are searched once, however many rows have them.
+a vector and its neighbours lie in. Every vector is then indexed in its most probable part, routed as a query to the
+most probable ones until they hold nearly all of the probability, and reranked exactly there. Where one classifier
+can't have a part for every PART_ROWS vectors, each of its parts gets a classifier of its own, fitted on a bounded
+sample of the part. Parts that are larger than a block are cut, queries too, so no task holds more than one block of
+each, and equal vectors are searched once, however many rows have them. Vectors travel as half-precision numbers where
+that loses nothing.
 """
 
 from __future__ import annotations
@@ -17,12 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellarflow.operators.skew import salted_join
 from cellarflow.session import Scratch
 
 SAMPLE = 20_000  # vectors that graph and classifier are fitted on, by the hash of their ids
-PART_ROWS = 500  # vectors a part has on average, more if that took more than MOST_PARTS
-MOST_PARTS = 512
-PROBES = 20  # parts a query is sent to
+PART_ROWS = 500  # vectors a part has on average
+MOST_PARTS = 512  # of one classifier; more parts take a second level
+PART_SAMPLE = 5_000  # vectors of a part that a classifier of the second level is fitted on, by the hash of their ids
+PROBES, LEAST_PROBES = 20, 8  # parts a query is sent to at most and at least,
+MASS = 0.95  # between them until they have so much of the probability
 BASE_BLOCK, QUERY_BLOCK = 4_096, 8_192
 SPARE = 6  # candidates beyond k that are scored exactly
 
@@ -125,16 +131,39 @@ class Router:
     offset: np.ndarray
     probes: int
 
-    def route(self, unit: np.ndarray, count: int) -> np.ndarray:
-        """The ``count`` most probable parts of each row, the most probable first."""
+    def route(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most probable parts of each row, the most probable first, and the logarithms of their probabilities."""
         logits = unit.astype(np.float32) @ self.weight.T + self.offset
-        top = _top(logits, count)
+        logits -= logits.max(1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+        top = _top(logits, self.probes)
         order = np.argsort(-np.take_along_axis(logits, top, 1), axis=1, kind="stable")
-        return np.take_along_axis(top, order, 1)
+        top = np.take_along_axis(top, order, 1)
+        return top, np.take_along_axis(logits, top, 1)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+def enough(log_p: np.ndarray, mass: float = MASS) -> np.ndarray:
+    """Which of the parts, the most probable first, a row is sent to: LEAST_PROBES, and those before which ``mass`` isn't reached."""
+    p = np.exp(log_p)
+    return (np.cumsum(p, axis=1) - p < mass) | (np.arange(p.shape[1]) < LEAST_PROBES)
+
+
+def _encode(rows: np.ndarray) -> pa.Array:
+    """Rows of single-precision numbers as bytes, in half precision where that is exact."""
+    with np.errstate(over="ignore"):
+        half = rows.astype(np.float16)
+    exact = (half.astype(np.float32) == rows).all(1)
+    return pa.array([h.tobytes() if e else r.tobytes() for h, r, e in zip(half, rows, exact)], pa.binary())
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows of bytes, single or half precision by their length, as a matrix."""
+    raw = column.to_pylist()
+    half = np.array([len(r) == 2 * dim for r in raw], bool)
+    out = np.empty((len(raw), dim), np.float32)
+    out[half] = np.frombuffer(b"".join(r for r, h in zip(raw, half) if h), np.float16).reshape(-1, dim)
+    out[~half] = np.frombuffer(b"".join(r for r, h in zip(raw, half) if not h), np.float32).reshape(-1, dim)
+    return out
 
 
 def clean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -150,57 +179,55 @@ def clean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return source.mapInArrow(pack, "id long, raw binary")
 
 
-def fit(distinct: DataFrame, n: int, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> tuple[Router | None, int]:
-    """The router of ``n`` distinct vectors (id, raw), and how many numbers a vector has."""
-    rows = distinct.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not rows:
-        return None, 0
-    dim = len(rows[0].raw) // 4
-    unit = unit_rows(np.stack([np.frombuffer(r.raw, np.float32) for r in rows if len(r.raw) == 4 * dim]))
-    parts = int(np.clip(round(n / part_rows), 1, min(MOST_PARTS, max(1, len(unit) // 20))))
+def fit_parts(unit: np.ndarray, parts: int) -> Router:
+    """The classifier of balanced parts of the neighbour graph of ``unit``; one part if that is all, or too few rows."""
+    parts = int(np.clip(parts, 1, max(1, len(unit) // 20)))
     if parts == 1:
-        return Router(np.zeros((1, dim), np.float32), np.zeros(1, np.float32), 1), dim
+        return Router(np.zeros((1, unit.shape[1]), np.float32), np.zeros(1, np.float32), 1)
     graph = neighbour_graph(unit)
-    label = balanced_parts(unit, graph, parts)
-    return Router(*fit_router(unit, graph, label, parts), min(parts, PROBES)), dim
+    return Router(*fit_router(unit, graph, balanced_parts(unit, graph, parts), parts), min(parts, PROBES))
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, sample: int = SAMPLE, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS) -> DataFrame:
     """(id, other, score, rank): the k vectors of highest cosine to each vector, equal cosines by the smaller id.
 
-    Null, empty, all-zero and not finite vectors take no part, nor do those of another length than most have (of equally
-    frequent lengths the shorter). A vector has fewer than k
-    rows only if there are no more others that it was compared with. Rows stored twice are each other's neighbours of
-    score 1. Ids are unique. An empty table gives no rows. Approximate: see the README for the measured recall.
+    Null, empty, all-zero and not finite vectors take no part; vectors of different lengths are not compared, each
+    length is searched by itself. A vector has fewer than k rows only if there are no more others that it was compared
+    with. Rows stored twice are each other's neighbours of score 1. Ids are unique. An empty table gives no rows.
+    Approximate: see the README for the measured recall.
     """
     scratch = Scratch(df.sparkSession, "nearest")
     cleaned = scratch.save(clean_vectors(df, key, vector).withColumn("sig", F.sha2("raw", 256)), "cleaned")
-    usual = cleaned.groupBy(F.length("raw").alias("size")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "size").first()
-    if usual is not None:
-        cleaned = cleaned.where(F.length("raw") == usual["size"])
     # equal vectors: all of a group are found through the smallest id, of which the first k + 1 members are enough
     ordered = Window.partitionBy("sig").orderBy("id")
     first = cleaned.withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= k + 1)
     distinct = scratch.save(first.groupBy("sig").agg(F.min("id").alias("id"), F.min("raw").alias("raw"), F.array_sort(F.collect_list("id")).alias("members")), "distinct")
-    n = distinct.count()
-    router, dim = fit(distinct.select("id", "raw"), n, sample, part_rows)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("other", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-    if router is None:
-        return df.sparkSession.createDataFrame([], schema)
-    lists = _search(scratch.spark, distinct.select("id", "raw"), router, dim, k, scratch)
+    sizes = {r["size"]: r["count"] for r in distinct.groupBy((F.length("raw") / 4).cast("int").alias("size")).count().collect()}
+    lists = None
+    for dim, n in sorted(sizes.items()):
+        one = _search(distinct.where(F.length("raw") == 4 * dim).select("id", "raw"), dim, n, k, sample, part_rows, most_parts, Scratch(df.sparkSession, f"nearest-{dim}"))
+        lists = one if lists is None else lists.unionByName(one)
+    if lists is None:
+        return df.sparkSession.createDataFrame([], T.StructType([T.StructField("id", T.LongType()), T.StructField("other", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
     several = distinct.where(F.size("members") > 1).select(F.col("id").alias("other"), "members")
     spelled = lists.select("id", F.explode("best").alias("x")).select("id", F.col("x.score").alias("score"), F.col("x.other").alias("other")).join(several, "other", "left")
     found = spelled.select("id", "score", F.explode(F.coalesce("members", F.array("other"))).alias("other"))
     own = distinct.where(F.size("members") > 1).select("id", F.lit(1.0).alias("score"), F.explode("members").alias("other"))
     entries = found.unionByName(own).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("negative"), F.col("other")))).alias("all"))
-    reps = distinct.select(F.col("id").alias("rep"), "sig")
-    rows = cleaned.select("id", "sig").join(reps, "sig").select("id", "rep").join(entries.withColumnRenamed("id", "rep"), "rep")
+    # rows by the vector they hold; a vector that is stored often is cut into parts
+    reps = distinct.select(F.col("id").alias("rep"), "sig").join(entries.withColumnRenamed("id", "rep"), "rep").select("sig", "all")
+    rows = salted_join(cleaned.select("id", "sig"), scratch.save(reps, "found"), "sig", "id")
     best = rows.select("id", F.posexplode(F.slice(F.filter("all", lambda x: x["other"] != F.col("id")), 1, k)).alias("rank", "x"))
     return best.select("id", F.col("x.other").alias("other"), (-F.col("x.negative")).alias("score"), (F.col("rank") + 1).alias("rank"))
 
 
-def _search(spark, distinct: DataFrame, router: Router, dim: int, k: int, scratch: Scratch) -> DataFrame:
-    """(id, best): the k best (score, other) of each distinct vector, itself left out."""
+def _routed(distinct: DataFrame, dim: int, n: int, sample: int, part_rows: int, most_parts: int, scratch: Scratch) -> str:
+    """The kept table (id, raw, parts): each vector with the parts it is sent to, its own first."""
+    spark = distinct.sparkSession
+    rows = distinct.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    unit = unit_rows(np.stack([np.frombuffer(r.raw, np.float32) for r in rows]))
+    wanted = max(1, round(n / part_rows))
+    router = fit_parts(unit, min(wanted, most_parts))
     sent = spark.sparkContext.broadcast(router)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,19 +235,65 @@ def _search(spark, distinct: DataFrame, router: Router, dim: int, k: int, scratc
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = router.route(unit_rows(_matrix(batch.column(1), dim)), router.probes)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, parts.shape[1]), pa.int32()), pa.array(parts.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "raw", "parts"])
-
-    routed = scratch.save(distinct.mapInArrow(assign, "id long, raw binary, parts array<int>"), "routed")
-    base = scratch.load("routed").select("id", "raw", F.col("parts")[0].alias("part"))
-    query = routed.select("id", "raw", F.explode("parts").alias("part"))
-    # blocks of bounded size: the counts by part, at most MOST_PARTS of them, say into how many each part is cut
-    base_n = {r.part: r["count"] for r in base.groupBy("part").count().collect()}
-    query_n = {r.part: r["count"] for r in query.groupBy("part").count().collect()}
-    cuts = spark.createDataFrame([(p, -(-n // BASE_BLOCK), -(-query_n.get(p, 0) // QUERY_BLOCK)) for p, n in base_n.items()], "part int, nb int, nq int")
-    cut = lambda df, own, other, own_n, other_n: df.join(F.broadcast(cuts), "part").select("id", "raw", "part", F.pmod(F.xxhash64("id"), F.col(own_n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other))
-    base_b = cut(base, "b", "q", "nb", "nq").groupBy("part", "b", "q")
+            vectors = _matrix(batch.column(1), dim)
+            parts, log_p = router.route(unit_rows(vectors))
+            kept = enough(log_p)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(kept.sum(1))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[kept], t)) for x, t in ((parts, pa.int32()), (log_p, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _encode(vectors), *lists], ["id", "raw", "parts", "log_p"])
+
+    routed = scratch.save(distinct.mapInArrow(assign, "id long, raw binary, parts array<int>, log_p array<float>"), "routed")
+    if wanted <= most_parts:
+        return "routed"
+
+    # second level: a classifier for each part, on its own rows
+    home = {r.part: r["count"] for r in routed.groupBy(F.col("parts")[0].alias("part")).count().collect()}
+    asked = {r.part: r["count"] for r in routed.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}
+    first = Window.partitionBy("part").orderBy(F.xxhash64("id"), "id")
+    fitted_on = routed.select("id", "raw", F.col("parts")[0].alias("part")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= PART_SAMPLE)
+
+    def fit_one(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        fitted = fit_parts(unit_rows(_matrix(rows.column("raw"), dim)), round(home[part] / part_rows))
+        return pa.table({"part": pa.array([part], pa.int32()), "weight": pa.array([fitted.weight.tobytes()], pa.binary()), "offset": pa.array([fitted.offset.tobytes()], pa.binary())})
+
+    models = scratch.save(fitted_on.groupBy("part").applyInArrow(fit_one, "part int, weight binary, offset binary"), "models")
+    cuts = [spark.createDataFrame([(p, -(-asked.get(p, 0) // QUERY_BLOCK)) for p in home], "part int, n int") for _ in range(2)]
+    models = models.join(cuts[0], "part").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).groupBy("part", "cut")
+    # a part that is nobody's own has no rows to find
+    sent_to = routed.select("id", "raw", F.explode(F.arrays_zip("parts", "log_p")).alias("x")).select("id", "raw", F.col("x.parts").alias("part"), F.col("x.log_p").alias("log_p"))
+    sent_to = sent_to.join(cuts[1], "part").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).groupBy("part", "cut")
+
+    def refine(queries: pa.Table, models: pa.Table) -> pa.Table:
+        if not queries.num_rows or not models.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "log_p": pa.array([], pa.float32())})
+        weight = np.frombuffer(models.column("weight")[0].as_py(), np.float32).reshape(-1, dim)
+        inner = Router(weight, np.frombuffer(models.column("offset")[0].as_py(), np.float32), min(len(weight), PROBES))
+        parts, log_p = inner.route(unit_rows(_matrix(queries.column("raw"), dim)))
+        number = queries.column("part").to_numpy().astype(np.int64)[:, None] << 32 | parts
+        total = queries.column("log_p").to_numpy()[:, None] + log_p
+        return pa.table({"id": pa.array(np.repeat(queries.column("id").to_numpy(), parts.shape[1])), "part": pa.array(number.ravel()), "log_p": pa.array(total.ravel().astype(np.float32))})
+
+    finer = sent_to.cogroup(models).applyInArrow(refine, "id long, part long, log_p float")
+    best = finer.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("log_p")).alias("m"), "part"))), 1, PROBES).alias("x"))
+    # until they have MASS of the probability, as above
+    reached = F.aggregate("x", F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("n")), lambda s, y: F.when((s["p"] < MASS) | (s["n"] < LEAST_PROBES), F.struct((s["p"] + F.exp(-y["m"].cast("double"))).alias("p"), (s["n"] + 1).alias("n"))).otherwise(s))
+    kept = best.select("id", F.transform(F.slice("x", F.lit(1), reached["n"]), lambda y: y["part"]).alias("parts"))
+    scratch.save(routed.select("id", "raw").join(kept, "id"), "finer")
+    return "finer"
+
+
+def _search(distinct: DataFrame, dim: int, n: int, k: int, sample: int, part_rows: int, most_parts: int, scratch: Scratch) -> DataFrame:
+    """(id, best): the k best (score, other) of each distinct vector, itself left out."""
+    name = _routed(distinct, dim, n, sample, part_rows, most_parts, scratch)
+    routed = scratch.load(name)
+    home = scratch.load(name).select("id", "raw", F.col("parts")[0].cast("long").alias("part"))
+    query = routed.select("id", "raw", F.explode(F.col("parts").cast("array<long>")).alias("part"))
+    # blocks of bounded size: the counts by part say into how many each part is cut
+    counts = home.groupBy("part").agg(F.count("*").alias("own")).join(query.groupBy("part").agg(F.count("*").alias("asked")), "part")
+    cuts = scratch.save(counts.select("part", F.ceil(F.col("own") / BASE_BLOCK).cast("int").alias("nb"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("nq")), "cuts")
+    cut = lambda df, own, other, own_n, other_n: df.join(cuts, "part").select("id", "raw", "part", F.pmod(F.xxhash64("id"), F.col(own_n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other))
+    base_b = cut(home, "b", "q", "nb", "nq").groupBy("part", "b", "q")
     query_b = cut(query, "q", "b", "nq", "nb").groupBy("part", "b", "q")
 
     def scan(queries: pa.Table, bases: pa.Table) -> pa.Table:

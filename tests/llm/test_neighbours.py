@@ -73,3 +73,22 @@ def test_blocks(spark, monkeypatch, block):
     got = got_of(nearest(spark.createDataFrame(rows, "id long, vec array<float>"), "id", "vec", part_rows=1000))
     want = exact(rows, 10)
     assert {i: [o for o, _ in v] for i, v in got.items()} == {i: [o for o, _ in v] for i, v in want.items()}
+
+
+def test_two_levels(spark):
+    vectors = clustered(4000, 2)
+    rows = [(i, vectors[i].tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    got, want = got_of(nearest(df, "id", "vec", sample=2000, part_rows=50, most_parts=8)), exact(rows, 10)
+    hits = sum(len({o for o, _ in got[i]} & {o for o, _ in want[i]}) for i in want)
+    assert hits >= 0.9 * 40_000 and all(len(v) == 10 for v in got.values())
+
+
+def test_each_length_by_itself(spark):
+    a, b = clustered(60, 5), clustered(40, 6, dim=7) + np.float32(1e-6)  # not exact in half precision
+    rows = [(i, a[i].tolist()) for i in range(60)], [(100 + i, b[i].tolist()) for i in range(40)]
+    got = got_of(nearest(spark.createDataFrame([*rows[0], *rows[1], (200, [1.0, 2.0])], "id long, vec array<float>"), "id", "vec", part_rows=10))
+    want = exact(rows[0], 10) | exact(rows[1], 10)
+    found = sum(len({o for o, _ in got[i]} & {o for o, _ in want[i]}) for i in want)
+    assert set(got) == set(want) and found >= 0.95 * sum(map(len, want.values()))
+    assert all(abs(dict(got[i])[o] - s) < 1e-9 for i in want for o, s in want[i] if o in dict(got[i]))
