@@ -26,3 +26,16 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, pairs_
     spread_left = left.join(counts, key, "left").withColumn("__part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("__parts")
     repeated = right.join(counts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return spread_left.join(repeated, [key, "__part"]).drop("__part")
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: str, rows_a_task: int = PAIRS_A_TASK) -> DataFrame:
+    """Left join on ``key`` with a table that has each key once; keys of many left rows are cut by the hash of ``spread``.
+
+    The right row of such a key is repeated for each part. Rows without a match, null keys included, keep nulls. The
+    result has left's columns, then right's without ``key``; both sides may be empty.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("__l")).where(F.col("__l") > rows_a_task).select(key, F.ceil(F.col("__l") / F.lit(float(rows_a_task))).cast("int").alias("__parts"))
+    parts: Column = F.coalesce("__parts", F.lit(1))
+    spread_left = left.join(counts, key, "left").withColumn("__part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("__parts")
+    repeated = right.join(counts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return spread_left.join(repeated, [key, "__part"], "left").drop("__part")
