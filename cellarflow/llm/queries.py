@@ -12,8 +12,9 @@ from cellarflow.llm.looks import same_look_pairs, with_looks
 from cellarflow.llm.names import match_names
 from cellarflow.llm.neighbours import nearest
 from cellarflow.llm.overlaps import overlap_counts, split_overlaps
-from cellarflow.llm.splits import grouped_splits, split_of_records
+from cellarflow.llm.splits import Components, kept_splits, split_of_records
 from cellarflow.llm.subjects import assign_subjects
+from cellarflow.session import Scratch
 from cellarflow.sources.tables import table
 
 
@@ -68,23 +69,30 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.select("token_id", "query_id", "look", "form", norm.alias("norm_form"), latin.alias("skeleton_form"))
 
 
+def _kept(spark: SparkSession, *batches: DataFrame) -> Components:
+    """The component table after the batches were added one after the other, saved and opened again each time."""
+    path = Scratch(spark, "components").root
+    for batch in batches:
+        kept_splits(batch, "frame_id", ["group_key", "shooter"], path)
+    return Components.open(spark, path)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each frame that is tied to a frame of smaller id, with the smallest of all frames tied to it."""
-    members = grouped_splits(table(spark, sf_dir, "frames"), "frame_id", ["group_key", "shooter"]).members
+    """Each frame that is tied to a frame of smaller id, with the smallest of all frames tied to it; by the kept table."""
+    members = _kept(spark, table(spark, sf_dir, "frames")).members
     return members.where("component < record").select(F.col("component").alias("lead_frame_id"), F.col("record").alias("frame_id"))
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame with its component and its new split."""
-    return split_of_records(grouped_splits(table(spark, sf_dir, "frames"), "frame_id", ["group_key", "shooter"]), "frame_id")
+    return split_of_records(_kept(spark, table(spark, sf_dir, "frames")), "frame_id")
 
 
 def p5_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames' splits if those taken up to the middle of 2025 come first and the others are added to the kept tables."""
     frames = table(spark, sf_dir, "frames")
     early = F.coalesce(F.col("taken_at") < F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(False))
-    kept = grouped_splits(frames.where(early), "frame_id", ["group_key", "shooter"])
-    return split_of_records(grouped_splits(frames.where(~early), "frame_id", ["group_key", "shooter"], kept), "frame_id")
+    return split_of_records(_kept(spark, frames.where(early), frames.where(~early)), "frame_id")
 
 
 def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

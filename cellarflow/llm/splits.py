@@ -8,12 +8,16 @@ splits is put into quarantine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellarflow.operators.skew import salted_lookup
 from cellarflow.session import Scratch
 
 # What stands for "not known" in a key, written without separators.
@@ -21,6 +25,7 @@ PLACEHOLDERS = ["", "unknown", "нет", "n/a", "na", "none", "null", "nan", "н
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 QUARANTINE = "quarantine"
 JUMPS = 3
+TASK_EDGES = 500_000  # edges (16 bytes each) that one task may take on
 SLICES = 4096  # of the components by hash, when they fill deficits
 
 
@@ -30,30 +35,61 @@ def plain_key(column: Column | str) -> Column:
     return F.when(~plain.isin(PLACEHOLDERS), plain)
 
 
-def connected(edges: DataFrame, scratch: Scratch, name: str = "merge") -> DataFrame:
+def _solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the smallest node each is connected with: hooking and pointer jumping over arrays."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        live = lo < hi
+        if not live.any():
+            return nodes, nodes[root]
+        a, b = a[live], b[live]
+        np.minimum.at(root, hi[live], lo[live])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def connected(edges: DataFrame, scratch: Scratch, name: str = "merge", task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root): of each node that an edge (a, b) has, the smallest node it is connected with.
 
     Each round hooks every root to its smallest smaller neighbour, shortens the chains by pointer jumping and draws
-    the edges anew between roots; edges within one root go. Rounds and tables shrink fast, long chains included.
+    the edges anew between roots; edges within one root go. Rounds and tables shrink fast, long chains included. Once
+    no more than ``task_edges`` edges are left, counted first, one task does the remaining rounds in the same way. Rows
+    of a hot root are cut into parts.
     """
     start = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0")
     nodes = start.select(F.col("a").alias("node")).union(start.select("b")).distinct()
-    parents = scratch.save(nodes.select("node", F.col("node").alias("root")), f"{name}-roots-0")
+    parents = scratch.save(nodes.select("node", F.col("node").alias("root")), f"{name}-roots-0") if start.count() > task_edges else None
+    moved = lambda df, column, hooks, spread: salted_lookup(df, hooks.select(F.col("node").alias(column), F.col("up").alias(f"{column}_up")), column, spread).withColumn(column, F.coalesce(f"{column}_up", column)).drop(f"{column}_up")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _solve(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))], ["node", "up"])
+
     live, step = start, 0
-    while not live.isEmpty():
+    while parents is not None and live.count() > task_edges:
         step += 1
         hooks = live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
         for _ in range(JUMPS):
             above = hooks.select(F.col("node").alias("up"), F.col("up").alias("higher"))
-            hooks = hooks.join(above, "up", "left").select("node", F.coalesce("higher", "up").alias("up"))
+            hooks = salted_lookup(hooks, above, "up", "node").select("node", F.coalesce("higher", "up").alias("up"))
         hooks = scratch.save(hooks, f"{name}-hooks-{step}")
-        moved = lambda df, column: df.join(hooks.select(F.col("node").alias(column), F.col("up").alias(f"{column}_up")), column, "left").withColumn(column, F.coalesce(f"{column}_up", column)).drop(f"{column}_up")  # noqa: B023, E731
-        drawn = moved(moved(live, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        drawn = moved(moved(live, "a", hooks, "b"), "b", hooks, "a").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         live = scratch.save(drawn, f"{name}-edges-{step}")
-        parents = scratch.save(moved(parents, "root"), f"{name}-roots-{step}")
+        parents = scratch.save(moved(parents, "root", hooks, "node"), f"{name}-roots-{step}")
         for old in (f"{name}-edges-{step - 1}", f"{name}-roots-{step - 1}", f"{name}-hooks-{step - 1}"):
             scratch.drop(old)
-    return parents
+    last = scratch.save(live.select("a", "b").coalesce(1).mapInArrow(finish, "node long, up long"), f"{name}-last")
+    if parents is None:
+        return last.select("node", F.col("up").alias("root"))
+    return scratch.save(moved(parents, "root", last, "node"), f"{name}-roots")
+
+
+_TABLES = {"members": "record long, component long", "keys": "key string, component long", "splits": "component long, split string, n_records long"}
+MARK = "_WHOLE"
 
 
 @dataclass
@@ -64,6 +100,38 @@ class Components:
     keys: DataFrame
     splits: DataFrame
 
+    def save(self, path: str) -> Components:
+        """Writes the tables as the next version under ``path`` and gives them back as kept.
+
+        A version counts once its mark is there, which is made last and at once: readers, and whoever follows a job that
+        broke off, see the version before or a whole one. Older versions stay until they are removed by hand, as the
+        tables of this object may still read them. Of two writers of one version the second fails.
+        """
+        spark = self.members.sparkSession
+        fs, made = _versions(spark, path)
+        version = f"{path}/v{1 + max(made, default=0):06d}"
+        for name in _TABLES:
+            getattr(self, name).write.mode("errorifexists").parquet(f"{version}/{name}")
+        fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{version}/{MARK}"), False).close()
+        return Components.open(spark, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Components | None:
+        """The latest whole version under ``path``; None if there is none."""
+        fs, made = _versions(spark, path)
+        whole = [v for v in made if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v:06d}/{MARK}"))]
+        if not whole:
+            return None
+        return Components(*[spark.read.schema(columns).parquet(f"{path}/v{max(whole):06d}/{name}") for name, columns in _TABLES.items()])
+
+
+def _versions(spark: SparkSession, path: str) -> tuple:
+    """The file system of ``path`` and the numbers of the versions there, whole or not."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return fs, [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()]
+
 
 def _empty(df: DataFrame, columns: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], columns)
@@ -91,10 +159,10 @@ def add_batch(linked: DataFrame, kept: Components | None, scratch: Scratch, shar
     known = linked.where("key is not null").join(at, "record")
     by_key = known.groupBy("key").agg(F.min("node").alias("least")).join(kept.keys.withColumnRenamed("component", "old"), "key", "left").select("key", F.coalesce("old", "least").alias("hub"), "least")
     by_key = scratch.save(by_key, "by_key")
-    links = known.join(by_key, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = salted_lookup(known, by_key, "key", "record").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     roots = connected(links, scratch)
     # components that were merged and nodes that are new, by their root
-    renamed = lambda df, column: df.join(roots.withColumnRenamed("node", column), column, "left").select(*[F.coalesce("root", column).alias(column) if c == column else c for c in df.columns])
+    renamed = lambda df, column: salted_lookup(df, roots.withColumnRenamed("node", column), column, df.columns[0]).select(*[F.coalesce("root", column).alias(column) if c == column else c for c in df.columns])
     fresh = at.join(kept.members.select("record", F.lit(True).alias("old")), "record", "left").where("old is null").select("record", F.col("node").alias("component"))
     members = scratch.save(renamed(kept.members.unionByName(fresh), "component"), "members")
     fresh_keys = by_key.join(kept.keys.select("key", F.lit(True).alias("old")), "key", "left").where("old is null").select("key", F.col("hub").alias("component"))
@@ -144,6 +212,11 @@ def fill_deficits(new: DataFrame, totals: dict[str | None, int], shares: dict[st
     return small.select("component", split.alias("split"), "n_records").unionByName(placed)
 
 
+def kept_splits(df: DataFrame, record: str, keys: list[str], path: str, shares: dict[str, float] = SPLITS) -> Components:
+    """``grouped_splits`` added to what is kept under ``path``, and kept there: each call is one increment."""
+    return grouped_splits(df, record, keys, Components.open(df.sparkSession, path), shares).save(path)
+
+
 def grouped_splits(df: DataFrame, record: str, keys: list[str], kept: Components | None = None, shares: dict[str, float] = SPLITS) -> Components:
     """Components and splits of the records of ``df`` tied by any of the columns ``keys``, added to ``kept``.
 

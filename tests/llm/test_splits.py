@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from cellarflow.llm.splits import QUARANTINE, connected, fill_deficits, grouped_splits, split_of_records
+import pytest
+
+from cellarflow.llm.splits import QUARANTINE, Components, connected, fill_deficits, grouped_splits, kept_splits, split_of_records
 from cellarflow.session import Scratch
 
 
@@ -19,11 +21,12 @@ def leads(edges, nodes):
     return {n: root(n) for n in nodes}
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("task_edges", [0, 150, 10**6])
+def test_connected(spark, task_edges):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(300)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(260)] + [(1000, 1000 + i) for i in range(200)] + [(5, 5)]
     rng.shuffle(edges)
-    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), task_edges=task_edges).collect()}
     want = leads(edges, {n for e in edges if e[0] != e[1] for n in e})
     assert got == want
 
@@ -76,3 +79,36 @@ def test_hot_component(spark):
     for r in fill_deficits(new, {None: 1000}).collect():
         got[r.split] += r.n_records
     assert got == {"train": got["train"], "validation": got["validation"], "test": got["test"]} and abs(got["train"] - 800) < 15 and abs(got["test"] - 100) < 15
+
+
+def test_kept_between_sessions(spark, tmp_path):
+    path, keys = str(tmp_path / "kept"), ["group_key", "shooter"]
+    assert Components.open(spark, path) is None
+    state = lambda session: {r.record: (r.component, r.split) for r in split_of_records(Components.open(session, path)).collect()}
+    rows = [(i, f"g{i // 2}", None, "x") for i in range(40)]
+    kept_splits(frames_of(spark, rows), "frame_id", keys, path)
+    first = state(spark)
+    other = spark.newSession()
+    # nothing new; then a record that ties two components of different splits, and one of a component of its own
+    kept_splits(frames_of(other, rows[:3]), "frame_id", keys, path)
+    assert state(other) == first
+    a = 0
+    b = next(i for i in range(2, 40, 2) if first[i][1] != first[a][1])
+    kept_splits(frames_of(other, [(90, "g0", "p", "x"), (91, f"g{b // 2}", "p", "x"), (92, "g77", None, "x")]), "frame_id", keys, path)
+    last = state(spark)
+    assert {last[i] for i in (a, a + 1, b, b + 1, 90, 91)} == {(a, QUARANTINE)} and last[92][0] == 92
+    assert all(last[i] == first[i] for i in range(40) if i not in (a, a + 1, b, b + 1))
+    # a version that wasn't finished doesn't count
+    Components.open(spark, path).members.limit(1).write.parquet(f"{path}/v000009/members")
+    assert state(spark) == last
+    kept_splits(frames_of(spark, []), "frame_id", keys, path)
+    assert state(spark) == last and (tmp_path / "kept" / "v000010").exists()
+
+
+def test_hot_key(spark, monkeypatch):
+    from cellarflow.operators import skew
+
+    monkeypatch.setattr(skew.salted_lookup, "__defaults__", (50,))
+    rows = [(i, "author", f"s{i % 7}", "x") for i in range(300)] + [(1000 + i, f"g{i}", None, "x") for i in range(30)]
+    got = {r.record: r.component for r in grouped_splits(frames_of(spark, rows), "frame_id", ["group_key", "shooter"]).members.collect()}
+    assert got == {i: 0 if i < 300 else i for i, *_ in rows}
