@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ LEAST_WORDS = 15  # words in a row of the item
 ONE_ERROR_IN = 8
 SIZES = (LEAST_WORDS, 2 * ONE_ERROR_IN, 3 * ONE_ERROR_IN, 4 * ONE_ERROR_IN)  # windows tried; a longer passage within the bound holds one
 SHIFT = SIZES[-1] // ONE_ERROR_IN  # most places by which missing or added words may move the alignment inside one window
+INSTRUCTION_SHARE = 0.01  # of the items of different texts, and at least two of them, that have an instruction sentence
+MOST_HITS = 2_000_000  # seed hits that are held at once
 BLOCK_CHARS = 4_000_000  # evaluation text that is sent to the executors at once; more goes in several passes
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -68,37 +71,52 @@ class EvalIndex:
         self.seen[self.hashes >> np.uint64(64 - _BITS)] = True
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
-    def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``words`` and in the evaluation words where a seed of both begins."""
-        left, right = [], []
+    def hits(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in ``words`` and in the evaluation words where a seed of both begins, about MOST_HITS at a time."""
         for at, made in seed_hashes(words, offsets):
             passed = self.seen[made >> np.uint64(64 - _BITS)]
             at, made = at[passed], made[passed]
             low = np.searchsorted(self.hashes, made)
             size = np.searchsorted(self.hashes, made, "right") - low
-            left.append(np.repeat(at, size))
-            right.append(self.at[ranges(low, size)])
-        return np.concatenate(left), np.concatenate(right)
+            at, low, size = at[size > 0], low[size > 0], size[size > 0]
+            part = np.cumsum(size) // MOST_HITS
+            for rows in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+                if len(rows):
+                    yield np.repeat(at[rows], size[rows]), self.at[ranges(low[rows], size[rows])]
 
     def matches(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``words`` and passages that share at least LEAST_WORDS words in a row, errors within the bound."""
-        j, k = self.hits(words, offsets)
-        if not len(j):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = [self._around(words, offsets, *self._one_a_diagonal(offsets, j, k)) for j, k in self._gathered(words, offsets)]
+        pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+        return pairs[0], pairs[1]
+
+    def _gathered(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The hits of all masks, put together as long as they are few."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for hit in self.hits(words, offsets):
+            held.append(hit)
+            if sum(len(j) for j, _ in held) >= MOST_HITS:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held = []
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    def _one_a_diagonal(self, offsets: np.ndarray, j: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of hits close together on one diagonal one is enough; with the row of each."""
         doc = np.searchsorted(offsets, j, "right") - 1
-        # of hits close together on one diagonal one is enough
         diagonal = j - k
         order = np.lexsort((j // WEIGHT, diagonal, self.row[k], doc))
         j, k, doc, diagonal = j[order], k[order], doc[order], diagonal[order]
         new = np.ones(len(j), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (diagonal[1:] != diagonal[:-1]) | (j[1:] // WEIGHT != j[:-1] // WEIGHT) | (self.row[k[1:]] != self.row[k[:-1]])
-        j, k, doc = j[new], k[new], doc[new]
+        return j[new], k[new], doc[new]
+
+    def _around(self, words: np.ndarray, offsets: np.ndarray, j: np.ndarray, k: np.ndarray, doc: np.ndarray) -> np.ndarray:
         found = np.zeros(len(j), bool)
         for begin in range(0, len(j), 20_000):
             part = slice(begin, begin + 20_000)
             found[part] = self._verify(words, offsets, j[part], k[part], doc[part])
-        pairs = np.unique(np.stack([doc[found], self.row[k[found]]]), axis=1)
-        return pairs[0], pairs[1]
+        return np.stack([doc[found], self.row[k[found]]])
 
     def _verify(self, words: np.ndarray, offsets: np.ndarray, j: np.ndarray, k: np.ndarray, doc: np.ndarray) -> np.ndarray:
         longest = SIZES[-1]
@@ -150,9 +168,10 @@ class EvalIndex:
 
 
 def passages(items: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, place, words): the runs of sentences of each item that no item with another text shares.
+    """(key, parts): the sentences of each item in order, each with whether it is an instruction, and its words.
 
-    A sentence that items of different texts share (an instruction) ends a run and belongs to none.
+    An instruction is a sentence that at least two items of different texts have, and at least INSTRUCTION_SHARE of
+    all texts; it ends a run of sentences and belongs to none. A passage that a few of many items quote is none.
     """
     source = items.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([source.schema["key"], T.StructField("body", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("sentence", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))])
@@ -175,8 +194,9 @@ def passages(items: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array([bodies[o] for o in owner], pa.int64()), pa.array(place, pa.int32()), pa.array(hashes, pa.int64()), lists], schema.names)
 
     sentences = source.mapInArrow(cut, schema)
-    # an instruction: the same sentence in items of different texts
-    shared = sentences.groupBy("sentence").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("sentence", F.lit(True).alias("shared"))
+    bodies = sentences.select("sentence", "body").distinct()
+    least = max(2, math.ceil(INSTRUCTION_SHARE * source.select("text").distinct().count()))
+    shared = bodies.groupBy("sentence").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("sentence", F.lit(True).alias("shared"))
     marked = sentences.join(shared, "sentence", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("shared", F.lit(False)).alias("shared"), "words"))).alias("parts"))
     return marked
 
@@ -214,11 +234,14 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, np.nd
         marked.unpersist()
 
 
+_INDEX: dict[str, EvalIndex] = {}
+
+
 def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(doc_key, item_key): documents that hold at least 15 words in a row of an item, up to one word in eight wrong.
 
-    Case, punctuation, white space, markup, accents and letters drawn alike don't matter. Sentences that items share
-    are left out. Null and empty texts give no rows, very long ones are read whole, a repeated document gives its rows
+    Case, punctuation, white space, markup, accents and letters drawn alike don't matter. Sentences that
+    many items share are left out. Null and empty texts give no rows, very long ones are read whole, a repeated document gives its rows
     once for each repetition, empty tables an empty result; other columns are dropped. The evaluation texts go to the
     executors in blocks of at most BLOCK_CHARS characters, one pass over the documents for each; no shuffle of the
     documents.
@@ -229,23 +252,25 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     schema = T.StructType([T.StructField(doc_key, source.schema["__doc"].dataType), T.StructField(item_key, item_type)])
     result = None
     for keys, words, offsets in _blocks(items, item_key, item_text):
-        sent = spark.sparkContext.broadcast((keys, words, offsets))
+        names = list(dict.fromkeys(keys))
+        number = {key: i for i, key in enumerate(names)}
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, names, np.array([number[key] for key in keys], np.int64), words, offsets))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            keys, words, offsets = sent.value
-            if not keys:
+            token, names, item_of, words, offsets = sent.value
+            if not names:
                 return
-            index, reader = EvalIndex(words, offsets), WordReader()
-            owner = pa.array(keys)
-            number = {key: i for i, key in enumerate(dict.fromkeys(keys))}
-            item_of = np.array([number[key] for key in keys])
-            first = np.array([keys.index(key) for key in number])
+            if token not in _INDEX:  # one index a worker, not one a task
+                _INDEX.clear()
+                _INDEX[token] = EvalIndex(words, offsets)
+            index, reader = _INDEX[token], WordReader()
+            owner = pa.array(names)
             for batch in batches:
                 for part in slices(batch, 1):
                     texts, at = reader.read(part.column(1).to_pylist())
                     doc, passage = index.matches(texts, at)
                     pairs = np.unique(np.stack([doc, item_of[passage]]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pairs[0])), owner.take(pa.array(first[pairs[1]]))], schema.names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pairs[0])), owner.take(pa.array(pairs[1]))], schema.names)
 
         part = source.mapInArrow(find, schema)
         result = part if result is None else result.unionByName(part)

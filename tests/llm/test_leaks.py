@@ -76,3 +76,20 @@ def test_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(WORDS[k * 20 : k * 20 + 20])) for k in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(k, "а б " + " ".join(WORDS[k * 20 : k * 20 + 20])) for k in range(6)], "doc_id long, text string")
     assert sorted(map(tuple, leaked_items(docs, "doc_id", "text", items, "item_id", "text").collect())) == [(k, k) for k in range(6)]
+
+
+def test_passage_quoted_by_two_of_many_items(spark, monkeypatch):
+    import cellarflow.llm.leaks as module
+
+    passage = " ".join(f"слово{i}" for i in range(40)) + "."
+    items = [(i, f"{' '.join(f'own{i}x{k}' for k in range(20))}. {'Общее указание всем ' * 5}.") for i in range(300)]
+    items[7], items[9] = (7, passage + " " + items[7][1]), (9, items[9][1] + " " + passage)
+    docs = [(1, "до " + passage + " после"), (2, "Общее указание всем " * 30), (3, (" ".join(f"own5x{k}" for k in range(20)) + " ") * 200)]
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(1, 7), (1, 9), (3, 5)}
+    assert {tuple(r) for r in leaked_items(d, "doc_id", "text", i, "item_id", "text").collect()} == want
+    monkeypatch.setattr(module, "MOST_HITS", 50)
+    index = module.EvalIndex(np.arange(100, dtype=np.uint64), np.array([0, 60, 100]))
+    words = np.concatenate([np.arange(30, dtype=np.uint64)] * 40)
+    rows, passages = index.matches(words, np.array([0, 600, 1200]))
+    assert list(zip(rows.tolist(), passages.tolist())) == [(0, 0), (1, 0)]
