@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellarflow.llm.pieces import MOST_HELD, Lists, Numbered, slices
+from cellarflow.llm.pieces import Lists, Numbered, slices
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: Unicode White_Space.
@@ -158,7 +158,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
-        if len(self.pieces) > MOST_HELD:
+        if self.pieces.full() or self.words.full():
             self.reset()
         numbers, counts = [], []
         look_up = self.pieces.__getitem__

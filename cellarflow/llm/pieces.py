@@ -14,7 +14,7 @@ from cellarflow.functions.codepoints import ranges
 from cellarflow.llm.looks import ALIKE_CYRILLIC, ALIKE_GREEK, look_column
 
 SLICE_BYTES = 8 << 20
-MOST_HELD = 400_000  # pieces a worker remembers before it starts anew; no effect on results
+MOST_HELD, MOST_BYTES = 400_000, 64 << 20  # pieces, and their characters, that a worker remembers before it starts anew; no effect on results
 
 TAG = re.compile(r"</?[a-z][^<>]*>|<\|[^<>|]*\|>")
 SPACED_TAG = re.compile(r"<[/a-zA-Z][^<>\s]*\s[^<>]*>")
@@ -65,6 +65,7 @@ class Numbered(dict):
     def __init__(self) -> None:
         super().__init__()
         self.fresh: list = []
+        self.held = 0  # characters of all keys
 
     def __missing__(self, key) -> int:
         self.fresh.append(key)
@@ -73,8 +74,12 @@ class Numbered(dict):
 
     def taken(self) -> list:
         fresh, self.fresh = self.fresh, []
+        self.held += sum(map(len, fresh))
         return fresh
 
+    def full(self) -> bool:
+        return len(self) > MOST_HELD or self.held > MOST_BYTES
+
 
 class Lists:
     """Lists of numbers end to end, by list number."""
@@ -106,7 +111,7 @@ class WordReader:
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Values of all texts end to end, and the offsets of the texts."""
-        if len(self.pieces) > MOST_HELD:
+        if self.pieces.full():
             self.reset()
         numbers, counts = [], []
         look_up = self.pieces.__getitem__
