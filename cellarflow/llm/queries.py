@@ -13,7 +13,7 @@ from cellarflow.llm.names import match_names
 from cellarflow.llm.neighbours import nearest
 from cellarflow.llm.overlaps import overlap_counts, split_overlaps
 from cellarflow.llm.splits import Components, kept_splits, split_of_records
-from cellarflow.llm.subjects import assign_subjects
+from cellarflow.llm.subjects import assign_subjects, composition
 from cellarflow.session import Scratch
 from cellarflow.sources.tables import table
 
@@ -133,7 +133,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).select("doc_id", "subject_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the documents of each source are about: documents and their weight by subject."""
+    return composition(table(spark, sf_dir, "documents"), p10_shares(spark, sf_dir), "doc_id", "subject_id", "source")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_splits": p5_splits, "p5_added": p5_added, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares, "p10_composition": p10_composition}
 _FRAMES = """known as (select frame_id as id, query_id, source, case when trim(lower(set_name), ' ') in ('train', 'training', 'trn') then 'train' when trim(lower(set_name), ' ') in ('validation', 'valid', 'val', 'dev') then 'validation'
   when trim(lower(set_name), ' ') in ('test', 'holdout') then 'test' end as split, nullif(regexp_replace(regexp_replace(lower(slug), '[\\s_-]+', '-', 'g'), '^-|-$', '', 'g'), '') as slug,
   case when regexp_full_match(lower(trim(dhash, ' ')), '[0-9a-f]{16}') then ('0x' || lower(trim(dhash, ' ')))::ubigint end as hash from frames),

@@ -29,6 +29,7 @@ ROUNDS = 2  # refinements of the centroids, over all sentences
 LEAST_SHARE = 0.2  # of a document's sentences on any subject
 LEAST_COSINE = 0.5
 LEAST_EVIDENCE = 0.35  # of the usual weight of a sentence on a subject
+SLICE = 1 << 17  # numbers of a matrix that one task sums over all partitions
 
 END, MARK = -1, "\ue000"  # a private-use sign for a line or block end
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|h\d|tr|td|table|blockquote|section)\b[^<>]*>")
@@ -104,24 +105,31 @@ def _merge(known: np.ndarray, counts: np.ndarray, held: list[np.ndarray]) -> tup
 
 
 def sum_matrices(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all partitions of the matrix that ``make`` gives for a partition; summed in the cluster first."""
+    """The sum over all partitions of the matrix that ``make`` gives for a partition.
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    Each partition's matrix is cut into slices of SLICE numbers, and each slice is summed over all partitions by one
+    task: the work of adding is spread evenly, and the driver gets every number once, however many partitions there are.
+    """
+    cuts = max(1, -(-int(np.prod(shape)) // SLICE))
 
-        made = make(batches)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 8], pa.int32()), pa.array([made.astype(np.float64).tobytes()], pa.binary())], ["g", "m"])
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = make(batches).astype(np.float64).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(cuts), pa.int32()), pa.array([made[k * SLICE : (k + 1) * SLICE].tobytes() for k in range(cuts)], pa.binary())], ["g", "m"])
 
     def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for table in tables:
             for g, m in zip(table.column(0).to_pylist(), table.column(1)):
                 value = np.frombuffer(m.as_buffer(), np.float64)
-                total[g] = total[g] + value if g in total else value.copy()
+                if g in total:
+                    total[g] += value
+                else:
+                    total[g] = value.copy()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["g", "m"])
 
-    rows = df.mapInArrow(part, "g int, m binary").repartition(8, "g").mapInArrow(add, "g int, m binary").collect()
-    return sum((np.frombuffer(r.m, np.float64) for r in rows), np.zeros(int(np.prod(shape)))).reshape(shape)
+    rows = df.mapInArrow(part, "g int, m binary").repartition(min(cuts, 64), "g").mapInArrow(add, "g int, m binary").collect()
+    parts = {r.g: np.frombuffer(r.m, np.float64) for r in rows}
+    return np.concatenate([parts[k] for k in range(cuts)]).reshape(shape) if parts else np.zeros(shape)
 
 
 def _indexed(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,14 +196,21 @@ class Model:
             sums[a:b] = np.add.reduceat(self.embedding[i[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], axis=0)
         return row[starts], sums, np.add.reduceat(self.weights[i], starts)
 
-    def assign(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the sentences on a subject: row, centroid (twice the subject's number, or one more) and embedding of length 1."""
+    def assign(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the sentences on a subject: row, centroid (twice the subject's number, or one more) and embedding of length 1.
+
+        Last, of each row the cosine of its whole embedding with each centroid.
+        """
         row, sums, evidence = self.sentences(column)
-        unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        unit = _unit(sums)
         cosine = unit @ self.centroids.T
         seed = cosine.argmax(1) if len(cosine) else np.zeros(0, np.int64)
         on = (evidence >= LEAST_EVIDENCE * self.usual) & (cosine[np.arange(len(seed)), seed] >= LEAST_COSINE)
-        return row[on], seed[on], unit[on]
+        whole = np.zeros((len(column), self.embedding.shape[1]), np.float32)
+        if len(row):
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            whole[row[first]] = np.add.reduceat(sums, first, axis=0)
+        return row[on], seed[on], unit[on], _unit(whole) @ self.centroids.T
 
 
 def _label_counts(labelled: DataFrame, vocabulary: np.ndarray, subjects: list) -> np.ndarray:
@@ -223,7 +238,7 @@ def _centroid_sums(terms: DataFrame, model: Model) -> np.ndarray:
         model = sent.value
         total = np.zeros(model.centroids.shape)
         for batch in batches:
-            _, subject, unit = model.assign(batch.column(0))
+            _, subject, unit, _ = model.assign(batch.column(0))
             for s in range(len(total)):
                 total[s] += unit[subject == s].sum(0)
         return total
@@ -286,9 +301,9 @@ def _usual_evidence(terms: DataFrame, model: Model) -> float:
 
 
 def assign_subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, subject: str) -> DataFrame:
-    """(key, subject, n_sentences, share): the subjects that take up at least a fifth of a document's sentences on any.
+    """(key, subject, n_sentences, share, cosine): the subjects that take up at least a fifth of a document's sentences on any.
 
-    A sentence is on the subject of the nearest centroid if its weighted terms and its cosine suffice, else on none;
+    ``cosine`` is that of the embedding of the whole document with the subject's nearer centroid. A sentence is on the subject of the nearest centroid if its weighted terms and its cosine suffice, else on none;
     a single sentence is no subject beside one of two or more. Null, empty and blank texts, texts without a sentence
     on a subject and an empty table give no rows; long texts are read whole; rows with one key are one document each
     and give equal rows only if their texts do; wrong and repeated labels are outvoted. No shuffle of documents.
@@ -298,7 +313,7 @@ def assign_subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, lab
     terms = scratch.save(read_terms(docs, key, text), "terms")
     fitted = fit(terms, labels, label_key, subject)
     key_field, subject_field = T.StructField(key, docs.schema[key].dataType), T.StructField(subject, labels.schema[subject].dataType)
-    schema = T.StructType([key_field, subject_field, T.StructField("n_sentences", T.IntegerType()), T.StructField("share", T.DoubleType())])
+    schema = T.StructType([key_field, subject_field, T.StructField("n_sentences", T.IntegerType()), T.StructField("share", T.DoubleType()), T.StructField("cosine", T.DoubleType())])
     if fitted is None:
         return spark.createDataFrame([], schema)
     sent = spark.sparkContext.broadcast(fitted)
@@ -307,18 +322,33 @@ def assign_subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, lab
         model, subjects = sent.value
         names = pa.array(subjects).cast(_arrow_type(subject_field.dataType))
         for batch in batches:
-            row, number, _ = model.assign(batch.column(1))
+            row, number, _, cosine = model.assign(batch.column(1))
+            cosine = cosine.reshape(batch.num_rows, -1, 2).max(2)
             counts = np.bincount(row * len(subjects) + number // 2, minlength=batch.num_rows * len(subjects)).reshape(batch.num_rows, -1)
             total = counts.sum(1, keepdims=True)
             kept = (counts >= LEAST_SHARE * total) & (counts > 0) & ((counts > 1) | (counts.max(1, keepdims=True) < 2))
             r, s = np.nonzero(kept)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(r)), names.take(pa.array(s)), pa.array(counts[r, s], pa.int32()), pa.array(counts[r, s] / total[r, 0])], schema.names
+                [batch.column(0).take(pa.array(r)), names.take(pa.array(s)), pa.array(counts[r, s], pa.int32()), pa.array(counts[r, s] / total[r, 0]), pa.array(cosine[r, s].astype(np.float64))], schema.names
             )
 
     return terms.mapInArrow(assign, schema)
 
 
+def composition(docs: DataFrame, shares: DataFrame, key: str, subject: str, source: str) -> DataFrame:
+    """(source, subject, n_documents, weight, share_of_source): what the documents of each source are about.
+
+    ``weight`` adds up the documents' shares of their subjects, a document counting as one; documents without a subject,
+    null and blank ones included, stand under the subject null. Keys are unique. A null source is a source of its own.
+    """
+    parts = shares.groupBy(key).agg(F.sum("share").alias("whole"), F.collect_list(F.struct(F.col(subject), F.col("share"))).alias("on"))
+    spread = docs.select(key, source).join(parts, key, "left").select(source, "whole", F.explode_outer("on").alias("x"))
+    counted = spread.groupBy(source, F.col(f"x.{subject}").alias(subject)).agg(F.count("*").alias("n_documents"), F.sum(F.coalesce(F.col("x.share") / F.col("whole"), F.lit(1.0))).alias("weight"))
+    sizes = docs.groupBy(F.col(source).alias("__source")).agg(F.count("*").alias("__n"))
+    joined = counted.join(sizes, F.col(source).eqNullSafe(F.col("__source")))
+    return joined.select(source, subject, "n_documents", F.round("weight", 6).alias("weight"), F.round(F.col("weight") / F.col("__n"), 6).alias("share_of_source"))
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

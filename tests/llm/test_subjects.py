@@ -1,6 +1,8 @@
 import random
 
-from cellarflow.llm.subjects import assign_subjects
+import numpy as np
+
+from cellarflow.llm.subjects import assign_subjects, composition
 
 LATIN = {1: "vines pruning rows soil frost buds roots", 2: "court statute licence ruling appeal decree label", 3: "race team medal lap sprint coach final"}
 OTHER = {1: "лозы обрезка ряды почва мороз почки корни", 2: "суд закон лицензия решение апелляция указ норма", 3: "гонка команда медаль круг спринт тренер финал"}
@@ -48,3 +50,20 @@ def test_empty(spark):
     assert assign_subjects(d, "doc_id", "text", lab, "doc_id", "subject_id").count() == 0
     full = spark.createDataFrame([(1, "a b c. d e f.")], "doc_id long, text string")
     assert assign_subjects(full, "doc_id", "text", lab, "doc_id", "subject_id").count() == 0
+
+
+def test_composition(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, None, "x"), (4, "b", None), (5, None, "")], "doc_id long, source string, text string")
+    shares = spark.createDataFrame([(1, 7, 0.75), (1, 8, 0.25), (2, 7, 0.6), (3, 8, 1.0)], "doc_id long, subject_id int, share double")
+    got = {(r.source, r.subject_id): (r.n_documents, r.weight, r.share_of_source) for r in composition(docs, shares, "doc_id", "subject_id", "source").collect()}
+    assert got == {("a", 7): (2, 1.75, 0.875), ("a", 8): (1, 0.25, 0.125), (None, 8): (1, 1.0, 0.5), ("b", None): (1, 1.0, 1.0), (None, None): (1, 1.0, 0.5)}
+    assert composition(docs.limit(0), shares, "doc_id", "subject_id", "source").count() == 0
+
+
+def test_sums_of_matrices(spark, monkeypatch):
+    import cellarflow.llm.subjects as module
+
+    for size in (5, 1000):
+        monkeypatch.setattr(module, "SLICE", size)
+        total = module.sum_matrices(spark.range(0, 40, 1, 6), lambda batches: sum((np.outer(np.arange(4), b.column(0).to_numpy()[:, None].sum(0).repeat(3)) for b in batches), np.zeros((4, 3))), (4, 3))
+        assert np.array_equal(total, np.outer(np.arange(4), [780] * 3))
