@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -20,10 +21,14 @@ from pyspark.sql import functions as F
 
 from cellarflow.llm.looks import look_column
 from cellarflow.llm.names import GRAPES, letter_pairs, similar_sets, sounds
-from cellarflow.operators.skew import salted_join
+from cellarflow.operators.skew import salted_join, salted_lookup
 from cellarflow.session import Scratch
 
-BLOCK_PHRASES = 200_000  # phrases in one automaton
+BLOCK_PHRASES = 200_000  # dictionary entries in one automaton
+CHUNK_LISTINGS = 10_000  # listings that one automaton is built for
+LEAST_PARTNERS = 7  # words beside which a word stands time and again if it is a general part of names,
+PARTNER_SHARE = 0.002  # each in so large a share of its rows, and in two of them;
+WORD_SHARE = 0.001  # it has to be in so large a share of all rows, so there are at most (words of a name / WORD_SHARE) such words
 GENERAL_BRANDS = 0.03  # a word that stands outside quotes beside so large a share of the brands is a general one
 PHRASE_JACCARD = 0.35
 
@@ -36,10 +41,9 @@ SUGARS = {
     "semi_sweet": "полусладкое|полуслад|п сл|п слад|п сладкое|semi sweet|polusladkoe", "dry": "сухое вино|сухое|сух|dry|secco|sec|suhoe", "sweet": "сладкое|слад|sweet|dolce|doux|sladkoe",
 }
 SUGAR_CODES = {"extra_brut": "extra_brut", "brut": "brut", "polusuhoe": "off_dry", "polusladkoe": "semi_sweet", "suhoe": "dry", "sladkoe": "sweet"}
-ESTATE_WORDS = "винодельня winery дом хутор усадьба погреба шато château поместье белый тихий верхний старый новый дальний ооо ао зао тм domaine домен estate cellars вина wines"
-GENERAL_WORDS = """вино wine vin vino игристое тихое sparkling bottle бутылка г год урожай vintage алк алкоголь vol alc abv new sale акция топ хит продаж лучшая цена premium премиум подарочная упаковка
-великолепный букет сочное и яркое выбор сомелье с доставкой оригинал ограниченная партия скидка сорт grape"""
-SECOND_WORDS = "резерв селект классик"
+# General nouns and legal forms; what else is general in producers and names is mined.
+ESTATE_WORDS = "винодельня winery дом хутор усадьба погреба шато château поместье ооо ао зао тм domaine домен estate cellars вина wines"
+GENERAL_WORDS = "вино wine vin vino игристое тихое sparkling bottle бутылка г год урожай vintage алк алкоголь vol alc abv сорт grape"
 
 _QUOTED = re.compile(r"«([^«»]+)»|\"([^\"]+)\"|“([^“”]+)”")
 _VOLUME = re.compile(r"(?<![\d.,])(\d+(?:[.,]\d+)?)\s*(мл|ml|сл|cl|л|l)(?![^\W_])", re.I)
@@ -75,13 +79,13 @@ def _one_slip(a: str, b: str) -> bool:
 class Reader:
     """Takes listings apart: attributes by patterns and word lists, the other words in phonetic spelling."""
 
-    def __init__(self) -> None:
+    def __init__(self, estate: Iterable[str] = ()) -> None:
         self.sound = _Sounds()
         said = lambda text: tuple(s for s in (self.sound[w] for w in _WORDS.findall(text)) if s)
         self.colours = {said(w): c for c, ws in COLOURS.items() for w in ws.split()}
         self.sugars = {said(w): c for c, ws in SUGARS.items() for w in ws.split("|")}
         self.grapes = {said(x) for pair in GRAPES.items() for x in pair}
-        self.estate = {self.sound[w] for w in ESTATE_WORDS.split()}
+        self.estate = {self.sound[w] for w in ESTATE_WORDS.split()} | set(estate)
         self.longest = max(map(len, [*self.sugars, *self.grapes]))
 
     def words(self, text: str | None) -> list[str]:
@@ -124,13 +128,38 @@ class Reader:
 _READ = "brand array<string>, words array<string>, quoted array<string>, colour string, sugar string, vintage int, volume int"
 
 
-def read_listings(df: DataFrame) -> DataFrame:
+def mined_words(rows: DataFrame) -> list[str]:
+    """Words that stand beside many others in (words array<string>, n): general parts of names such as Old or Reserve.
+
+    A name proper has few partners that recur, however often it occurs itself and however its partners are misspelt.
+    """
+    words = rows.select(F.array_distinct("words").alias("ws"), "n")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    single = words.select(F.explode("ws").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("of")).where(F.col("of") >= WORD_SHARE * total)
+    pairs = words.where(F.size("ws") > 1).select(F.explode("ws").alias("w"), "ws", "n").select("w", F.explode("ws").alias("beside"), "n").where("w <> beside").groupBy("w", "beside").agg(F.sum("n").alias("both"))
+    often = pairs.join(single, "w").where((F.col("both") >= 2) & (F.col("both") >= PARTNER_SHARE * F.col("of")))
+    return sorted(r.w for r in often.groupBy("w").agg(F.count("*").alias("k")).where(F.col("k") >= LEAST_PARTNERS).select("w").collect())
+
+
+def estate_words(df: DataFrame) -> list[str]:
+    """The mined general words of producers."""
+    producers = df.where("winery is not null").groupBy("winery").agg(F.count("*").alias("n"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([reader.words(w) for w in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["words", "n"])
+
+    return mined_words(producers.mapInArrow(read, "words array<string>, n long"))
+
+
+def read_listings(df: DataFrame, estate: Iterable[str] = ()) -> DataFrame:
     """(listing_id, brand, words, quoted, colour, sugar, vintage, volume) of each listing with an id."""
     columns = ["name", "winery", "sugar", "sugar_class", "category"]
     source = df.where("listing_id is not null").select(F.col("listing_id").cast("long").alias("listing_id"), *[F.col(c).cast("string").alias(c) for c in columns])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader = Reader(estate)
         texts = pa.list_(pa.string())
         kinds = [texts, texts, texts, pa.string(), pa.string(), pa.int32(), pa.int32()]
         for batch in batches:
@@ -170,61 +199,76 @@ def spelled_alike(counts: DataFrame, group: str, phrase: str) -> DataFrame:
     return more.withColumn("k", F.row_number().over(first)).where("k = 1").select(group, phrase, "best")
 
 
+def settled(slips: DataFrame, group: str, phrase: str, scratch: Scratch, name: str) -> DataFrame:
+    """``slips`` with the end of each chain: a slip of a slip of a phrase is one of the phrase itself.
+
+    Chains have no circles, as each step goes to a more frequent phrase or to one that comes first; each round halves
+    them, until none is left.
+    """
+    step = 0
+    slips = scratch.save(slips, f"{name}-0")
+    while True:
+        beyond = slips.select(group, F.col(phrase).alias("best"), F.col("best").alias("end"))
+        if slips.join(beyond, [group, "best"], "left_semi").isEmpty():
+            return slips
+        step += 1
+        slips = scratch.save(slips.join(beyond, [group, "best"], "left").select(group, phrase, F.coalesce("end", "best").alias("best")), f"{name}-{step}")
+
+
 def _corrected(df: DataFrame, slips: DataFrame, group: str, phrase: str) -> DataFrame:
-    """``phrase`` of each row replaced by what it is a slip of, twice over: a slip of a slip."""
-    for _ in range(2):
-        df = df.join(slips, [group, phrase], "left").withColumn(phrase, F.coalesce("best", phrase)).drop("best")
-    return df
+    """``phrase`` of each row replaced by what it is a slip of."""
+    return salted_lookup(df.withColumn("__k", F.struct(group, phrase)), slips.select(F.struct(group, phrase).alias("__k"), "best"), "__k", "listing_id").withColumn(phrase, F.coalesce("best", phrase)).drop("best", "__k")
 
 
 def _find_phrases(listings: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(listing_id, found_brand, found_model) of listings in whose words phrases of the dictionary (brand, model) stand.
 
-    Of several the longest that agrees with the listing's brand. The dictionary is cut by the hash of the brand into
-    blocks of at most about BLOCK_PHRASES phrases; a listing of known brand only meets its block.
+    Of several the longest that agrees with the listing's brand, or with a brand that is found in its words; without
+    either the longest of all, and its brand if it has only one. The dictionary is cut by the hash of the brand into
+    blocks of about BLOCK_PHRASES entries; a listing of known brand only meets its block, others meet all, and what the
+    blocks found is put together by listing, so the result doesn't depend on the blocks. Listings go in chunks, each with
+    the block's dictionary; nothing of either passes through the driver.
     """
-    spark = listings.sparkSession
     blocks = max(1, math.ceil(dictionary.count() / BLOCK_PHRASES))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    result = None
-    for k in range(blocks):
-        phrases = [(r.brand, r.model) for r in (dictionary.where(block("brand") == k) if blocks > 1 else dictionary).toLocalIterator()]
-        sent = spark.sparkContext.broadcast(phrases)
-        rows = listings.where(F.col("brand").isNull() | (block("brand") == k)) if blocks > 1 else listings
-
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = ahocorasick.Automaton()
-            owners: dict[str, set[str]] = {}
-            for brand, model in sent.value:
-                owners.setdefault(f" {model} ", set()).add(brand)
-                automaton.add_word(f" {model} ", f" {model} ")
-                if brand:
-                    automaton.add_word(f" {brand} ", (brand,))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    rows = listings.select("listing_id", "brand", "words", F.explode(F.when(F.col("brand").isNotNull(), F.array(block("brand"))).otherwise(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("block"))
+    cuts = rows.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_LISTINGS).cast("int").alias("n"))
+    entries = dictionary.withColumn("block", block("brand")).join(cuts, "block").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("brand", "model", "block", "cut")
+    cuts = cuts.select(F.col("block").alias("__block"), "n")
+    rows = rows.join(cuts, F.col("block") == F.col("__block")).select("listing_id", "brand", "words", F.col("block").alias("in_block"), F.pmod(F.xxhash64("listing_id"), F.col("n")).cast("int").alias("in_cut"))
+    names = ["listing_id", "brand", "pair_model", "pair_brand", "model", "n_owners", "owner"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+    longest = lambda found: max(found, key=lambda x: (len(x), x), default=None)
+
+    def find(listings: pa.Table, dictionary: pa.Table) -> pa.Table:
+        automaton, owners = ahocorasick.Automaton(), {}
+        for brand, model in zip(dictionary.column("brand").to_pylist(), dictionary.column("model").to_pylist()):
+            owners.setdefault(model, set()).add(brand)
+        models, brands = set(owners), {b for own in owners.values() for b in own if b}
+        for phrase in models | brands:
+            automaton.add_word(phrase, phrase)
+        out = []
+        if owners:
             automaton.make_automaton()
-            for batch in batches:
-                out = []
-                for listing, brand, words in zip(*[c.to_pylist() for c in batch.columns]):
-                    if not sent.value:
-                        break
-                    models, brands = [], []
-                    for _, hit in automaton.iter(" " + "  ".join(words or []) + " "):
-                        if isinstance(hit, tuple):
-                            brands.append(hit[0])
-                        else:
-                            models.append(hit)
-                    own = {brand} if brand else set(brands)
-                    agreeing = [m for m in models if not own or owners[m] & own]
-                    if not agreeing and not brands:
-                        continue
-                    model = max(agreeing, key=lambda m: (len(m), m), default=None)
-                    known = brand or max((owners[model] & own if own else owners[model]) if model and len(owners[model]) == 1 or model and own else brands, key=lambda b: (len(b), b), default=None)
-                    out.append((listing, known, model.strip() if model else None))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["listing_id", "found_brand", "found_model"])
-
-        part = rows.select("listing_id", "brand", "words").mapInArrow(find, "listing_id long, found_brand string, found_model string")
-        result = part if result is None else result.unionByName(part)
-    longest = Window.partitionBy("listing_id").orderBy(F.length("found_model").desc_nulls_last(), F.length("found_brand").desc_nulls_last(), "found_brand")
-    return result.withColumn("k", F.row_number().over(longest)).where("k = 1").drop("k") if blocks > 1 else result
+            for listing, brand, words in zip(*[listings.column(c).to_pylist() for c in ("listing_id", "brand", "words")]):
+                # phrases are written without spaces, and stand where words begin and end
+                ends = set(accumulate(map(len, words or []), initial=0))
+                hits = {hit for end, hit in automaton.iter("".join(words or [])) if end + 1 in ends and end + 1 - len(hit) in ends}
+                own = {brand} if brand else hits & brands
+                pairs = max(((len(m), m, len(b), b) for m in hits & models for b in owners[m] & own), default=None)
+                model = longest(hits & models) if not brand else None
+                if pairs or own or model:
+                    out.append((listing, longest(own), pairs[1] if pairs else None, pairs[3] if pairs else None, model, len(owners[model]) if model else None, min(owners[model]) if model else None))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
+
+    found = rows.groupBy("in_block", "in_cut").cogroup(entries.groupBy("block", "cut")).applyInArrow(find, "listing_id long, brand string, pair_model string, pair_brand string, model string, n_owners int, owner string")
+    by_length = lambda *cs: F.max(F.when(F.col(cs[0]).isNotNull(), F.struct(*[x for i, c in enumerate(cs) for x in (F.length(c).alias(f"n{i}"), F.col(c).alias(c))])))
+    models = F.filter(F.collect_list(F.struct("model", "n_owners", "owner")), lambda x: x["model"].isNotNull())
+    whole = found.groupBy("listing_id").agg(by_length("brand").alias("b"), by_length("pair_model", "pair_brand").alias("p"), by_length("model").alias("m"), models.alias("all"))
+    owned = F.filter("all", lambda x: x["model"] == F.col("m.model"))
+    sole = F.when(F.aggregate(owned, F.lit(0), lambda t, x: t + x["n_owners"]) == 1, F.nullif(owned[0]["owner"], F.lit("")))
+    brand = F.when(F.col("p").isNotNull(), F.col("p.pair_brand")).when(F.col("b").isNotNull(), F.col("b.brand")).otherwise(sole)
+    return whole.select("listing_id", brand.alias("found_brand"), F.when(F.col("b").isNotNull(), F.col("p.pair_model")).otherwise(F.col("m.model")).alias("found_model"))
 
 
 def product_groups(df: DataFrame) -> DataFrame:
@@ -235,22 +279,24 @@ def product_groups(df: DataFrame) -> DataFrame:
     own. Null names and empty tables are fine; columns other than those read are dropped.
     """
     scratch = Scratch(df.sparkSession, "listings")
-    reader = Reader()
-    seconds = {reader.sound[w] for w in SECOND_WORDS.split()}
-    read = scratch.save(read_listings(df).dropDuplicates(["listing_id"]), "read")
+    estate = estate_words(df)
+    reader = Reader(estate)
+    read = scratch.save(read_listings(df, estate).dropDuplicates(["listing_id"]), "read")
+    # second words: they follow many names inside quotes
+    seconds = set(mined_words(read.select(F.col("quoted").alias("words"), F.lit(1).alias("n")))) - reader.estate
     # brands: spellings of the producer column, slips put right
     branded = read.withColumn("brand", F.nullif(F.array_join("brand", ""), F.lit(""))).withColumn("all", F.lit("-"))
     brands = branded.where("brand is not null").groupBy("all", "brand").agg(F.count("*").alias("n"))
-    branded = scratch.save(_corrected(branded, spelled_alike(scratch.save(brands, "brands"), "all", "brand"), "all", "brand").drop("all"), "branded")
+    branded = scratch.save(_corrected(branded, settled(spelled_alike(scratch.save(brands, "brands"), "all", "brand"), "all", "brand", scratch, "brand-slips"), "all", "brand").drop("all"), "branded")
     # general words: outside quotes beside many brands
     n_brands = branded.select("brand").distinct().count()
     general = branded.where("brand is not null").select("brand", F.explode(F.array_except("words", F.coalesce("quoted", F.array()))).alias("w")).distinct().groupBy("w").agg(F.count("*").alias("n"))
-    general = general.where((F.col("n") >= max(6, GENERAL_BRANDS * n_brands)) & ~F.col("w").isin(*seconds))
+    general = general.where((F.col("n") >= max(6, GENERAL_BRANDS * n_brands)) & ~F.col("w").isin(*sorted(seconds)))
     general_words = sorted({r.w for r in general.collect()} | {reader.sound[w] for w in GENERAL_WORDS.split()} | reader.estate)
     dropped = F.array(*[F.lit(w) for w in general_words])
 
     # the core of a phrase and its second word; a second word may be misspelt
-    near = lambda w: F.coalesce(*[F.when(F.levenshtein(w, F.lit(s)) <= (1 if len(s) < 6 else 2), F.lit(s)) for s in sorted(seconds)])
+    near = lambda w: F.coalesce(F.lit(None).cast("string"), *[F.when(F.levenshtein(w, F.lit(s)) <= (1 if len(s) < 6 else 2), F.lit(s)) for s in sorted(seconds)])
     plain = F.filter("words", lambda w: ~F.array_contains(dropped, w) & (F.col("brand").isNull() | ~_near(w, F.col("brand"))))
     second_of = lambda words: F.try_element_at(F.filter(F.transform(words, near), lambda w: w.isNotNull()), F.lit(1))
     core_of = lambda words: F.array_join(F.filter(words, lambda w: near(w).isNull()), "")
@@ -265,7 +311,8 @@ def product_groups(df: DataFrame) -> DataFrame:
     branded = scratch.save(branded.join(named, "listing_id", "left").withColumn("brand", F.coalesce("brand", "in_name")).drop("in_name"), "found")
     worded = branded.select("listing_id", "brand", "words", "colour", "sugar", "vintage", "volume", quoted.alias("quoted"), plain.alias("plain")).withColumn("is_quoted", core_of("quoted") != "")
     worded = scratch.save(worded.withColumn("core", F.nullif(F.when(F.col("is_quoted"), core_of("quoted")).otherwise(core_of("plain")), F.lit(""))).withColumn("second", F.coalesce(second_of("words"), F.lit(""))), "worded")
-    trusted = worded.where("brand is not null and is_quoted").groupBy("brand", F.col("core").alias("model")).agg(F.count("*").alias("n"))
+    # a quoted producer is no product
+    trusted = worded.where("brand is not null and is_quoted").where(~_near(F.col("core"), F.col("brand"))).groupBy("brand", F.col("core").alias("model")).agg(F.count("*").alias("n"))
     trusted = scratch.save(trusted, "trusted")
     slips = scratch.save(spelled_alike(trusted, "brand", "model"), "slips")
     dictionary = trusted.join(slips.select("brand", "model"), ["brand", "model"], "left_anti").select("brand", "model")
@@ -276,7 +323,7 @@ def product_groups(df: DataFrame) -> DataFrame:
     joined = joined.withColumn("model", F.when(F.col("found_model").isNull() & ~F.col("is_quoted") & F.col("found_brand").isNotNull(), F.nullif(core_of(left_over), F.lit(""))).otherwise(F.col("model")))
     named = scratch.save(joined.select("listing_id", F.coalesce("brand", F.lit("")).alias("brand"), F.coalesce("model", F.lit("")).alias("model"), "second", "colour", "sugar", "vintage", "volume"), "named")
     counts = scratch.save(named.where("model <> ''").groupBy("brand", "model").agg(F.count("*").alias("n")), "counts")
-    final = _corrected(named, scratch.save(spelled_alike(counts, "brand", "model"), "final_slips"), "brand", "model")
+    final = _corrected(named, settled(spelled_alike(counts, "brand", "model"), "brand", "model", scratch, "final-slips"), "brand", "model")
     alone = F.when((F.col("brand") == "") & (F.col("model") == ""), F.col("listing_id"))
     key = F.struct("brand", "model", "second", "colour", "sugar", "vintage", "volume", alone.alias("alone"))
     keyed = scratch.save(final.withColumn("key", F.sha2(F.to_json(key), 256)), "keyed")

@@ -1,6 +1,9 @@
 import random
 
-from cellarflow.llm.listings import Reader, _one_slip, product_groups, product_pairs
+from cellarflow.llm import listings
+from cellarflow.llm.listings import Reader, _find_phrases, _one_slip, mined_words, product_groups, product_pairs, settled
+
+from cellarflow.session import Scratch
 
 COLUMNS = "listing_id long, name string, winery string, sugar string, sugar_class string, category string, brand string, group_id string"
 
@@ -16,7 +19,7 @@ def test_reader():
     assert _one_slip("huotr", "hutor") and _one_slip("abc", "abxc") and not _one_slip("abcd", "badc")
 
 
-def test_groups(spark):
+def test_groups(spark, monkeypatch):
     rng = random.Random(13)
     makers = [("Востоба", "Vostoba"), ("Драшамадран", "Drashamadran"), ("Зиданет", "Zidanet"), ("Корадрот", "Koradrot"), ("Лепованом", "Lepovanom"), ("Мапетост", "Mapetost"), ("Кигогин", "Kigogin")]
     syllables = [("ва", "va"), ("ши", "shi"), ("до", "do"), ("ре", "re"), ("га", "ga"), ("бу", "bu"), ("ни", "ni"), ("ко", "ko"), ("ле", "le"), ("тро", "tro")]
@@ -54,3 +57,31 @@ def test_groups(spark):
     found = {(r[0], r[1]) for r in product_pairs(groups).collect()}
     assert len(found & want) >= 0.97 * len(want) and len(found - want) <= 0.02 * len(found)
     assert product_groups(df.limit(0)).count() == 0
+    # the dictionary in many blocks and the listings in many chunks: the same groups
+    monkeypatch.setattr(listings, "BLOCK_PHRASES", 7)
+    monkeypatch.setattr(listings, "CHUNK_LISTINGS", 90)
+    assert {r.listing_id: r.group_id for r in product_groups(df).collect()} == got
+
+
+def test_mined_words(spark):
+    rng = random.Random(4)
+    names = [f"name{i}" for i in range(30)]
+    rows = [([rng.choice(["old", "reserve"]), n] if rng.random() < 0.6 else [n], 3) for n in names for _ in range(4)] + [(["hot", x], 40) for x in ("old", "reserve", "estate")]
+    assert mined_words(spark.createDataFrame(rows, "words array<string>, n long")) == ["old", "reserve"]
+    assert mined_words(spark.createDataFrame([], "words array<string>, n long")) == []
+
+
+def test_phrases_in_blocks(spark, monkeypatch):
+    entries = spark.createDataFrame([("ab", "ma"), ("ab", "mama"), ("cd", "ma"), ("ef", "zu")], "brand string, model string")
+    rows = [(1, "ab", ["x", "ma", "ma"]), (2, None, ["ma", "c", "d"]), (3, None, ["ma"]), (4, None, ["zu"]), (5, None, ["ef", "ma"]), (6, "ef", ["ma"]), (7, None, None), (8, None, ["xma"]), (9, None, ["cd", "ma", "ma"])]
+    want = {(1, "ab", "mama"), (2, "cd", "ma"), (3, None, "ma"), (4, "ef", "zu"), (5, "ef", None), (6, "ef", None), (9, "cd", "ma")}
+    for size in (1, 100):
+        monkeypatch.setattr(listings, "BLOCK_PHRASES", size)
+        got = _find_phrases(spark.createDataFrame(rows, "listing_id long, brand string, words array<string>"), entries).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_slips_of_slips(spark):
+    chain = [("b", f"p{i}", f"p{i + 1}") for i in range(9)] + [("c", "p3", "q")]
+    ends = settled(spark.createDataFrame(chain, "brand string, model string, best string"), "brand", "model", Scratch(spark, "t"), "s")
+    assert {tuple(r) for r in ends.select("brand", "model", "best").collect()} == {*[("b", f"p{i}", "p9") for i in range(9)], ("c", "p3", "q")}
