@@ -6,28 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarflow.operators.order import numbered
+from cellarflow.operators.skew import salted_join, salted_lookup
 from cellarflow.session import Scratch
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): of each node of (a, b) edges the smallest node that it is connected with.
 
-    Labels spread to neighbours and jump to their label's label each round; the tables of a round replace the last.
+    Labels spread to neighbours and jump to their label's label each round, until no label changes; the tables of a round
+    replace the last. Joins on hot nodes are cut into parts.
     """
     scratch = Scratch(edges.sparkSession, "components")
     both = edges.where("a is not null and b is not null").select("a", "b").union(edges.where("a is not null and b is not null").select("b", "a")).toDF("a", "b").distinct()
     both = scratch.save(both, "edges")
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels-0")
-    for step in range(1, most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+    step, changed = 0, not labels.isEmpty()
+    while changed:
+        step += 1
+        near = salted_lookup(both, labels.select(F.col("node").alias("b"), "component"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         moved = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        jumped = moved.join(labels.select(F.col("node").alias("mid"), F.col("component").alias("up")), "mid").select("node", "old", F.least("mid", "up").alias("component"))
+        jumped = salted_lookup(moved, labels.select(F.col("node").alias("mid"), F.col("component").alias("up")), "mid", "node").select("node", "old", F.least("mid", "up").alias("component"))
         jumped = scratch.save(jumped, f"labels-{step}")
         changed = not jumped.where("old <> component").isEmpty()
         scratch.drop(f"labels-{step - 1}")
         labels = jumped.select("node", "component")
-        if not changed:
-            break
     return labels
 
 
@@ -42,26 +44,47 @@ def first_known(*keys: tuple[str, Column]) -> Column:
     return F.coalesce(*[F.when(c.isNotNull(), F.concat(F.lit(f"{name}:"), c.cast("string"))) for name, c in keys])
 
 
-def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """(group, n, fold): groups by falling size, then by hash, each to the lightest fold so far.
+def _deal(loads: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """How ``count`` groups of one size go to the lightest fold each: (from which group on, the folds in turn).
 
-    Greedy and so sequential: only the groups' sizes are folded, in one expression, equal sizes of single rows
-    (the long tail) are dealt out in turn afterwards. Groups of two or more rows must fit one task.
+    Adds to ``loads``. Folds within one size of the lightest take turns, always in the same order, until they reach the
+    next fold, so there are at most as many stretches as folds.
     """
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
-    rank = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.sha2(F.col(group).cast("string"), 256).alias("h"), F.col(group).alias("g"))))
-    packed = sizes.where("n > 1").agg(rank.alias("s"))
-    kind = sizes.schema[group].dataType.simpleString()
-    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), folds).alias("load"), F.array().cast(f"array<struct<g:{kind},n:bigint,fold:int>>").alias("out"))
+    runs, done = [], 0
+    while done < count:
+        order = sorted(range(len(loads)), key=lambda i: (loads[i], i))
+        low = (loads[order[0]] + size, order[0])
+        turn = [i for i in order if (loads[i], i) < low]
+        rounds = -(-(count - done) // len(turn))
+        if len(turn) < len(loads):
+            far = order[len(turn)]
+            # the fewest rounds after which the next fold is lighter than the first one's next load
+            behind = loads[far] - loads[order[0]]
+            rounds = min(rounds, max(1, behind // size if (loads[far], far) < (loads[order[0]] + behind // size * size + size, order[0]) else behind // size + 1))
+        taken = min(count - done, rounds * len(turn))
+        runs.append((done, turn))
+        for k, i in enumerate(turn):
+            loads[i] += size * (taken // len(turn) + (k < taken % len(turn)))
+        done += taken
+    return runs
 
-    def place(state: Column, x: Column) -> Column:
-        at = F.array_position(state["load"], F.array_min(state["load"])).cast("int")
-        load = F.transform(state["load"], lambda v, i: F.when(i == at - 1, v - x["m"]).otherwise(v))
-        return F.struct(load.alias("load"), F.array_append(state["out"], F.struct(x["g"].alias("g"), (-x["m"]).alias("n"), (at - 1).alias("fold"))).alias("out"))
 
-    large = packed.select(F.inline(F.aggregate("s", zero, place)["out"])).select(F.col("g").alias(group), "n", "fold")
-    single = numbered(sizes.where("n = 1"), [F.sha2(F.col(group).cast("string"), 256), F.col(group)]).withColumn("fold", F.pmod(F.col("number"), F.lit(folds)).cast("int"))
-    return large.unionByName(single.select(group, "n", "fold"))
+def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """(group, n, fold): groups by falling size, then by hash, each to the lightest fold so far, the first of equal ones.
+
+    Groups are numbered in that order in the cluster. Within one size the folds take turns in a few stretches, which the
+    driver works out from how many groups each size has: sizes that occur are few, at most the root of twice the rows.
+    """
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+    ordered = numbered(sizes, [F.col("n").desc(), F.sha2(F.col(group).cast("string"), 256), F.col(group)])
+    loads, first, stretches = [0] * folds, 0, []
+    for row in sizes.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.col("n").desc()).toLocalIterator():
+        stretches += [(row.n, first + at, turn) for at, turn in _deal(loads, row.n, row.m)]
+        first += row.m
+    table = df.sparkSession.createDataFrame(stretches, "n long, start long, turn array<int>").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("start", "turn"))).alias("s"))
+    joined = salted_lookup(ordered, table, "n", group)
+    at = F.element_at(F.filter("s", lambda x: x["start"] <= F.col("number")), -1)
+    return joined.select(group, "n", F.element_at(at["turn"], (F.pmod(F.col("number") - at["start"], F.size(at["turn"])) + 1).cast("int")).alias("fold"))
 
 
 def elect(df: DataFrame, group: str, key: str, preferences: list[Column]) -> DataFrame:
@@ -71,10 +94,13 @@ def elect(df: DataFrame, group: str, key: str, preferences: list[Column]) -> Dat
 
 
 def twin_pairs(df: DataFrame, group: str, key: str, fields: list[str]) -> DataFrame:
-    """(key_a, key_b, differs): pairs of one group with the first field that both have and that differs, if any."""
+    """(key_a, key_b, differs): pairs of one group with the first field that both have and that differs, if any.
+
+    The result is the pairs; a hot group is cut into parts.
+    """
     a, b = df.select(group, *[F.col(c).alias(f"{c}_a") for c in [key, *fields]]), df.select(group, *[F.col(c).alias(f"{c}_b") for c in [key, *fields]])
     first = F.coalesce(*[F.when(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(c)) for c in fields])
-    return a.join(b, group).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b", first.alias("differs"))
+    return salted_join(a, b, group, f"{key}_a").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b", first.alias("differs"))
 
 
 def apply_fixes(df: DataFrame, fixes: DataFrame, keys: list[str]) -> DataFrame:

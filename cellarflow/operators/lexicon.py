@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellarflow.operators.skew import salted_join
 from cellarflow.operators.text import edit_budget, words_of
 
 
@@ -104,19 +105,21 @@ def best_cer(df: DataFrame, token: str, text: str) -> DataFrame:
     return df.withColumn("__w", words_of(text)).withColumn("cer", least / F.length(token)).drop("__w")
 
 
-def fuse_support(spans: DataFrame, group: str, reading: str, norm: str, most: int = 1) -> DataFrame:
-    """(group, norm, support, reading): how many readings of a group have a span or one within ``most`` edits.
+def fuse_support(spans: DataFrame, group: str, reading: str, norm: str) -> DataFrame:
+    """(group, norm, support, reading): how many readings of a group have a span or one within one edit.
 
-    The first reading that has it speaks for it. Joined on the group and a common third of the string, not all pairs.
+    The first reading that has it speaks for it. With one edit the first or the last half of a span stays whole, at the
+    beginning or at the end: joined on the group, the span's length and a half, so every such pair meets.
     """
     base = spans.where(F.col(norm).isNotNull()).select(F.col(group).alias("g"), F.col(reading).alias("r"), F.col(norm).alias("s")).distinct()
-    own = base.groupBy("g", "s").agg(F.collect_set("r").alias("rs"))
-    half = lambda c: F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(c, 1, 2)), F.concat(F.lit(">"), F.expr(f"substring({c}, -2)"))))
-    keyed = own.select("g", "s", "rs", F.explode(half("s")).alias("k"))
-    other = keyed.select("g", "k", F.col("s").alias("o"), F.col("rs").alias("ors"))
-    near = keyed.join(other, ["g", "k"]).where(F.levenshtein("s", "o", most) >= 0)
-    fused = near.groupBy("g", "s").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ors")))).alias("all"))
-    return fused.select(F.col("g").alias(group), F.col("s").alias(norm), F.size("all").alias("support"), F.element_at("all", 1).alias(reading))
+    own = base.groupBy("g", "s").agg(F.collect_set("r").alias("rs")).withColumn("n", F.length("s"))
+    halves = lambda n: F.array(F.concat(F.lit("<"), F.substring("s", F.lit(1), F.floor(n / 2).cast("int"))), F.concat(F.lit(">"), F.right("s", F.ceil(n / 2).cast("int"))))
+    keyed = own.select("g", "s", "rs", "n", F.explode(halves(F.col("n"))).alias("k"))
+    other = own.select("g", "s", "rs", F.explode(F.sequence(F.greatest(F.col("n") - 1, F.lit(0)), F.col("n") + 1)).alias("n"))
+    other = other.select("g", "n", F.explode(halves(F.col("n"))).alias("k"), F.col("s").alias("o"), F.col("rs").alias("ors"))
+    near = salted_join(keyed.withColumn("key", F.struct("g", "n", "k")).select("key", "g", "s"), other.select(F.struct("g", "n", "k").alias("key"), "o", "ors"), "key", "s").where(F.levenshtein("s", "o", 1) >= 0)
+    fused = near.select("g", "s", F.explode("ors").alias("r")).groupBy("g", "s").agg(F.countDistinct("r").cast("int").alias("support"), F.min("r").alias("first"))
+    return fused.select(F.col("g").alias(group), F.col("s").alias(norm), "support", F.col("first").alias(reading))
 
 
 def unmatched(tokens: DataFrame, hits: DataFrame, keys: list[str], word: str, stop: list[str], least: int = 4) -> DataFrame:

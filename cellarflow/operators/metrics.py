@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellarflow.operators.order import numbered, tiles
+from cellarflow.operators.order import numbered, running_sums, tiles
 
 
 def share(numerator: Column | str, denominator: Column | str) -> Column:
@@ -22,34 +24,50 @@ def _keys(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, by) if by else (df.withColumn("__all", F.lit(1)), ["__all"])
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], ceil_rule: bool = False) -> DataFrame:
-    """``by``, n and one column for each quantile: the value at rank rint(q (n - 1)) from 0, ties to even.
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """``by``, n and a column for each of ``ranks(n)``: the value at that place of the group's order, from 0.
 
-    With ``ceil_rule`` the value at rank ceil(q n) from 1. Null values don't count; a group without values is left out.
-    Ranks come from one global order by key and value, so a group of any size is spread over tasks.
+    Null values don't count; a group without values is left out. Places come from one global order by key and value, so
+    a group of any size is spread over tasks.
     """
     df, keys = _keys(df.where(F.col(value).isNotNull()), by)
     ordered = numbered(df.select(*keys, value), [*keys, value], "__at")
     groups = ordered.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
-    rank = lambda q: F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)) - 1 if ceil_rule else F.rint(F.lit(q) * (F.col("n") - 1))
-    targets = F.array(*[F.struct(F.lit(name).alias("__q"), (F.col("__first") + rank(q)).cast("long").alias("__at")) for name, q in quantiles.items()])
+    wanted = ranks(F.col("n"))
+    targets = F.array(*[F.struct(F.lit(name).alias("__q"), (F.col("__first") + rank).cast("long").alias("__at")) for name, rank in wanted.items()])
     picked = groups.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "n", F.inline(targets)).join(ordered, "__at")
-    return picked.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("__q") == name, F.col(value))).alias(name) for name in quantiles]).drop("__all")
+    return picked.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("__q") == name, F.col(value))).alias(name) for name in wanted]).drop("__all")
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], ceil_rule: bool = False) -> DataFrame:
+    """``by``, n and one column for each quantile: the value at rank rint(q (n - 1)) from 0, ties to even.
+
+    With ``ceil_rule`` the value at rank ceil(q n) from 1. Null values don't count; a group without values is left out.
+    """
+    rank = lambda q, n: F.greatest(F.ceil(F.lit(q) * n), F.lit(1)) - 1 if ceil_rule else F.rint(F.lit(q) * (n - 1))
+    return at_ranks(df, by, value, lambda n: {name: rank(q, n) for name, q in quantiles.items()})
 
 
 def level_medians(df: DataFrame, levels: list[list[str]], values: list[str], digits: int = 2) -> DataFrame:
     """Medians and support of ``values`` on each level of keys; a key that is null leaves the row out of that level.
 
-    Columns: level (its number), the keys of the first level (null where a level lacks them), n, and the medians.
+    Columns: level (its number), the keys of the first level (null where a level lacks them), n, and the medians. A median
+    is the mean of the two middle values of a global order, so the level without keys is no task of its own.
     """
     keys = levels[0]
-    result = None
+    leveled = None
     for number, level in enumerate(levels):
         rows = df.where(" and ".join(f"{k} is not null" for k in level)) if level else df
-        made = rows.groupBy(*level).agg(F.count("*").alias("n"), *[F.round(F.median(v), digits).alias(v) for v in values])
-        made = made.select(F.lit(number).alias("level"), *[F.col(k) if k in level else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "n", *values)
-        result = made if result is None else result.unionByName(made)
-    return result
+        rows = rows.select(F.lit(number).alias("level"), *[F.col(k) if k in level else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], *values)
+        leveled = rows if leveled is None else leveled.unionByName(rows)
+    by = ["level", *keys]
+    result = leveled.groupBy(*by).agg(F.count("*").alias("n"))
+    for v in values:
+        middle = at_ranks(leveled, by, v, lambda n: {"lo": F.floor((n - 1) / 2), "hi": F.ceil((n - 1) / 2)})
+        middle = middle.select(*[F.col(k).alias(f"__{k}") for k in by], F.round((F.col("lo") + F.col("hi")) / 2, digits).alias(v))
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+        result = result.join(middle, same, "left").drop(*[f"__{k}" for k in by])
+    return result.select(*by, "n", *values)
 
 
 def with_fallback(df: DataFrame, medians: DataFrame, levels: list[list[str]], values: list[str], least: int = 5) -> DataFrame:
@@ -139,13 +157,14 @@ def calibration_error(df: DataFrame, probability: str, ok: str, bins: int, order
 def grouped_bootstrap(df: DataFrame, group: str, ok: str, replicates: int = 200, seed: int = 0) -> DataFrame:
     """One row (accuracy, lo, hi): accuracy with 2.5 and 97.5 percentiles over resamples of whole groups.
 
-    Each replicate gives each group a weight: how many of as many draws as there are groups hit it, drawn as a
+    The Poisson bootstrap: drawing with replacement needs the groups' number to be dealt out among them, a Poisson weight
+    for each is its limit and needs nothing else. Each replicate gives each group a weight: how many of as many draws as there are groups hit it, drawn as a
     Poisson(1) count from a hash of replicate and group, so a group of any size is one row that is weighed.
     """
     groups = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(ok).alias("right"))
     u = F.pmod(F.xxhash64(F.lit(seed), "replicate", group), F.lit(1 << 40)) / F.lit(float(1 << 40))
     steps, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(8):  # cumulative Poisson(1)
+    for k in range(16):  # cumulative Poisson(1), to the last bit of u
         total += term
         steps.append(total)
         term /= k + 1
@@ -186,13 +205,27 @@ def f1_at(df: DataFrame, ks: list[int]) -> DataFrame:
 def threshold_out_of_fold(df: DataFrame, fold: str, score: str, ok: str) -> DataFrame:
     """(fold, threshold, accuracy): for each fold the threshold that is best on the others, judged on the fold.
 
-    Predicting ``ok`` where score >= threshold; of equally good thresholds the smallest. The folds are few.
+    Predicting ``ok`` where score >= threshold; of equally good thresholds the smallest. The folds are few. Scores are
+    counted by value and added up along one global order; nothing is held for a whole fold. Rows with a null fold,
+    score or ok don't count.
     """
-    folds = df.select(F.col(fold).alias("held")).distinct()
-    others = df.crossJoin(F.broadcast(folds)).where(F.col(fold) != F.col("held"))
-    down = Window.partitionBy("held").orderBy(F.col(score).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("held")
-    right = F.count_if(F.col(ok)).over(down) + F.count_if(~F.col(ok)).over(whole) - F.count_if(~F.col(ok)).over(down)
-    best = others.withColumn("right", right).groupBy("held").agg(F.max_by(score, F.struct("right", -F.col(score))).alias("threshold"))
-    judged = df.join(best, F.col(fold) == F.col("held"))
+    known = df.where(F.col(fold).isNotNull() & F.col(score).isNotNull() & F.col(ok).isNotNull())
+    totals = {r[0]: (r.good, r.bad) for r in known.groupBy(fold).agg(F.count_if(F.col(ok)).alias("good"), F.count_if(~F.col(ok)).alias("bad")).collect()}
+    names = sorted(totals)
+    if not names:
+        return df.select(F.col(fold), F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("accuracy")).limit(0)
+    counts = [F.count_if((F.col(fold) == n) & right).alias(f"{kind}{i}") for i, n in enumerate(names) for kind, right in (("good", F.col(ok)), ("bad", ~F.col(ok)))]
+    # of each score, and of all that are lower, how many are right and wrong in each fold
+    scored = running_sums(known.groupBy(score).agg(*counts), [score], [f"{kind}{i}" for i in range(len(names)) for kind in ("good", "bad")])
+    columns = [f"{kind}{i}" for i in range(len(names)) for kind in ("good", "bad")]
+    best = []
+    for k, name in enumerate(names):
+        others = [i for i in range(len(names)) if i != k]
+        # at this threshold: wrong ones that lie below it, and right ones that don't
+        below = lambda kind: sum((F.col(f"sum_{kind}{i}") - F.col(f"{kind}{i}") for i in others), F.lit(0))  # noqa: B023, E731
+        right = below("bad") + sum(totals[names[i]][0] for i in others) - below("good")
+        there = sum((F.col(f"{kind}{i}") for i in others for kind in ("good", "bad")), F.lit(0)) > 0
+        best.append(F.struct(F.lit(name).alias("held"), F.max_by(score, F.when(there, F.struct(right, -F.col(score)))).alias("threshold")))
+    chosen = scored.select(score, *columns, *[f"sum_{c}" for c in columns]).agg(F.array(*best).alias("x")).select(F.inline("x"))
+    judged = known.join(chosen, F.col(fold) == F.col("held"))
     return judged.groupBy(fold).agg(F.first("threshold").alias("threshold"), F.avg(((F.col(score) >= F.col("threshold")) == F.col(ok)).cast("double")).alias("accuracy"))

@@ -202,6 +202,21 @@ def words_match(a: Column | str, b: Column | str) -> Column:
     return (a == b) | ((shorter >= 4) & (F.substring(a, F.lit(1), stem) == F.substring(b, F.lit(1), stem)) & (F.abs(F.length(a) - F.length(b)) <= 3))
 
 
+def form_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y): words of ``left`` (x) and of ``right`` (y) for which ``words_match`` holds; both have distinct words.
+
+    The shorter word's length tells how many letters must be equal; the longer one meets each length that its own allows,
+    so all such pairs meet and no others are looked at than those with a common beginning.
+    """
+    stem = lambda n: F.least(F.lit(5), F.greatest(n - 1, F.lit(3)))
+    n = lambda c: F.length(c)
+    sizes = lambda c: F.when(n(c) < 4, F.array(n(c))).otherwise(F.sequence(F.greatest(n(c) - 3, F.lit(4)), n(c)))
+    part = lambda c: F.when(F.col("size") < 4, F.col(c)).otherwise(F.substring(c, F.lit(1), stem(F.col("size"))))
+    keyed = lambda df, c: df.where(F.col(c).isNotNull()).select(c, F.explode(sizes(F.col(c))).alias("size")).withColumn("k", part(c))
+    met = keyed(left, "x").join(keyed(right, "y"), ["size", "k"]).where(F.col("size") == F.least(n("x"), n("y")))
+    return met.select("x", "y").where(words_match("x", "y"))
+
+
 def has_word(bag: Column | str, word: Column | str, fuzzy: bool = False) -> Column:
     """Whether a bag of words has a word, or with ``fuzzy`` one within an edit."""
     word = F.col(word) if isinstance(word, str) else word

@@ -13,6 +13,7 @@ from cellarflow.plans.facets import _PROFILE as _FACETS_PROFILE
 from cellarflow.plans.facets import _STEP as _FACETS_STEP
 from cellarflow.plans.facets import _WITH as _FACETS
 from cellarflow.plans.facets import _near, _profile, _rows
+from cellarflow.plans.words import _WORDS
 from cellarflow.plans.retrieval import _ALIGNED, _SIMS, _index, _queries, _slugs
 from cellarflow.operators import facets as C
 from cellarflow.operators import vectors as V
@@ -115,6 +116,14 @@ def _first_of(how: str, score: str, source: str, total: str) -> str:
     return f"select '{how}' as how, query, slug from (select query, slug, {total}(best) as score from (select query, row_id, slug, max({score}) as best from {source} group by all) group by all) join firsts using (slug) qualify row_number() over (partition by query order by round(score, 12) desc, first) = 1"
 
 
+def _rules(rules: list[tuple[str, str]]) -> str:
+    return "case " + " ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in rules) + " end"
+
+
+_ROUTED = f"""t as (select doc_id, source, published_at, text, {_rules(H.REFUSALS)} as refusal, {_rules(H.INTENTS)} as intent, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') as plain from documents where source is not null),
+  r as (select doc_id, text, coalesce(first_value(case when refusal in ('pregnancy', 'age') then refusal end ignore nulls) over (partition by source order by published_at nulls first, doc_id rows between unbounded preceding and 1 preceding),
+  case when plain in ('привет', 'здравствуйте', 'hello', 'hi') then 'hello' when plain in ('спасибо', 'thanks', 'thank you') then 'thanks' when plain in ('пока', 'до свидания', 'bye') then 'bye' end, refusal, intent, 'unknown') as route from t)"""
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("tx", "pf", "ma", "wn", "vr", "ux") and n[2:4].isdigit()}
 SQL = {
     "pf21_rule_sugar": "select listing_id, coalesce(sugar_class, case when regexp_matches(lower(name), 'десерт|портвейн|dolce|sweet') then 'sladkoe' end) as sugar from wine_cards",
@@ -126,6 +135,11 @@ SQL = {
       select query, slug, arg_max(view, struct_pack(b := best, r := -row_id)) as view from (select query, row_id, slug, view, max(sim) as best from s group by all) group by query, slug""",
     "ux05_aggregations": f"""with {_SIMS}, {_ALIGNED.format(base='is_base')}, firsts as (select label as slug, min(vec_id) as first from embeddings group by 1)
       {_first_of('max', 'sim', 'sims', 'max')} union all {_first_of('mean', 'sim', 'sims', 'avg')} union all {_first_of('zmax', 'aligned', 'aligned', 'max')}""",
+    "tx30_routes": f"with {_ROUTED} select route, count(*) as n from r group by 1",
+    "pf19_voice": f"with {_ROUTED} select route in ('dish', 'grape', 'serve', 'fact') and length(text) < 1000 as voice, count(*) as n from r group by 1",
+    "tx38_near_words": f"""with w as (select doc_id, p as pos, ws[p] as w from (select doc_id, {_WORDS.format('lower(text)')} as ws from documents where text is not null), range(1, 100000) r(p) where p <= len(ws))
+      select distinct a.doc_id from w a join w b on a.doc_id = b.doc_id and abs(a.pos - b.pos) <= 3 where a.w in ('употребление', 'drink') and b.w in ('здоровью', 'responsibly', 'вредит')""",
+    "ux01_lines": "select doc_id, len(list_filter(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda s: regexp_matches(s, '[^\\s\\x0B\\x1c-\\x1f\\x{85}\\p{Z}]')))::int as n_lines from documents where text is not null union all select doc_id, null from documents where text is null",
     "tx31_smalltalk": """with t as (select trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') as t from text_lines) select case when t in ('привет', 'здравствуйте', 'hello', 'hi') then 'hello' when t in ('спасибо', 'thanks', 'thank you') then 'thanks' when t in ('пока', 'до свидания', 'bye') then 'bye' end as kind, count(*) as n from t group by 1""",
     "pf02_facts": """select slug, coalesce(case when regexp_matches(lower(name), 'экстра[ -]брют|extra[ -]brut') then 'extra_brut' when regexp_matches(lower(name), 'полусух|semi-?dry|off-dry') then 'polusuhoe' when regexp_matches(lower(name), 'полуслад|semi-?sweet') then 'polusladkoe' when regexp_matches(lower(name), 'брют|(^|[^a-z])brut($|[^a-z])') then 'brut'
       when regexp_matches(lower(name), 'сух(ое|ой|ая)|(^|[^a-z])dry($|[^a-z])') then 'suhoe' when regexp_matches(lower(name), 'сладк(ое|ий|ая)|(^|[^a-z])sweet($|[^a-z])') then 'sladkoe' end, regexp_extract_all(slug, '(ekstra-bryut|bryut|polusukhoe|polusladkoe|sukhoe|sladkoe)', 1)[-1]) as sugar, cluster_b, coalesce(list_contains(noise_flags, 'wrong_photo'), false) as wrong_photo from catalog_positions""",

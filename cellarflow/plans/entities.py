@@ -6,6 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellarflow.operators import entities as E
+from cellarflow.operators import phrases as P
+from cellarflow.operators.text import form_pairs, words_of
+from cellarflow.plans.words import _NORMAL, _WORDS, document_words
 from cellarflow.sources.tables import table
 
 
@@ -113,13 +116,16 @@ def jn22_topics(spark, d):
     return E.topic_of(words, triggers, "doc_id", "w")
 
 
+NEGATIONS = ["без", "не", "without", "not", "no"]
+
+
 def jn23_dishes(spark, d):
-    """Which dish phrase a document names: an exact phrase before single words, the longer first; negated ones out."""
-    dishes = spark.createDataFrame([(1, "жирность лосося"), (2, "стейк средней прожарки"), (3, "fried mussels"), (4, "salty cheese"), (5, "сладость груши")], "dish int, phrase string")
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.lower("text").alias("t"))
-    found = rows.join(F.broadcast(dishes), F.col("t").contains(F.col("phrase"))).where(~F.rlike("t", F.concat(F.lit("(без|without) "), F.col("phrase"))))
-    order = Window.partitionBy("doc_id").orderBy(F.length("phrase").desc(), "dish")
-    return found.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc_id", "dish")
+    """Which name of the lexicon a document's text has: whole phrases, the longer before the shorter; negated ones out."""
+    phrases = table(spark, d, "lex_entries").where("not is_part").select("entry_id", words_of(F.lower("norm")).alias("words"))
+    words = document_words(spark, d)
+    hits = P.without_negated(P.rule_hits(words, "doc_id", "pos", "w", P.phrase_table(phrases, "entry_id", "words")), words, "doc_id", "pos", "w", NEGATIONS)
+    length = phrases.select(F.col("entry_id").alias("rule"), F.length(F.array_join("words", " ")).alias("n"))
+    return hits.join(length, "rule").groupBy("doc_id").agg(F.max_by("rule", F.struct("n", -F.col("rule"))).alias("entry_id"))
 
 
 def st02_union_first(spark, d):
@@ -130,11 +136,11 @@ def st02_union_first(spark, d):
 
 
 def st04_covered(spark, d):
-    from cellarflow.operators.text import words_match
-
-    asked = table(spark, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("q"))
-    phrase = spark.createDataFrame([("small",), ("rings",), ("widgets",)], "w string")
-    return asked.crossJoin(F.broadcast(phrase)).where(words_match("q", "w")).groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("q")), " ").alias("covered"))
+    """The words of each line that are forms of a word of the lexicon."""
+    asked = table(spark, d, "text_lines").where("text is not null").select("line_id", F.explode(F.array_distinct(words_of(F.lower("text")))).alias("x"))
+    known = table(spark, d, "lex_entries").select(F.explode(words_of(F.lower("norm"))).alias("y")).distinct()
+    covered = form_pairs(asked.select("x").distinct(), known).select("x").distinct()
+    return asked.join(covered, "x").groupBy("line_id").agg(F.array_join(F.array_sort(F.collect_list("x")), " ").alias("covered"))
 
 
 def st05_symmetric(spark, d):
@@ -200,6 +206,16 @@ def ag41_flags(spark, d):
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("st", "so", "ma", "jn", "ag") and n[2:4].isdigit()}
 SQL = {
+    "jn22_topics": """with w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) as w from documents where text is not null), k(topic, stem, is_trigger, needs_context, narrow) as (values ('serving', 'пода', true, false, false), ('serving', 'бокал', false, false, false), ('law', 'суды', true, true, true),
+      ('law', 'марк', false, true, true), ('travel', 'турист', true, false, true), ('travel', 'hotel', true, false, true)), h as (select distinct doc_id, k.* from w join k on starts_with(w.w, k.stem)),
+      s as (select doc_id, topic, sum(case when is_trigger then 2 else 1 end)::bigint as score, bool_or(narrow) as narrow from h group by 1, 2 having bool_or(is_trigger) and (bool_or(not is_trigger) or not bool_or(needs_context)))
+      select doc_id, topic, score from s qualify row_number() over (partition by doc_id order by score desc, narrow desc, topic) = 1""",
+    "jn23_dishes": f"""with d as (select doc_id, {_NORMAL} as t from documents where text is not null), e as (select entry_id, array_to_string({_WORDS.format('lower(norm)')}, ' ') as p from lex_entries where not is_part and norm is not null),
+      h as (select doc_id, entry_id, p, t from d join e on length(p) > 0 and contains(t, ' ' || p || ' ')), k as (select * from h where contains(regexp_replace(t, ' (?:без|не|without|not|no) ' || p || ' ', ' | ', 'g'), ' ' || p || ' '))
+      select doc_id, entry_id from k qualify row_number() over (partition by doc_id order by length(p) desc, entry_id) = 1""",
+    "st04_covered": f"""with l as (select distinct line_id, unnest({_WORDS.format('lower(text)')}) as x from text_lines where text is not null), k as (select distinct unnest({_WORDS.format('lower(norm)')}) as y from lex_entries where norm is not null), x as (select distinct x from l),
+      c as (select distinct x from x join k on x = y or (least(length(x), length(y)) >= 4 and abs(length(x) - length(y)) <= 3 and left(x, least(5, greatest(least(length(x), length(y)) - 1, 3))) = left(y, least(5, greatest(least(length(x), length(y)) - 1, 3)))))
+      select line_id, string_agg(x, ' ' order by x) as covered from l join c using (x) group by 1""",
     "st07_components": """with recursive e as (select slug as a, '~c' || cluster_b as b from catalog_positions where cluster_b is not null union all select slug, '~v' || array_to_string(visual_group, '-') from catalog_positions where len(visual_group) > 0),
       s as (select a, b from e union select b, a from e), reach(a, b) as (select a, a from s union select reach.a, s.b from reach join s on s.a = reach.b) select a as node, min(b) as component from reach where not starts_with(a, '~') group by 1""",
     "st08_keys": "select slug, coalesce('group:' || case when len(visual_group) > 0 then array_to_string(visual_group, '-') end, 'cluster:' || cluster_b, 'slug:' || slug) as key from catalog_positions",
@@ -231,6 +247,4 @@ SQL = {
       g as (select winery, slug, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) as gram from r), c as (select winery, gram, count(distinct slug) as n, any_value(size) as size from g join s using (winery) group by 1, 2 having n >= 0.25 * any_value(size))
       select winery, gram, n from c where not exists (select 1 from c p where p.winery = c.winery and contains(p.gram, ' ') and list_contains(string_split(p.gram, ' '), c.gram))""",
     "ag41_flags": "select flag, count(*) as n from (select unnest(noise_flags) as flag from catalog_positions) group by 1",
-    "jn23_dishes": """with d(dish, phrase) as (values (1, 'жирность лосося'), (2, 'стейк средней прожарки'), (3, 'fried mussels'), (4, 'salty cheese'), (5, 'сладость груши'))
-      select doc_id, dish from (select doc_id, lower(text) as t from documents where text is not null) x join d on contains(t, phrase) and not regexp_matches(t, '(без|without) ' || phrase) qualify row_number() over (partition by doc_id order by length(phrase) desc, dish) = 1""",
 }

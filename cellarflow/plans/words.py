@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellarflow.operators import lexicon as L
+from cellarflow.operators import phrases as R
 from cellarflow.operators import text as X
 from cellarflow.sources.tables import table
 
@@ -222,14 +223,8 @@ def tx14_budget(spark, d):
 
 
 def tx15_forms(spark, d):
-    words = table(spark, d, "documents").where("text is not null").select(F.explode(F.array_distinct(X.words_of(F.lower("text")))).alias("w")).where("length(w) >= 4").distinct().withColumn("n", F.length("w"))
-    # the shorter word's length tells how many letters must be equal; a longer word meets each length that its own allows
-    stem = lambda n: F.least(F.lit(5), F.greatest(n - 1, F.lit(3)))
-    a = words.select(F.col("w").alias("x"), F.col("n").alias("size"), F.substring("w", F.lit(1), stem(F.col("n"))).alias("k"))
-    b = words.select("w", "n", F.explode(F.sequence(F.greatest(F.col("n") - 3, F.lit(4)), F.col("n"))).alias("size"))
-    b = b.select(F.col("w").alias("y"), F.col("n").alias("m"), "size", F.substring("w", F.lit(1), stem(F.col("size"))).alias("k"))
-    met = a.join(b, ["size", "k"]).where("m > size or x < y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(X.words_match("a", "b"))
+    words = table(spark, d, "documents").where("text is not null").select(F.explode(F.array_distinct(X.words_of(F.lower("text")))).alias("w")).where("length(w) >= 4").distinct()
+    return X.form_pairs(words.select(F.col("w").alias("x")), words.select(F.col("w").alias("y"))).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def tx16_bag(spark, d):
@@ -259,11 +254,20 @@ def tx21_filter(spark, d):
     return rows.select("doc_id", F.array_join(X.all_classes("text", X.VIOLATIONS), ",").alias("classes"), F.length(X.sanitise("text")).alias("left_over"))
 
 
+BARRIER = [
+    ("health", 1, "здоров*", False), ("health", 1, "health", False), ("drink", 2, "употребл* ..2 вред*", False), ("drink", 2, "drink responsibly", False), ("label", 3, "этикет*", False),
+    ("label", 3, "label", False), ("label", 3, "на этикетке", True), ("label", 3, "the label reads", True), ("health", 1, "чрезмерное употребление ..1 здоровью", True),
+]
+
+
+def document_words(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(X.words_of(F.lower("text"))).alias("pos", "w"))
+
+
 def tx22_barrier(spark, d):
-    rules = [("health", r"здоров|health"), ("drink", r"употребл|responsibly"), ("label", r"этикет|label")]
-    excused = F.lower("text").rlike(r"на этикетке|the label reads")
-    rows = table(spark, d, "documents").where("text is not null")
-    return rows.select("doc_id", F.when(excused, F.lit(None).cast("string")).otherwise(X.first_class("text", rules)).alias("refusal")).where("refusal is not null")
+    """The refusal of each document: stems, phrases and gapped phrases by rank, less what an excuse covers."""
+    hits = R.rule_hits(document_words(spark, d), "doc_id", "pos", "w", R.rule_table(spark, BARRIER))
+    return R.barred(hits, "doc_id").withColumnRenamed("topic", "refusal")
 
 
 def tx23_invented(spark, d):
@@ -377,7 +381,38 @@ _GRAMS = """g as (select line_id, pos_no as start, 1 as size, norm as gram from
   from (select *, lead(norm, 1) over w as l1, lead(norm, 2) over w as l2, lead(norm, 3) over w as l3 from token_spans window w as (partition by line_id order by pos_no)), (values (2), (3), (4)) s(n)) where gram is not null)"""
 
 
+_NORMAL = "' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') || ' '"
+_SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')"
+_WORDS = "list_filter(string_split(trim(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' '), lambda x: x <> '')"
+# for DuckDB, whose edit distance counts bytes: each letter of two bytes that entries have as one sign that no norm has, any other as one more
+_LETTERS = "абвгдежзийклмнопрстуфхцчшщъыьэюяёéèêëàâäöüôûîïçñáíóú"
+_ONE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!\"#$&()*+,-./:;<=>?@[]^_{}|~"
+_BYTES = lambda c: f"regexp_replace(translate({c}, '{_LETTERS}', '{_ONE[: len(_LETTERS)]}'), '[^\\x00-\\x7f]', chr(1), 'g')"
+_ONE_EDIT = """(s = o or (length(s) = length(o) and len(list_filter(range(length(s)), lambda i: left(s, i::int) = left(o, i::int) and substr(s, i::int + 2) = substr(o, i::int + 2))) > 0)
+  or (length(o) = length(s) + 1 and len(list_filter(range(length(o)), lambda i: left(s, i::int) = left(o, i::int) and substr(s, i::int + 1) = substr(o, i::int + 2))) > 0)
+  or (length(s) = length(o) + 1 and len(list_filter(range(length(s)), lambda i: left(o, i::int) = left(s, i::int) and substr(o, i::int + 1) = substr(s, i::int + 2))) > 0))"""
+_NEGATED = f"""c as (select doc_id, row_number() over () as clause, s from (select doc_id, unnest(flatten(list_transform({_SENTENCES}, lambda s: regexp_split_to_array(s, '[,.;:!?—]+')))) as s from documents where text is not null)),
+  w as (select clause, p as pos, ws[p] as w from (select clause, {_WORDS.format('lower(s)')} as ws from c), range(1, 100000) r(p) where p <= len(ws)),
+  m as (select *, w in ('не', 'без', 'no', 'not', 'without') as neg, w in ('нет', 'нету', 'кончился', 'кончилась', 'закончился') or (w = 'не' and coalesce(lead(w) over (partition by clause order by pos) = 'будет', false)) as refusal from w)"""
+
+
 SQL = {
+    "ag17_support": f"""with b as (select distinct query_id as g, reading_key as r, norm as s from token_spans where kind = 'word' and norm is not null), o as (select g, r, s as o from b), n as (select b.g, b.s, o.r from (select distinct g, s from b) b join o using (g) where {_ONE_EDIT})
+      select g as query_id, s as norm, count(distinct r)::int as support, min(r) as reading_key from n group by 1, 2""",
+    "jn07_fuzzy_join": f"""with w as (select distinct norm as word from token_spans where norm is not null and kind = 'word'), e as (select distinct norm from lex_entries where norm is not null),
+      x as (select word, norm, levenshtein({_BYTES('word')}, {_BYTES('norm')})::int as edits from w, e where abs(length(word) - length(norm)) <= 2)
+      select * from x where edits <= 2 and length(norm) >= 3 and edits <= case when length(norm) <= 3 then 0 when length(norm) <= 5 then 0.5 when length(norm) <= 8 then 1 when length(norm) <= 12 then 1.5 else 2 end""",
+    "wn12_negation": f"""with {_NEGATED}, n as (select w, coalesce(bool_or(neg) over (partition by clause order by pos rows between 2 preceding and 1 preceding), false) or coalesce(bool_or(refusal) over (partition by clause order by pos rows between 1 following and 4 following), false) as negated from m)
+      select w, count(*) as n, count(*) filter (negated) as negated from n group by 1""",
+    "tx08_kinds": f"""with t as (select unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) as token from text_lines where text is not null)
+      select case when regexp_full_match(token, '(19|20)[0-9][0-9]') then 'year' when regexp_full_match(token, '[0-9]{{1,3}}/[0-9]{{1,3}}') and split_part(token, '/', 1)::int + split_part(token, '/', 2)::int = 100 then 'ratio'
+        when regexp_full_match(token, '[0-9]{{1,2}}[.,][0-9]') and replace(token, ',', '.')::double between 3 and 25 then 'abv' when regexp_matches(token, '^[0-9]') then 'number' when regexp_matches(token, '{X.ROMAN_PATTERN}') then 'roman' else 'word' end as kind, count(*) as n from t where token <> '' group by 1""",
+    "tx21_filter": "with t as (select doc_id, lower(text) as t, " + _SENTENCES + " as s from documents where text is not null) select doc_id, concat_ws(',', " + ", ".join(f"case when regexp_matches(t, '{p}') then '{n}' end" for n, p in X.VIOLATIONS)
+      + ") as classes, length(array_to_string(list_filter(s, lambda x: not regexp_matches(lower(x), '" + "|".join(f"({p})" for _, p in X.VIOLATIONS) + "')), ' '))::int as left_over from t",
+    "tx29_winery": """with n as (select entry_id, norm, string_split(norm, ' ')[-1] as house from lex_entries where lex_field = 'producer' and not is_part), w as (select listing_id, trim(regexp_replace(lower(winery), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') as said from wine_cards where winery is not null),
+      x as (select listing_id, (select min(entry_id) from n where n.norm = w.said) as exact, (select min(entry_id) from n where n.house = string_split(w.said, ' ')[-1]) as h from w) select listing_id, coalesce(exact, h) as entry_id, case when exact is not null then 'name' when h is not null then 'house' end as how from x""",
+    "tx37_house_lines": "select line_id, trim(text, ' ') as house from (select *, lag(text) over (partition by reading_key order by line_no, line_id) as b from text_lines) where text is not null and regexp_full_match(lower(b), '[ \\t\\n\\x0B\\f\\r]*(винодельня|winery|domaine|дом|хутор)[ \\t\\n\\x0B\\f\\r]*')",
+    "ma20_strength": "with f as (select line_id, regexp_extract(text, '([0-9]{1,2}(?:[.,][0-9])?) ?% ?(?:vol|об)|(?:алк\\.?|vol) ?([0-9]{1,2}(?:[.,][0-9])?) ?%', 0) as x from text_lines), v as (select line_id, try_cast(replace(regexp_extract(x, '([0-9]{1,2}(?:[.,][0-9])?)', 1), ',', '.') as double) as abv from f) select * from v where abv between 4 and 22",
     "ag11_idf": "with n as (select count(distinct doc_id) as n from documents where text is not null), w as (select doc_id, unnest(string_split(trim(regexp_replace(lower(lang), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' ')) as word from documents where text is not null) select word, count(distinct doc_id) as df, round(ln((1 + any_value(n)) / (1 + count(distinct doc_id))::double) + 1, 4) as idf from w, n group by word",
     "ag12_word_frequency": "select word, count(distinct winery) as df from (select winery, unnest(string_split(lower(winery), ' ')) as word from catalog_positions where winery is not null) group by 1",
     "ag13_canonical": "with c as (select skeleton, norm, count(distinct line_id) as n from token_spans where skeleton is not null and norm is not null group by 1, 2), s as (select *, n / sum(n) over (partition by skeleton)::double as share from c) select skeleton, norm as canonical, n, round(share, 6) as share from s qualify row_number() over (partition by skeleton order by (share >= 0.8) desc, n desc, norm desc) = 1",
@@ -410,7 +445,9 @@ SQL = {
     "tx36_photo_kind": "select case when regexp_matches(lower(image_path), '^scan') then 'scan' when regexp_matches(lower(image_path), '^(img|photo|dsc)') then 'photo' else 'other' end as kind, lower(regexp_extract(image_path, '\\.(\\w+)$', 1)) as suffix, count(*) as n from predictions where image_path is not null group by 1, 2",
     "ma18_hashes": "select doc_id, sha1(text) as sha1 from documents where text is not null",
     "tx03_clean": "select doc_id, length(trim(regexp_replace(regexp_replace(text, '[\\p{Cc}\\p{Cf}]+', ' ', 'g'), '[ \\t\\n\\f\\r\\v]+', ' ', 'g'), ' '))::int as n from documents",
-    "tx22_barrier": "select doc_id, case when regexp_matches(lower(text), 'здоров|health') then 'health' when regexp_matches(lower(text), 'употребл|responsibly') then 'drink' when regexp_matches(lower(text), 'этикет|label') then 'label' end as refusal from documents where not regexp_matches(lower(text), 'на этикетке|the label reads') and regexp_matches(lower(text), 'здоров|health|употребл|responsibly|этикет|label')",
+    "tx22_barrier": f"""with t as (select doc_id, {_NORMAL} as t from documents where text is not null), e as (select doc_id, t, replace(replace(t, ' на этикетке ', ' | '), ' the label reads ', ' | ') as l,
+      regexp_replace(t, ' чрезмерное употребление (\\S+ )?здоровью ', ' | ', 'g') as h from t)
+      select * from (select doc_id, case when regexp_matches(h, ' здоров| health ') then 'health' when regexp_matches(t, ' употребл\\S* (\\S+ ){{0,2}}вред| drink responsibly ') then 'drink' when regexp_matches(l, ' этикет| label ') then 'label' end as refusal from e) where refusal is not null""",
     "tx24_guards": "select doc_id, case when t = '' then 'empty' when length(t) > 2000 then 'length' when regexp_matches(lower(t), '[0-9]{5,}') then 'numbers' when contains(t, '<p>') then 'markup' when regexp_matches(lower(t), '^(##|digest|дайджест|заметка)') then 'preamble' end as code from (select doc_id, coalesce(trim(text, ' '), '') as t from documents)",
     "tx19_sugar": """select slug, case when regexp_matches(lower(name), 'экстра[ -]брют|extra[ -]brut') then 'extra_brut' when regexp_matches(lower(name), 'полусух|semi-?dry|off-dry') then 'polusuhoe' when regexp_matches(lower(name), 'полуслад|semi-?sweet') then 'polusladkoe' when regexp_matches(lower(name), 'брют|(^|[^a-z])brut($|[^a-z])') then 'brut'
       when regexp_matches(lower(name), 'сух(ое|ой|ая)|(^|[^a-z])dry($|[^a-z])') then 'suhoe' when regexp_matches(lower(name), 'сладк(ое|ий|ая)|(^|[^a-z])sweet($|[^a-z])') then 'sladkoe' end as by_name, regexp_extract_all(slug, '(ekstra-bryut|bryut|polusukhoe|polusladkoe|sukhoe|sladkoe)', 1)[-1] as by_slug from catalog_positions""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,13 +30,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: what the session or the context names, else one of our own (tests)."""
+    """The folder that all executors share: what the session or the context names, else, in local mode only, one of our own.
+
+    A cluster has to name one: a folder of this machine isn't shared.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it has to name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="cellarflow-")
     spark.sparkContext.setCheckpointDir(own)
     return own
