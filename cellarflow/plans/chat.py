@@ -76,8 +76,44 @@ def ma07_moves(spark, d):
     return pairs.groupBy("a_slug").agg(*[F.count_if(H.reason_move(w, *facts)).alias(w) for w in ("lighter", "fuller", "drier", "sweeter")])
 
 
+WANTS = ("lighter", "fuller", "drier", "sweeter")
+
+
+def _moved(spark, d):
+    """Of every position and move: the others that go that way from it."""
+    body = _profile(spark, d).select("slug", "body")
+    pairs = _near(spark, d).join(body, "slug").join(body.select(F.col("slug").alias("a_slug"), F.col("body").alias("a_body")), "a_slug")
+    facts = ((F.col("strength"), F.col("a_strength")), (F.col("body"), F.col("a_body")), (C.sugar_step("sugar_class"), C.sugar_step("a_sugar_class")))
+    wants = F.filter(F.array(*[F.when(H.reason_move(w, *facts), F.lit(w)) for w in WANTS]), lambda x: x.isNotNull())
+    return pairs.withColumn("want", F.explode(wants))
+
+
+def so18_directions(spark, d):
+    """The answer to each wish about each position: the three nearest that go that way."""
+    order = Window.partitionBy("a_slug", "want").orderBy(F.col("alike").desc(), "sugar_gap", "strength_gap", "slug")
+    return _moved(spark, d).withColumn("place", F.row_number().over(order)).where("place <= 3").select("a_slug", "want", "slug", "place")
+
+
+def so18_outcomes(spark, d):
+    """How each wish is answered: by so many positions, by none that goes that way, or not at all as the position's facts are unknown."""
+    own = _profile(spark, d).select(F.col("slug").alias("a_slug"), "body", "sweet").join(_rows(spark, d).select(F.col("slug").alias("a_slug"), "strength"), "a_slug")
+    asked = own.select("a_slug", F.explode(F.array(*[F.struct(F.lit(w).alias("want"), (F.coalesce("strength", "body") if w in ("lighter", "fuller") else F.col("sweet")).isNotNull().alias("known")) for w in WANTS])).alias("x")).select("a_slug", "x.*")
+    n = _moved(spark, d).groupBy("a_slug", "want").agg(F.count("*").alias("n"))
+    rows = asked.join(n, ["a_slug", "want"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.select("a_slug", "want", F.when(F.col("n") > 0, "found").when(~F.col("known"), "unknown").otherwise("empty").alias("outcome"), "n")
+
+
+def so18_facts(spark, d):
+    """What a card says in words: strength, sugar and how long to keep, the last by style and body."""
+    rows = _rows(spark, d).join(_profile(spark, d).select("slug", "body", "source"), "slug")
+    strength = F.coalesce(F.concat(F.lit("strength "), F.format_number("strength", 1), F.lit(" %")), F.lit("strength not given"))
+    sugar = F.coalesce(F.concat(F.lit("class "), "sugar_class"), F.lit("sugar not given"))
+    keep = F.when(F.lower("category").contains("игрист"), "sparkling").when((F.col("category") == "Красное") & (F.col("body") >= 3.5), "red_full").when(F.col("category") == "Красное", "red").when(F.col("category").isNotNull(), "light").otherwise("unknown")
+    return rows.select("slug", F.inline(F.array(*[F.struct(F.lit(n).alias("fact"), c.alias("answer")) for n, c in (("alcohol", strength), ("sugar", sugar), ("storage", keep))])))
+
+
 def ma16_grid(spark, d):
-    """Accuracy of a one-feature rule over a grid of thresholds, and the best without each feature: a small selection loop."""
+    """Accuracy of a one-feature rule over a grid of thresholds: a small selection loop."""
     rows = table(spark, d, "frames").join(table(spark, d, "predictions").select("query_id", "margin", "latency_ms"), "query_id").where("p_top1 is not null and margin is not null")
     grid = spark.createDataFrame([(t / 10,) for t in range(1, 10)], "threshold double")
     judged = rows.crossJoin(F.broadcast(grid)).groupBy("threshold").agg(F.round(F.avg(((F.col("p_top1") >= F.col("threshold")) == (F.col("margin") >= 0.05)).cast("int")), 6).alias("accuracy"))
@@ -120,11 +156,14 @@ def _rules(rules: list[tuple[str, str]]) -> str:
     return "case " + " ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in rules) + " end"
 
 
+_MOVES = f"""x as (select n.*, a_strength - n.strength as ds, a.body - r.body as db, {_FACETS_STEP.format('a_sugar_class')} - {_FACETS_STEP.format('n.sugar_class')} as dg from near n join prof r on r.slug = n.slug join prof a on a.slug = n.a_slug),
+  v as (select *, case want when 'lighter' then coalesce(case when ds <> 0 then ds >= 0.5 end, db >= 0.5, false) when 'fuller' then coalesce(case when ds <> 0 then -ds >= 0.5 end, -db >= 0.5, false) when 'drier' then coalesce(dg >= 1, false) else coalesce(-dg >= 1, false) end as ok
+  from x, (values ('lighter'), ('fuller'), ('drier'), ('sweeter')) w(want))"""
 _ROUTED = f"""t as (select doc_id, source, published_at, text, {_rules(H.REFUSALS)} as refusal, {_rules(H.INTENTS)} as intent, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') as plain from documents where source is not null),
   r as (select doc_id, text, coalesce(first_value(case when refusal in ('pregnancy', 'age') then refusal end ignore nulls) over (partition by source order by published_at nulls first, doc_id rows between unbounded preceding and 1 preceding),
   case when plain in ('привет', 'здравствуйте', 'hello', 'hi') then 'hello' when plain in ('спасибо', 'thanks', 'thank you') then 'thanks' when plain in ('пока', 'до свидания', 'bye') then 'bye' end, refusal, intent, 'unknown') as route from t)"""
 
-QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("tx", "pf", "ma", "wn", "vr", "ux") and n[2:4].isdigit()}
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("tx", "pf", "ma", "wn", "vr", "ux", "so") and n[2:4].isdigit()}
 SQL = {
     "pf21_rule_sugar": "select listing_id, coalesce(sugar_class, case when regexp_matches(lower(name), 'десерт|портвейн|dolce|sweet') then 'sladkoe' end) as sugar from wine_cards",
     "wn13_bins": "select p_partkey, ntile(7) over (order by p_retailprice, p_partkey)::int as bin from part",
@@ -135,6 +174,11 @@ SQL = {
       select query, slug, arg_max(view, struct_pack(b := best, r := -row_id)) as view from (select query, row_id, slug, view, max(sim) as best from s group by all) group by query, slug""",
     "ux05_aggregations": f"""with {_SIMS}, {_ALIGNED.format(base='is_base')}, firsts as (select label as slug, min(vec_id) as first from embeddings group by 1)
       {_first_of('max', 'sim', 'sims', 'max')} union all {_first_of('mean', 'sim', 'sims', 'avg')} union all {_first_of('zmax', 'aligned', 'aligned', 'max')}""",
+    "so18_directions": f"{_FACETS}, {_FACETS_PROFILE}, {_MOVES} select a_slug, want, slug, row_number() over (partition by a_slug, want order by alike desc, sugar_gap, strength_gap, slug)::int as place from v where ok qualify place <= 3",
+    "so18_outcomes": f"""{_FACETS}, {_FACETS_PROFILE}, {_MOVES}, k as (select a_slug, want, count(*) as n from v where ok group by 1, 2), q as (select p.slug as a_slug, w.want, case when w.want in ('lighter', 'fuller') then coalesce(r.strength, p.body) else p.sweet end is not null as known from prof p join rows r on r.slug = p.slug, (values ('lighter'), ('fuller'), ('drier'), ('sweeter')) w(want))
+      select a_slug, want, case when n > 0 then 'found' when not known then 'unknown' else 'empty' end as outcome, coalesce(n, 0) as n from q left join k using (a_slug, want)""",
+    "so18_facts": f"""with {_FACETS_PROFILE} select slug, 'alcohol' as fact, coalesce('strength ' || printf('%.1f', abv[1]) || ' %', 'strength not given') as answer from catalog_positions union all select slug, 'sugar', coalesce('class ' || sugar_class, 'sugar not given') from catalog_positions union all
+      select c.slug, 'storage', case when contains(lower(c.category), 'игрист') then 'sparkling' when c.category = 'Красное' and body >= 3.5 then 'red_full' when c.category = 'Красное' then 'red' when c.category is not null then 'light' else 'unknown' end from catalog_positions c join prof p on p.slug = c.slug""",
     "tx30_routes": f"with {_ROUTED} select route, count(*) as n from r group by 1",
     "pf19_voice": f"with {_ROUTED} select route in ('dish', 'grape', 'serve', 'fact') and length(text) < 1000 as voice, count(*) as n from r group by 1",
     "tx38_near_words": f"""with w as (select doc_id, p as pos, ws[p] as w from (select doc_id, {_WORDS.format('lower(text)')} as ws from documents where text is not null), range(1, 100000) r(p) where p <= len(ws))

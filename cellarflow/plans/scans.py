@@ -142,6 +142,29 @@ def io21_same_hash(spark, d):
     return a.join(b.select(F.col("n").alias("m"), F.col("digest").alias("other"))).select("n", (F.col("digest") == F.col("other")).alias("same"))
 
 
+def io22_query_sets(spark, d):
+    """The sets of queries by name: pairs as they are and distorted, read from a JSON file, and the frames as the public set."""
+    path = _path(spark, "pairs")
+    ranked = table(spark, d, "wine_cards").select(F.col("listing_id").cast("string").alias("wine_id"), F.col("slug").alias("portal_slug"), F.col("listing_id").alias("place"))
+    ranked.write.json(path)
+    pairs = S.read_jsonl(spark, path, "wine_id string, portal_slug string, place long")
+    made = lambda name, number: S.query_set(pairs, name, "wine_id", "portal_slug", "pairs", ".webp", number, needs_slug=True)
+    sets = {"pairs": made("pairs", None), "pairs_phone": made("pairs_phone", "place"), "public": S.query_set(table(spark, d, "frames"), "public", "query_id", "slug", "images", ".jpg")}
+    result = None
+    for name in sets:
+        part = S.load_queries(name, sets).select(F.col("meta")["set"].alias("name"), "query_id", "image_path", "slug", F.col("meta")["seed"].alias("seed"))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+def pf18_context(spark, d):
+    """Contexts made of the documents, checked: the text as intent, the language as wanted move, the slug shown some times."""
+    shown = F.array_repeat(F.coalesce("slug", F.lit("none")), F.pmod(F.coalesce("n_chars", F.lit(0)), F.lit(16)).cast("int"))
+    made = F.when(F.pmod(F.col("doc_id"), F.lit(7)) == 0, F.lit("{broken")).when(F.pmod(F.col("doc_id"), F.lit(7)) == 1, F.to_json(F.struct(F.col("doc_id").alias("dish")))).otherwise(F.to_json(F.struct(F.col("text").alias("intent"), F.col("lang").alias("want"), shown.alias("shown"))))
+    rows = table(spark, d, "documents").select("doc_id", S.checked_context(made, {"want": ["ru", "en"]}).alias("c"))
+    return rows.select("doc_id", "c.problem", F.col("c.context.want").alias("want"), F.size("c.context.shown").alias("n_shown"))
+
+
 def ma23_flattened(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("f")).select("event_id", F.col("f.k").alias("f_k"))
 
@@ -164,8 +187,12 @@ def so14_target_box(spark, d):
     return rows.groupBy("query_id").agg(F.max_by("line_id", F.struct("score", -F.col("line_id"))).alias("line_id"))
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("io", "ma", "so") and n[2:4].isdigit()}
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("io", "pf", "ma", "so") and n[2:4].isdigit()}
 SQL = {
+    "io22_query_sets": """select 'pairs' as name, listing_id::varchar as query_id, 'pairs/' || listing_id || '.webp' as image_path, trim(slug, ' ') as slug, null::varchar as seed from wine_cards union all select 'pairs_phone', listing_id::varchar, 'pairs/' || listing_id || '.webp', trim(slug, ' '), listing_id::varchar from wine_cards
+      union all select 'public', trim(query_id, ' '), 'images/' || trim(query_id, ' ') || '.jpg', nullif(trim(slug, ' '), ''), null from frames""",
+    "pf18_context": """with c as (select doc_id, text, lang, coalesce(n_chars, 0) % 16 as n, case doc_id % 7 when 0 then 'no JSON' when 1 then 'dish: no string' else case when length(text) > 200 then 'intent: too long' when coalesce(n_chars, 0) % 16 > 12 or (coalesce(n_chars, 0) % 16 > 0 and length(slug) > 200) then 'shown: too long' end end as problem from documents)
+      select doc_id, problem, case when problem is null and lang in ('ru', 'en') then lang end as want, case when problem is null then least(n, 1)::int end as n_shown from c""",
     "io01_jsonl": "select event_id, event_type, value from events",
     "io02_tsv": "select p_partkey::varchar as p_partkey, p_name, case when p_partkey % 5 = 0 then '' else p_brand end as p_brand from part",
     "io03_first_wins": "select l_orderkey, l_partkey, l_linenumber from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1",

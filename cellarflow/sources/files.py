@@ -141,3 +141,53 @@ def strict(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     first = df.columns[0]
     bad = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
     return df.withColumn("__bad", bad).withColumn(first, F.when(F.col("__bad").isNotNull(), F.raise_error(F.concat(F.lit("check failed: "), "__bad"))).otherwise(F.col(first))).drop("__bad")
+
+
+def query_set(records: DataFrame, name: str, key: str, slug: str, folder: str, suffix: str, number: str | None = None, needs_slug: bool = False) -> DataFrame:
+    """(query_id, image_path, slug, meta) of one set of queries: what is asked, where its picture lies, what it shows.
+
+    A record without a key, or with ``needs_slug`` without a slug, and a key that comes twice are errors when they are
+    read. A null slug means that the thing isn't in the catalogue. ``number`` names a column of the record's place in its
+    file, which is then the seed of its distortion. Other columns are dropped.
+    """
+    trimmed = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    missing = trimmed(key).isNull() | (trimmed(slug).isNull() if needs_slug else F.lit(False))
+    query = F.when(missing, F.raise_error(F.concat(F.lit(f"{name}: key or slug missing: "), F.coalesce(trimmed(key), F.lit("null"))))).otherwise(trimmed(key))
+    meta = [F.lit("set"), F.lit(name)] + ([F.lit("seed"), F.col(number).cast("string")] if number else [])
+    rows = records.select(query.alias("query_id"), F.concat(F.lit(f"{folder}/"), trimmed(key), F.lit(suffix)).alias("image_path"), trimmed(slug).alias("slug"), F.create_map(*meta).alias("meta"))
+    return unique(rows, "query_id")
+
+
+def load_queries(name: str, sets: dict[str, DataFrame]) -> DataFrame:
+    """The query set of a name; an unknown name is an error, no empty set."""
+    if name not in sets:
+        raise ValueError(f"no query set {name}: one of {', '.join(sorted(sets))}")
+    return sets[name]
+
+
+# What a conversation's context may hold.
+CONTEXT_STRINGS, MOST_SHOWN, MOST_SIGNS = ["intent", "dish", "food", "want", "step", "refusal_topic"], 12, 200
+
+
+def checked_context(column: Column | str, known: dict[str, list[str]]) -> Column:
+    """(problem, context): a JSON text checked and read as a context.
+
+    Null is an empty context. A problem, the first of: no object, a string field of another type or too long, ``shown``
+    no list of strings, too long a list or too long a string in it. Other keys are ignored, values that ``known`` doesn't
+    list for their field become null, and shown things count once, in order.
+    """
+    column = F.col(column) if isinstance(column, str) else column
+    parsed = F.try_parse_json(column)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")), F.lit("VOID"))
+    text = lambda name: F.try_variant_get(parsed, f"$.{name}", "string")
+    shown = F.try_variant_get(parsed, "$.shown", "array<string>")
+    checks = [(~F.schema_of_variant(parsed).startswith("OBJECT"), "no object")]
+    for name in CONTEXT_STRINGS:
+        checks += [(~kind(f"$.{name}").isin("STRING", "VOID"), f"{name}: no string"), (F.length(text(name)) > MOST_SIGNS, f"{name}: too long")]
+    checks += [(~kind("$.shown").isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID"), "shown: no list of strings"), ((F.size(shown) > MOST_SHOWN) | F.exists(shown, lambda x: F.length(x) > MOST_SIGNS), "shown: too long")]
+    problem = F.when(column.isNull(), F.lit(None).cast("string")).when(parsed.isNull(), "no JSON")
+    for bad, name in checks:
+        problem = problem.when(F.coalesce(bad, F.lit(False)), name)
+    kept = [F.when(text(n).isin(known[n]) if n in known else text(n) != "", text(n)).alias(n) for n in CONTEXT_STRINGS]
+    context = F.struct(*kept, F.coalesce(F.array_distinct(shown), F.array().cast("array<string>")).alias("shown"))
+    return F.struct(problem.alias("problem"), F.when(problem.isNull(), context).alias("context"))
