@@ -314,9 +314,8 @@ def product_groups(df: DataFrame) -> DataFrame:
     # a quoted producer is no product
     trusted = worded.where("brand is not null and is_quoted").where(~_near(F.col("core"), F.col("brand"))).groupBy("brand", F.col("core").alias("model")).agg(F.count("*").alias("n"))
     trusted = scratch.save(trusted, "trusted")
-    slips = scratch.save(spelled_alike(trusted, "brand", "model"), "slips")
-    dictionary = trusted.join(slips.select("brand", "model"), ["brand", "model"], "left_anti").select("brand", "model")
-    found = _find_phrases(worded.select("listing_id", "brand", "words"), dictionary)
+    # the dictionary has slips too; what is found by one is put right at the end, with all other slips
+    found = _find_phrases(worded.select("listing_id", "brand", "words"), trusted.select("brand", "model"))
     joined = worded.join(found, "listing_id", "left").withColumn("model", F.coalesce("found_model", "core")).withColumn("brand", F.coalesce("brand", "found_brand"))
     # without the brand's words where the brand was only found in the name
     left_over = F.filter("plain", lambda w: ~_near(w, F.col("brand")))
