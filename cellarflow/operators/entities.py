@@ -166,7 +166,7 @@ def topic_of(questions: DataFrame, triggers: DataFrame, key: str, word: str) ->
     so; of equal scores a narrow one, then by name. Stems meet words on their first three letters.
     """
     asked = questions.select(key, F.col(word).alias("w")).where(F.length("w") >= 3).distinct().withColumn("k", F.substring("w", 1, 3))
-    met = asked.join(F.broadcast(triggers.withColumn("k", F.substring("stem", 1, 3))), "k").where(F.col("w").startswith(F.col("stem")))
+    met = asked.join(triggers.withColumn("k", F.substring("stem", 1, 3)), "k").where(F.col("w").startswith(F.col("stem")))
     sums = met.select(key, "topic", "stem", "is_trigger", "needs_context", "narrow").distinct().groupBy(key, "topic").agg(F.sum(F.when(F.col("is_trigger"), 2).otherwise(1)).alias("score"), F.bool_or("is_trigger").alias("t"), F.bool_or(~F.col("is_trigger")).alias("c"), F.bool_or("needs_context").alias("needs"), F.bool_or("narrow").alias("narrow"))
     kept = sums.where("t and (c or not needs)")
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("narrow").desc(), "topic")

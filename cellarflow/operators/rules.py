@@ -7,6 +7,8 @@ import ast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_RULES = 10_000  # of an ordered rule table, which every row is compared with
+
 
 class RuleError(ValueError):
     """A rule uses something that the language doesn't have."""
@@ -159,8 +161,10 @@ def first_rule(df: DataFrame, key: str, rules: DataFrame, exact: list[str], leas
     """``key`` and the first rule (smallest ord) that holds: null conditions hold for anything.
 
     ``exact``: columns that have to be equal; ``least``: value column and the rule's lower bound. Rules are few: they
-    are sent to every task.
+    are sent to every task, ValueError beyond MOST_RULES.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     condition = F.lit(True)
     for c in exact:
         condition = condition & (F.col(f"r.{c}").isNull() | (F.col(f"r.{c}") == F.col(f"d.{c}")))

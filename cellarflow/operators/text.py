@@ -82,6 +82,21 @@ def fold_homoglyphs_text(token: str | None) -> str | None:
     return "".join(table.get(c, c) for c in token)
 
 
+_LATIN_LIKE = "".join(v + v.upper() for v in LOOKALIKE.values())
+_CYRILLIC_LIKE = "".join(k + k.upper() for k in LOOKALIKE)
+
+
+def fold_homoglyphs(column: Column | str) -> Column:
+    """The column form of ``fold_homoglyphs_text``, without Python."""
+    column = F.col(column) if isinstance(column, str) else column
+    alike = "[" + _LATIN_LIKE + _CYRILLIC_LIKE + "]"
+    sure = F.regexp_replace(F.regexp_replace(column, alike, ""), r"[^\p{L}]", "")
+    seen = F.when(sure != "", sure).otherwise(column)
+    count = lambda letters: F.length(F.regexp_replace(seen, f"[^{letters}]", ""))
+    cyrillic, latin = count("Ѐ-ӿ"), count("A-Za-z")
+    return F.when((cyrillic >= latin) & (cyrillic > 0), F.translate(column, _LATIN_LIKE, _CYRILLIC_LIKE)).otherwise(F.translate(column, _CYRILLIC_LIKE, _LATIN_LIKE))
+
+
 def roman_value(column: Column | str) -> Column:
     """The value of a valid Roman numeral in capitals; null for anything else."""
     column = F.col(column) if isinstance(column, str) else column
@@ -139,6 +154,13 @@ def transcribe_text(token: str | None) -> str | None:
     return "".join(out)
 
 
+def transcribe(column: Column | str) -> Column:
+    """The column form of ``transcribe_text``, without Python."""
+    groups = F.regexp_extract_all(F.lower(column), F.lit("(?s)(" + "|".join([g for g, _ in TRANSCRIBED]) + "|.)"), F.lit(1))
+    table = F.create_map(*[F.lit(x) for pair in TRANSCRIBED for x in pair])
+    return F.array_join(F.transform(groups, lambda g: F.coalesce(F.try_element_at(table, g), g)), "")
+
+
 def skeleton(column: Column | str) -> Column:
     """A phonetic key: romanised, letter groups of one sound folded, vowels of one sound folded, doubles dropped."""
     text = romanise(column)

@@ -176,7 +176,7 @@ def _fit_scale(index: DataFrame, queries: DataFrame, blocks: list[Block], skip_s
     for k, block in enumerate(blocks):
         # a query that is flat altogether keeps the scores of all its views, those without base rows included
         block.scale, flat = {}, np.zeros(len(block.windows), bool)
-        for r in factors.where(F.col("block") == k).toLocalIterator():
+        for r in factors.where(F.col("block") == k).collect():  # at most QUERY_BLOCK windows times the views
             a, b = block.scale.setdefault(r.view, (np.full(len(block.windows), np.nan), np.full(len(block.windows), np.nan)))
             factor = 1.0 if r.d < FLAT or r.bd < FLAT else r.d / r.bd
             a[r["at"]], b[r["at"]] = factor, 0.0 if r.d < FLAT or r.bd < FLAT else r.m - factor * r.bm

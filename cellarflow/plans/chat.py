@@ -13,7 +13,7 @@ from cellarflow.plans.facets import _PROFILE as _FACETS_PROFILE
 from cellarflow.plans.facets import _STEP as _FACETS_STEP
 from cellarflow.plans.facets import _WITH as _FACETS
 from cellarflow.plans.facets import _near, _profile, _rows
-from cellarflow.plans.words import _WORDS
+from cellarflow.plans.words import _WORDS, _bounded
 from cellarflow.plans.retrieval import _ALIGNED, _SIMS, _index, _queries, _slugs
 from cellarflow.operators import facets as C
 from cellarflow.operators import vectors as V
@@ -156,6 +156,10 @@ def _rules(rules: list[tuple[str, str]]) -> str:
     return "case " + " ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in rules) + " end"
 
 
+def _case(rules: list[tuple[str, str]]) -> str:
+    return "case " + " ".join(f"when regexp_matches(lower(text), '{_bounded(p)}') then '{n}'" for n, p in rules) + " end"
+
+
 _MOVES = f"""x as (select n.*, a_strength - n.strength as ds, a.body - r.body as db, {_FACETS_STEP.format('a_sugar_class')} - {_FACETS_STEP.format('n.sugar_class')} as dg from near n join prof r on r.slug = n.slug join prof a on a.slug = n.a_slug),
   v as (select *, case want when 'lighter' then coalesce(case when ds <> 0 then ds >= 0.5 end, db >= 0.5, false) when 'fuller' then coalesce(case when ds <> 0 then -ds >= 0.5 end, -db >= 0.5, false) when 'drier' then coalesce(dg >= 1, false) else coalesce(-dg >= 1, false) end as ok
   from x, (values ('lighter'), ('fuller'), ('drier'), ('sweeter')) w(want))"""
@@ -179,6 +183,8 @@ SQL = {
       select a_slug, want, case when n > 0 then 'found' when not known then 'unknown' else 'empty' end as outcome, coalesce(n, 0) as n from q left join k using (a_slug, want)""",
     "so18_facts": f"""with {_FACETS_PROFILE} select slug, 'alcohol' as fact, coalesce('strength ' || printf('%.1f', abv[1]) || ' %', 'strength not given') as answer from catalog_positions union all select slug, 'sugar', coalesce('class ' || sugar_class, 'sugar not given') from catalog_positions union all
       select c.slug, 'storage', case when contains(lower(c.category), 'игрист') then 'sparkling' when c.category = 'Красное' and body >= 3.5 then 'red_full' when c.category = 'Красное' then 'red' when c.category is not null then 'light' else 'unknown' end from catalog_positions c join prof p on p.slug = c.slug""",
+    "tx32_label_fields": f"""with f as (select reading_key, {_case(X.SUGAR_PHRASES)} as sugar, {_case(X.COLOUR_PHRASES)} as colour, nullif(regexp_extract(lower(text), '(?:no\\.?|№) ?([0-9]+)', 1), '') as serial from text_lines where text is not null)
+      select reading_key, min(sugar) as sugar, min(colour) as colour, min(serial) as serial from f group by 1""",
     "tx30_routes": f"with {_ROUTED} select route, count(*) as n from r group by 1",
     "pf19_voice": f"with {_ROUTED} select route in ('dish', 'grape', 'serve', 'fact') and length(text) < 1000 as voice, count(*) as n from r group by 1",
     "tx38_near_words": f"""with w as (select doc_id, p as pos, ws[p] as w from (select doc_id, {_WORDS.format('lower(text)')} as ws from documents where text is not null), range(1, 100000) r(p) where p <= len(ws))

@@ -176,7 +176,7 @@ def tx03_clean(spark, d):
 
 
 def tx04_homoglyphs(spark, d):
-    return X.by_distinct(_tokens(spark, d).select("token_id", "text"), "text", "folded", X.fold_homoglyphs_text, T.StringType()).select("token_id", "folded")
+    return _tokens(spark, d).select("token_id", X.fold_homoglyphs("text").alias("folded"))
 
 
 def tx05_roman(spark, d):
@@ -197,7 +197,7 @@ def tx08_kinds(spark, d):
 
 
 def tx09_transcribed(spark, d):
-    return X.by_distinct(_tokens(spark, d).where("text rlike '^[A-Za-z]+$'").select("token_id", "text"), "text", "cyrillic", X.transcribe_text, T.StringType()).select("token_id", "cyrillic")
+    return _tokens(spark, d).where("text rlike '^[A-Za-z]+$'").select("token_id", X.transcribe("text").alias("cyrillic"))
 
 
 def tx10_romanised(spark, d):
@@ -396,7 +396,36 @@ _NEGATED = f"""c as (select doc_id, row_number() over () as clause, s from (sele
   m as (select *, w in ('не', 'без', 'no', 'not', 'without') as neg, w in ('нет', 'нету', 'кончился', 'кончилась', 'закончился') or (w = 'не' and coalesce(lead(w) over (partition by clause order by pos) = 'будет', false)) as refusal from w)"""
 
 
+_FOUND = lambda rules: "concat_ws(',', " + ", ".join(f"case when regexp_matches(lower(text), '{_bounded(p)}') then '{n}' end" for n, p in rules) + ")"
+_chain = lambda text, pairs: __import__("functools").reduce(lambda s, p: f"regexp_replace({s}, '{p[0]}', '{p[1]}', 'g')", pairs, text)
+
+
+def _bounded(pattern: str) -> str:
+    """Word ends written out, as RE2 knows them for ASCII only: before the first sign of a word and after its last."""
+    out, start = [], True
+    for part in pattern.split("\\b"):
+        out.append(part)
+        out.append("(?:^|[^\\p{L}\\p{N}_])" if start else "(?:$|[^\\p{L}\\p{N}_])")
+        start = not start
+    # a boundary opens before text and closes after it; alternatives begin anew
+    return "".join(out[:-1])
+
+
+_SKELETON = _chain(__import__("functools").reduce(lambda s, p: f"replace({s}, '{p[0]}', '{p[1]}')", X.ROMANISED.items(), "lower(norm)"), [("[^a-z]+", ""), ("shch|sch|sh", "s"), ("zh", "z"), ("kh", "h"), ("ch", "c"), ("ts|tz", "c"), ("ck|q", "k"), ("ph", "f"), ("w", "v"), ("x", "ks"), ("[yj]", "i"), *[(f"{c}{c}+", c) for c in "abcdefghijklmnopqrstuvwxyz"]])
+_ALIKE = "[" + X._LATIN_LIKE + X._CYRILLIC_LIKE + "]"
+
 SQL = {
+    "tx04_homoglyphs": f"""with s as (select token_id, text, regexp_replace(regexp_replace(text, '{_ALIKE}', '', 'g'), '[^\\p{{L}}]', '', 'g') as sure from token_spans), b as (select *, case when sure <> '' then sure else text end as seen from s),
+      c as (select *, length(regexp_replace(seen, '[^Ѐ-ӿ]', '', 'g')) as cy, length(regexp_replace(seen, '[^A-Za-z]', '', 'g')) as la from b)
+      select token_id, case when cy >= la and cy > 0 then translate(text, '{X._LATIN_LIKE}', '{X._CYRILLIC_LIKE}') else translate(text, '{X._CYRILLIC_LIKE}', '{X._LATIN_LIKE}') end as folded from c""",
+    "tx09_transcribed": "with t as (select token_id, regexp_extract_all(lower(text), '(" + "|".join(g for g, _ in X.TRANSCRIBED) + "|.)', 1) as g from token_spans where regexp_full_match(text, '[A-Za-z]+')) select token_id, array_to_string(list_transform(g, lambda x: coalesce(map {"
+      + ", ".join(f"'{g}': '{c}'" for g, c in X.TRANSCRIBED) + "}[x], x)), '') as cyrillic from t",
+    "tx07_merged": "select line_id, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}_])([12]) ([09]) ([0-9]) ([0-9])($|[^\\p{L}\\p{N}_])', '\\1\\2\\3\\4\\5\\6', 'g'), '([0-9]) ?/ ?([0-9])', '\\1/\\2', 'g'), '([0-9]) (%|(?:л|мл|ml|cl)(?:$|[^\\p{L}\\p{N}_]))', '\\1\\2', 'g') as text from text_lines",
+    "tx11_skeleton": f"select entry_id, {_SKELETON} as key from lex_entries",
+    "tx17_finders": f"select doc_id, {_FOUND(X.SUGAR_PHRASES)} as sugars, {_FOUND(X.COLOUR_PHRASES)} as colours from documents where text is not null",
+    "tx26_lines": """with t as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') as l, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]*\\n[ \\t\\n\\x0B\\f\\r]*'), lambda s: s <> '') as k, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda s: s <> '') as w from documents where text is not null)
+      select doc_id, len(list_distinct(list_transform(l, lambda s: lower(s))))::int as n_lines, len(list_filter(list_distinct(k), lambda s: len(list_filter(k, lambda x: x = s)) > 3)) > 0 or len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] and w[i] = w[i + 2] and w[i] = w[i + 3])) > 0 as looped,
+        length(regexp_replace(text, '[0-9A-Za-zА-Яа-яЁё \\t\\n\\x0B\\f\\r.,!?:;«»()"''-]', '', 'g')) > 0.05 * length(text) as garbage from t""",
     "ag17_support": f"""with b as (select distinct query_id as g, reading_key as r, norm as s from token_spans where kind = 'word' and norm is not null), o as (select g, r, s as o from b), n as (select b.g, b.s, o.r from (select distinct g, s from b) b join o using (g) where {_ONE_EDIT})
       select g as query_id, s as norm, count(distinct r)::int as support, min(r) as reading_key from n group by 1, 2""",
     "jn07_fuzzy_join": f"""with w as (select distinct norm as word from token_spans where norm is not null and kind = 'word'), e as (select distinct norm from lex_entries where norm is not null),

@@ -193,3 +193,12 @@ def test_scratch_on_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     fake = type("Session", (), {"sparkContext": Context(), "conf": Conf()})()
     with pytest.raises(RuntimeError):
         session.shared_dir(fake)
+
+
+def test_text_columns_as_their_functions(spark):
+    rng = random.Random(11)
+    words = [None, "", "Шaтo", "tshchya", "quick", "Вино2019", "мoлoкo"] + ["".join(rng.choice("аеоршшЖxyzABCc19 -éй") for _ in range(rng.randrange(1, 9))) for _ in range(300)] + ["".join(rng.choice("schzktyao") for _ in range(6)) for _ in range(200)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.fold_homoglyphs("w").alias("a"), X.transcribe("w").alias("b")).collect()
+    for r in rows:
+        assert r.a == X.fold_homoglyphs_text(r.w), r.w
+        assert r.b == X.transcribe_text(r.w), r.w
