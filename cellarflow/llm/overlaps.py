@@ -101,14 +101,15 @@ def split_overlaps(frames: DataFrame, predictions: DataFrame) -> DataFrame:
     digests = predictions.select("query_id", plain_digest("image_sha256").alias("digest")).where("digest is not null and query_id is not null").distinct()
     known = frames.select(F.col("frame_id").alias("id"), "query_id", split_name("set_name").alias("split"), plain_slug("slug").alias("slug"), plain_hash("dhash").alias("hash")).where("split is not null")
     # one vector for the file, one for the picture; a key of both kinds and records keeps them apart
-    vector = lambda kind, terms, weight, least: [F.struct(F.lit(kind).alias("kind"), "id").alias("id"), "split", F.array(*terms).alias("terms"), F.array(*[F.lit(weight)] * len(terms)).alias("weights"), F.lit(least).alias("least"), "slug", "hash"]
-    bands = [F.concat_ws("|", F.col("slug"), F.lit(str(i)), F.shiftright("hash", 8 * i).bitwiseAND(255).cast("string")) for i in range(BANDS)]
-    files = known.join(digests, "query_id").select(*vector("file", [F.col("digest")], 1.0, 1.0))
-    pictures = known.where("slug is not null and hash is not null").select(*vector("picture", bands, 1.0 / BANDS**0.5, (BANDS - MOST_BITS) / BANDS))
+    vector = lambda kind, terms, weight, least: [F.struct(F.lit(kind).alias("kind"), "id").alias("id"), "split", F.array(*terms).alias("terms"), F.array(*[F.lit(weight)] * len(terms)).alias("weights"), F.lit(least).alias("least"), "slug", "hash", "digest"]
+    # terms as 64-bit hashes; slug, bits and digest are compared themselves in the end
+    bands = [F.xxhash64(F.col("slug"), F.lit(i), F.shiftright("hash", 8 * i).bitwiseAND(255)) for i in range(BANDS)]
+    files = known.join(digests, "query_id").select(*vector("file", [F.xxhash64("digest")], 1.0, 1.0))
+    pictures = known.where("slug is not null and hash is not null").withColumn("digest", F.lit(None).cast("string")).select(*vector("picture", bands, 1.0 / BANDS**0.5, (BANDS - MOST_BITS) / BANDS))
     vectors = Scratch(frames.sparkSession, "overlaps").save(files.unionByName(pictures), "vectors")
-    met = weighted_cosine_join(vectors.where("split = 'train'"), vectors.where("split <> 'train'"), ["slug", "hash"])
+    met = weighted_cosine_join(vectors.where("split = 'train'"), vectors.where("split <> 'train'"), ["slug", "hash", "digest"])
     bits = F.when(F.col("slug_a") == F.col("slug_b"), F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b"))))
-    pairs = met.select(F.col("id_a.id").alias("train_id"), F.col("id_b.id").alias("eval_id"), (F.col("id_a.kind") == "file").alias("same_file"), bits.alias("bits"))
+    pairs = met.select(F.col("id_a.id").alias("train_id"), F.col("id_b.id").alias("eval_id"), (F.coalesce(F.col("id_a.kind") == "file", F.lit(False)) & F.coalesce(F.col("digest_a") == F.col("digest_b"), F.lit(False))).alias("same_file"), bits.alias("bits"))
     return pairs.where(F.col("same_file") | (F.col("bits") <= MOST_BITS)).groupBy("train_id", "eval_id").agg(F.max("same_file").alias("same_file"), F.min("bits").alias("bits"))
 
 
