@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarflow.operators.skew import salted_join
-from cellarflow.operators.text import edit_budget, words_of
+from cellarflow.operators.text import edit_budget, weighted_edits, words_of
 
 
 def idf(documents: Column | str, total: Column | str) -> Column:
@@ -47,9 +47,12 @@ def exact_hits(tokens: DataFrame, lexicon: DataFrame, norm: str = "norm", skelet
     return by_norm.select(*columns).unionByName(sound.select(*columns))
 
 
-def fuzzy_hits(words: DataFrame, entries: DataFrame, most: int = 2) -> DataFrame:
+def fuzzy_hits(words: DataFrame, entries: DataFrame, most: int = 2, weighted: bool = False) -> DataFrame:
     """(word, norm, edits): distinct words and the entries within the edits their length allows.
 
+    With ``weighted`` the plain edits, at most ``most``, only choose candidates; the weighted distance, in which letters
+    drawn alike or often misread cost less, then has to keep to the entry's budget, and comes along as ``cost``.
+
     Blocked by length: a word meets the entries whose length differs by at most ``most``, and of those only such that
     share one of ``most`` + 1 equal parts of the entry at nearly the same place, so there is no cross join. Words and
     entries are single strings; nulls meet nothing.
@@ -67,6 +70,8 @@ def fuzzy_hits(words: DataFrame, entries: DataFrame, most: int = 2) -> DataFrame
     placed = placed.select("word", "size", "part", F.expr("substring(word, cast(at as int), cast(n as int))").alias("piece")).distinct()
     near = placed.join(pieces, ["size", "part", "piece"]).select("word", "norm").distinct()
     edits = near.withColumn("edits", F.levenshtein("word", "norm", most)).where("edits >= 0")
+    if weighted:
+        return edits.withColumn("cost", weighted_edits("word", "norm", float(most))).where(F.col("cost") <= edit_budget(F.length("norm")))
     return edits.where(F.col("edits") <= edit_budget(F.length("norm")))
 
 

@@ -205,7 +205,11 @@ def ag41_flags(spark, d):
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("st", "so", "ma", "jn", "ag") and n[2:4].isdigit()}
+_DEALT = lambda folds: f"""with recursive g as (select g, n, row_number() over (order by n desc, sha256(g), g) as i from (select nullif(lower(trim(slug, ' ')), '') as g, count(*) as n from frames group by 1) where g is not null),
+  r(i, g, n, fold, loads) as (select 0::bigint, null::varchar, 0::bigint, 0::bigint, list_transform(range({folds}), lambda x: 0::bigint) union all select g.i, g.g, g.n, list_position(r.loads, list_min(r.loads)) - 1, list_transform(range(1, {folds + 1}), lambda k: r.loads[k] + case when k = list_position(r.loads, list_min(r.loads)) then g.n else 0 end) from r join g on g.i = r.i + 1)"""
 SQL = {
+    "ma14_folds": f"{_DEALT(5)} select g, n, fold::int as fold from r where i > 0",
+    "ma15_half_split": f"{_DEALT(2)} select fold::int as fold, sum(n)::bigint as n from r where i > 0 group by 1",
     "jn22_topics": """with w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) as w from documents where text is not null), k(topic, stem, is_trigger, needs_context, narrow) as (values ('serving', 'пода', true, false, false), ('serving', 'бокал', false, false, false), ('law', 'суды', true, true, true),
       ('law', 'марк', false, true, true), ('travel', 'турист', true, false, true), ('travel', 'hotel', true, false, true)), h as (select distinct doc_id, k.* from w join k on starts_with(w.w, k.stem)),
       s as (select doc_id, topic, sum(case when is_trigger then 2 else 1 end)::bigint as score, bool_or(narrow) as narrow from h group by 1, 2 having bool_or(is_trigger) and (bool_or(not is_trigger) or not bool_or(needs_context)))

@@ -267,7 +267,12 @@ _LEVELS = """levels as (select 0 as level, category, sugar_class, count(*) as n,
   union all select 1, category, null, count(*), round(median(strength), 2), round(median(year), 2) from strengths where category is not null group by category
   union all select 2, null, null, count(*), round(median(strength), 2), round(median(year), 2) from strengths)"""
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[:4] in {"ag01"} | {f"ag{n:02d}" for n in range(50)} | {"ma17", "jn14"}}
+_CER = f"""{TRUTH}, w as (select line_id, reader, lower(string_split(slug, '-')[1]) as token, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' '), lambda x: x <> '') as ws from text_lines join truth using (query_id) where text is not null and slug is not null),
+r as (select line_id, reader, token, list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as runs from w),
+cers as (select line_id, reader, list_min(list_transform(runs, lambda x: levenshtein(token, regexp_replace(x, '[^\\x00-\\x7f]', chr(1), 'g')))) / length(token)::double as cer from r)"""
 SQL = {
+    "ag18_cer": f"with {_CER} select line_id, round(cer, 6) as cer from cers",
+    "ag19_cer_table": f"with {_CER} select reader, count(*) as n, round(avg(cer), 6) as mean_cer, round(count(*) filter (cer <= 0.2) / count(*)::double, 6) as hits from cers where cer is not null group by 1",
     "ag01_counts": "select event_type, count(*) as n from events group by 1",
     "ag02_share": f"{_WITH} select source, round(count(*) filter (ok and failure is null) / nullif(count(*) filter (failure is null), 0)::double, 6) as share from judged group by 1",
     "ag03_rate": f"{_WITH} select model, round(count(*) filter (ok) / greatest(count(*) filter (margin > 0.2), 1)::double, 3) as rate from judged group by 1",

@@ -77,6 +77,12 @@ def jn07_fuzzy_join(spark, d):
     return L.fuzzy_hits(words, _entries(spark, d).select("norm").distinct())
 
 
+def jn07_weighted_join(spark, d):
+    """The fuzzy join by weighted edits: plain edits choose candidates, the weighted budget decides."""
+    words = _tokens(spark, d).where("norm is not null and kind = 'word'").select(F.col("norm").alias("word"))
+    return L.fuzzy_hits(words, _entries(spark, d).select("norm").distinct(), weighted=True).withColumn("cost", F.round("cost", 6))
+
+
 def jn08_phrases(spark, d):
     phrases = _entries(spark, d).where("not is_part").select("entry_id", F.split("norm", " ").alias("words"))
     return L.phrase_hits(_tokens(spark, d).where("norm is not null"), phrases, "line_id", "pos_no", "norm", ["и", "de", "du", "the", "вино", "wine"])
@@ -129,15 +135,14 @@ def wn11_anchor(spark, d):
 
 def wn12_negation(spark, d):
     """Of every word how often it is negated: by one of the two words before it, or refused within four words after it; clauses bound both."""
-    from pyspark.sql import Window
-
+    # all of a clause is in one row: nothing is shuffled but the counts of words
     clauses = F.flatten(F.transform(X.sentences("text"), lambda s: F.split(s, "[,.;:!?—]+")))
-    words = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(clauses).alias("clause", "s")).select("doc_id", "clause", F.posexplode(X.words_of(F.lower("s"))).alias("pos", "w"))
-    order = Window.partitionBy("doc_id", "clause").orderBy("pos")
-    refusal = F.col("w").isin("нет", "нету", "кончился", "кончилась", "закончился") | ((F.col("w") == "не") & F.coalesce(F.lead("w").over(order) == "будет", F.lit(False)))
-    before = F.bool_or(F.col("w").isin("не", "без", "no", "not", "without")).over(order.rowsBetween(-2, -1))
-    rows = words.withColumn("refusal", refusal).withColumn("negated", F.coalesce(before, F.lit(False)) | F.coalesce(F.bool_or("refusal").over(order.rowsBetween(1, 4)), F.lit(False)))
-    return rows.groupBy("w").agg(F.count("*").alias("n"), F.count_if("negated").alias("negated"))
+    rows = table(spark, d, "documents").where("text is not null").select(F.explode(clauses).alias("s")).select(X.words_of(F.lower("s")).alias("ws"))
+    refused = lambda w, i: w.isin("нет", "нету", "кончился", "кончилась", "закончился") | ((w == "не") & F.coalesce(F.try_element_at("ws", (i + 2).cast("int")) == "будет", F.lit(False)))
+    rows = rows.select("ws", F.transform("ws", lambda w: w.isin("не", "без", "no", "not", "without")).alias("before"), F.transform("ws", refused).alias("after"))
+    near = lambda i: F.exists(F.slice("before", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), lambda x: x) | F.exists(F.slice("after", i + 2, F.lit(4)), lambda x: x)
+    words = rows.select(F.explode(F.transform("ws", lambda w, i: F.struct(w.alias("w"), near(i).alias("negated")))).alias("x")).select("x.*")
+    return words.groupBy("w").agg(F.count("*").alias("n"), F.count_if("negated").alias("negated"))
 
 
 def wn15_outermost(spark, d):
@@ -422,6 +427,8 @@ SQL = {
       + ", ".join(f"'{g}': '{c}'" for g, c in X.TRANSCRIBED) + "}[x], x)), '') as cyrillic from t",
     "tx07_merged": "select line_id, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}_])([12]) ([09]) ([0-9]) ([0-9])($|[^\\p{L}\\p{N}_])', '\\1\\2\\3\\4\\5\\6', 'g'), '([0-9]) ?/ ?([0-9])', '\\1/\\2', 'g'), '([0-9]) (%|(?:л|мл|ml|cl)(?:$|[^\\p{L}\\p{N}_]))', '\\1\\2', 'g') as text from text_lines",
     "tx11_skeleton": f"select entry_id, {_SKELETON} as key from lex_entries",
+    "tx15_forms": f"""with w as (select distinct unnest({_WORDS.format('lower(text)')}) as w from documents where text is not null), v as (select w, length(w) as n from w where length(w) >= 4)
+      select x.w as a, y.w as b from v x join v y on left(x.w, 3) = left(y.w, 3) and x.w < y.w where abs(x.n - y.n) <= 3 and left(x.w, least(5, greatest(least(x.n, y.n) - 1, 3))::int) = left(y.w, least(5, greatest(least(x.n, y.n) - 1, 3))::int)""",
     "tx17_finders": f"select doc_id, {_FOUND(X.SUGAR_PHRASES)} as sugars, {_FOUND(X.COLOUR_PHRASES)} as colours from documents where text is not null",
     "tx26_lines": """with t as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') as l, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]*\\n[ \\t\\n\\x0B\\f\\r]*'), lambda s: s <> '') as k, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda s: s <> '') as w from documents where text is not null)
       select doc_id, len(list_distinct(list_transform(l, lambda s: lower(s))))::int as n_lines, len(list_filter(list_distinct(k), lambda s: len(list_filter(k, lambda x: x = s)) > 3)) > 0 or len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] and w[i] = w[i + 2] and w[i] = w[i + 3])) > 0 as looped,

@@ -72,3 +72,58 @@ def conversation_stream(events: DataFrame, most: int = 12) -> DataFrame:
         state.update((n, refused))
 
     return events.groupBy("user_id").applyInPandasWithState(turn, "event_id long, user_id long, shown int, refused boolean", "n int, refused boolean", "append", "NoTimeout")
+
+
+def work_queue(events: DataFrame, key: str, seconds: float, most: int) -> DataFrame:
+    """(event_id, key, accepted, start_us): a worker for each key that takes ``seconds`` for a job and lets ``most`` pend.
+
+    For a stream of (event_id, ts, key) whose jobs of a key come in order. A job is rejected if ``most`` are pending or
+    in work when it comes, else it starts when the one before it ends. All that is kept of a key is when its pending jobs
+    end, at most ``most`` numbers; ended ones are dropped. A rejected job has no start. Null times are rejected.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    took = round(seconds * 1_000_000)
+
+    def admit(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ends = list(state.get[0]) if state.exists else []
+        # what one trigger brings of a key, in pieces of no order; the trigger's files bound it
+        frame = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        starts: list[int | None] = []
+        for us in frame.us.tolist():
+            ends = [e for e in ends if e > us] if us == us else ends
+            if us != us or len(ends) >= most:
+                starts.append(None)
+                continue
+            starts.append(max(int(us), ends[-1] if ends else 0))
+            ends.append(starts[-1] + took)
+        state.update((ends,))
+        yield pd.DataFrame({"event_id": frame.event_id, key: keys[0], "accepted": [x is not None for x in starts], "start_us": pd.array(starts, "Int64")})
+
+    jobs = events.select("event_id", key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return jobs.groupBy(key).applyInPandasWithState(admit, f"event_id long, {key} {kind}, accepted boolean, start_us long", "ends array<long>", "append", "NoTimeout")
+
+
+def append_in_order(events: DataFrame, time: str, path: str, rows: int = 500_000, least: int = 4) -> None:
+    """Appends the events to a log folder, days together, a file for about ``rows`` of them after the other in order of time.
+
+    A log grows so by itself; this makes one of a table. There are at least ``least`` files if there are as many days.
+    """
+    days = events.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n")).orderBy("day").collect()
+    most, slices, held = max(1, min(rows, sum(d.n for d in days) // least)), [], 0
+    for d in days:
+        if not slices or held >= most:
+            slices.append([])
+            held = 0
+        slices[-1].append(d.day)
+        held += d.n
+    for days in slices:
+        known = [d for d in days if d is not None]
+        inside = F.to_date(time).between(known[0], known[-1]) if known else F.lit(False)
+        events.where(F.coalesce(inside, F.lit(None in days))).coalesce(1).write.mode("append").parquet(path)
+
+
+def replayed(stream: DataFrame, path: str) -> DataFrame:
+    """What a stream gives for all that is there now, written to ``path`` and read back."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -202,3 +202,27 @@ def test_text_columns_as_their_functions(spark):
     for r in rows:
         assert r.a == X.fold_homoglyphs_text(r.w), r.w
         assert r.b == X.transcribe_text(r.w), r.w
+
+
+def test_weighted_fuzzy_join(spark):
+    rng = random.Random(12)
+    entries = ["".join(rng.choice("винодл0o1laе") for _ in range(rng.randrange(3, 14))) for _ in range(60)] + ["wo0oabc"]
+    words = ["w0ooabc", *entries[:20]] + ["".join(rng.choice("винодл0o1laе") if rng.random() < 0.15 else c for c in e) for e in entries] + [None, ""]
+    one = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    got = {(r.word, r.norm): (r.edits, round(r.cost, 6)) for r in L.fuzzy_hits(one(words, "word"), one(entries, "norm").distinct(), weighted=True).collect()}
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    allowed = lambda n: 0 if n <= 3 else 0.5 if n <= 5 else 1 if n <= 8 else 1.5 if n <= 12 else 2
+    want = {}
+    for w in {w for w in words if w}:
+        for e in set(entries):
+            if (n := plain(w, e)) <= 2 and (cost := X.weighted_edits_text(w, e, 2.0)) <= allowed(len(e)):
+                want[w, e] = (n, round(cost, 6))
+    assert got == want and any(n > allowed(len(e)) for (_, e), (n, _) in want.items())

@@ -44,3 +44,16 @@ def test_conversation(spark, log):
     batch = spark.read.schema(SCHEMA).parquet(log)
     rows, _ = run(spark, L.conversation_stream(L.read_log(spark, log, SCHEMA)), "talk", "append")
     assert sorted(rows.collect()) == sorted(L.conversation(batch).collect())
+
+
+def test_work_queue(spark, log):
+    rows, query = run(spark, L.work_queue(L.read_log(spark, log, SCHEMA), "user_id", 130, 2), "queue", "append")
+    want, ends = {}, {}
+    for r in sorted(spark.read.schema(SCHEMA).parquet(log).collect(), key=lambda r: (r.ts, r.event_id)):
+        us = round(r.ts.timestamp() * 1_000_000)
+        pending = [e for e in ends.get(r.user_id, []) if e > us]
+        start = max([us, *pending]) if len(pending) < 2 else None
+        ends[r.user_id] = pending + ([start + 130_000_000] if start else [])
+        want[r.event_id] = (r.user_id, start is not None, start)
+    assert {r.event_id: (r.user_id, r.accepted, r.start_us) for r in rows.collect()} == want
+    assert 0 < sum(not a for _, a, _ in want.values()) < len(want) and len(query.recentProgress) >= 3
