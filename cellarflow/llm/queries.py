@@ -44,7 +44,7 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar other vectors of every vector, with their cosine."""
-    return nearest(table(spark, sf_dir, "index_vectors"), "vec_id", "vec").select(F.col("id").alias("vec_id"), F.col("other").alias("other_vec_id"), "score", "rank")
+    return nearest(table(spark, sf_dir, "index_vectors"), "vec_id", "vec").select(F.col("id").alias("vec_id"), F.col("other").alias("other_vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,5 +156,6 @@ SQL = {
     "p2_found": f"with {_FRAMES} select distinct least(t, e) as frame_id_a, greatest(t, e) as frame_id_b from pairs",
     "p2_counts": f"with {_FRAMES} select split, source, count(*) as n_pairs, count(*) filter (same) as n_same_file, count(distinct e) as n_records from (select t, e, bool_or(same) as same from pairs group by 1, 2) join known on known.id = e group by 1, 2",
     "p3_found": f"with {_UNIT} select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from n",
+    "p3_neighbours": f"with {_UNIT.replace('b.vec_id as b from', 'b.vec_id as b, list_inner_product(a.u, b.u) as score, row_number() over (partition by a.vec_id order by round(list_inner_product(a.u, b.u), 12) desc, b.vec_id) as rank from')} select a as vec_id, b as other_vec_id, round(score, 6) as score, rank::int as rank from n",
     "p5_found": f"with recursive {_TIED} select min(b) as lead_frame_id, a as frame_id from reach group by a having min(b) < a",
 }
