@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,12 +207,65 @@ def weighted_edits_text(a: str, b: str, cutoff: float) -> float:
     return rows[-1][-1] if rows[-1][-1] <= cutoff else float("inf")
 
 
+def weighted_edits_arrays(left: list[str], right: list[str], cutoff: float, block: int = 2_000) -> np.ndarray:
+    """``weighted_edits_text`` of many pairs at once: the table of one pair is filled cell by cell for a block of pairs.
+
+    Pairs of like lengths go together. A pair whose lengths alone cost more than the cutoff isn't worked out.
+    """
+    out = np.full(len(left), np.inf)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(left, right)], np.int64).reshape(-1, 2)
+    # the cheapest way to lose a sign is a space or a pair that reads as one
+    order = np.lexsort((sizes.min(1), sizes.max(1))) if len(sizes) else np.zeros(0, np.int64)
+    order = order[np.abs(sizes[order, 0] - sizes[order, 1]) * SPACE_COST <= cutoff]
+    signs = {c: k for k, c in enumerate(sorted(set("".join(left) + "".join(right)) | {c for pair in [*CONFUSED, *LOOKALIKE.items()] for c in pair} | set("".join(x + y for x, y in SWAPS))), 1)}
+    cost = 1.0 - np.eye(len(signs) + 1)
+    for (x, y), c in [*CONFUSED.items(), *[(pair, 0.0) for pair in LOOKALIKE.items()]]:
+        cost[signs[x], signs[y]] = cost[signs[y], signs[x]] = c
+    gap = np.ones(len(signs) + 1)
+    if " " in signs:
+        gap[signs[" "]] = SPACE_COST
+    swaps = [([signs[c] for c in x], [signs[c] for c in y], c) for pair, c in SWAPS.items() for x, y in (pair, pair[::-1])]
+    for at in range(0, len(order), block):
+        pick = order[at : at + block]
+        la, lb = sizes[pick, 0], sizes[pick, 1]
+        a, b = np.zeros((la.max(), len(pick)), np.int64), np.zeros((lb.max(), len(pick)), np.int64)
+        for k, i in enumerate(pick):
+            a[: la[k], k] = [signs[c] for c in left[i]]
+            b[: lb[k], k] = [signs[c] for c in right[i]]
+        made = np.full(len(pick), np.inf)
+        rows: list[list[np.ndarray]] = []  # the last three
+        for i in range(len(a) + 1):
+            row: list[np.ndarray] = []
+            for j in range(len(b) + 1):
+                best = np.zeros(len(pick)) if not i and not j else np.full(len(pick), np.inf)
+                if i:
+                    best = np.minimum(best, rows[-1][j] + gap[a[i - 1]])
+                if j:
+                    best = np.minimum(best, row[j - 1] + gap[b[j - 1]])
+                if i and j:
+                    best = np.minimum(best, rows[-1][j - 1] + cost[a[i - 1], b[j - 1]])
+                for x, y, c in swaps:
+                    if i >= len(x) and j >= len(y):
+                        here = np.logical_and.reduce([a[i - len(x) + k] == v for k, v in enumerate(x)] + [b[j - len(y) + k] == v for k, v in enumerate(y)])
+                        if here.any():
+                            best = np.where(here, np.minimum(best, rows[-len(x)][j - len(y)] + c), best)
+                row.append(best)
+                done = (la == i) & (lb == j)
+                made[done] = best[done]
+            rows = [*rows[-2:], row]
+        out[pick] = np.where(made <= cutoff + 1e-12, made, np.inf)
+    return out
+
+
 def weighted_edits(a: Column | str, b: Column | str, cutoff: float = 2.0) -> Column:
-    """Column form of the weighted edit distance, by Arrow batches; null for null, infinity beyond the cutoff."""
+    """Column form of the weighted edit distance, over whole Arrow batches; null for null, infinity beyond the cutoff."""
 
     @F.pandas_udf("double")
     def apply(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else weighted_edits_text(x, y, cutoff) for x, y in zip(left, right)], dtype="float64")
+        known = left.notna() & right.notna()
+        made = pd.Series(pd.array([None] * len(left), "Float64"), index=left.index)
+        made[known] = weighted_edits_arrays(left[known].tolist(), right[known].tolist(), cutoff)
+        return made
 
     return apply(a, b)
 

@@ -35,11 +35,14 @@ def tx31_smalltalk(spark, d):
 
 
 def tx32_label_fields(spark, d):
-    """Sugar, colour and a serial number of each reading's lines."""
+    """Sugar, colour and a serial number of each reading: what most of its lines say, of equally frequent values the first by name."""
     lines = table(spark, d, "text_lines").where("text is not null")
     serial = F.nullif(F.regexp_extract(F.lower("text"), r"(?:no\.?|№) ?(\d+)", 1), F.lit(""))
-    rows = lines.select("reading_key", X.first_class("text", X.SUGAR_PHRASES).alias("sugar"), X.first_class("text", X.COLOUR_PHRASES).alias("colour"), serial.alias("serial"))
-    return rows.groupBy("reading_key").agg(F.min("sugar").alias("sugar"), F.min("colour").alias("colour"), F.min("serial").alias("serial"))
+    said = {"sugar": X.first_class("text", X.SUGAR_PHRASES), "colour": X.first_class("text", X.COLOUR_PHRASES), "serial": serial}
+    rows = lines.select("reading_key", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in said.items()])).alias("x")).select("reading_key", "x.*")
+    votes = rows.groupBy("reading_key", "field", "value").agg(F.count("*").alias("n"))
+    chosen = lambda name: F.min_by(F.when(F.col("field") == name, F.col("value")), F.when((F.col("field") == name) & F.col("value").isNotNull(), F.struct(-F.col("n"), F.col("value")))).alias(name)
+    return votes.groupBy("reading_key").agg(*[chosen(n) for n in said])
 
 
 def tx38_near_words(spark, d):
@@ -184,7 +187,8 @@ SQL = {
     "so18_facts": f"""with {_FACETS_PROFILE} select slug, 'alcohol' as fact, coalesce('strength ' || printf('%.1f', abv[1]) || ' %', 'strength not given') as answer from catalog_positions union all select slug, 'sugar', coalesce('class ' || sugar_class, 'sugar not given') from catalog_positions union all
       select c.slug, 'storage', case when contains(lower(c.category), 'игрист') then 'sparkling' when c.category = 'Красное' and body >= 3.5 then 'red_full' when c.category = 'Красное' then 'red' when c.category is not null then 'light' else 'unknown' end from catalog_positions c join prof p on p.slug = c.slug""",
     "tx32_label_fields": f"""with f as (select reading_key, {_case(X.SUGAR_PHRASES)} as sugar, {_case(X.COLOUR_PHRASES)} as colour, nullif(regexp_extract(lower(text), '(?:no\\.?|№) ?([0-9]+)', 1), '') as serial from text_lines where text is not null)
-      select reading_key, min(sugar) as sugar, min(colour) as colour, min(serial) as serial from f group by 1""",
+      select reading_key, (select sugar from f g where g.reading_key = k.reading_key and sugar is not null group by sugar order by count(*) desc, sugar limit 1) as sugar, (select colour from f g where g.reading_key = k.reading_key and colour is not null group by colour order by count(*) desc, colour limit 1) as colour,
+        (select serial from f g where g.reading_key = k.reading_key and serial is not null group by serial order by count(*) desc, serial limit 1) as serial from (select distinct reading_key from f) k""",
     "tx30_routes": f"with {_ROUTED} select route, count(*) as n from r group by 1",
     "pf19_voice": f"with {_ROUTED} select route in ('dish', 'grape', 'serve', 'fact') and length(text) < 1000 as voice, count(*) as n from r group by 1",
     "tx38_near_words": f"""with w as (select doc_id, p as pos, ws[p] as w from (select doc_id, {_WORDS.format('lower(text)')} as ws from documents where text is not null), range(1, 100000) r(p) where p <= len(ws))

@@ -333,12 +333,21 @@ def tx36_photo_kind(spark, d):
     return rows.groupBy(kind.alias("kind"), F.lower(F.regexp_extract("image_path", r"\.(\w+)$", 1)).alias("suffix")).agg(F.count("*").alias("n"))
 
 
+HOUSE = "винодельня|хутор|усадьба|поместье|погреба|дом|шато|domaine|château|winery|estate"
+
+
 def tx37_house_lines(spark, d):
+    """House names in lines: what follows or precedes a word for a house, or the line after one that is only such a word."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("reading_key").orderBy("line_no", "line_id")
-    rows = table(spark, d, "text_lines").withColumn("before", F.lag("text").over(order))
-    return rows.where(F.lower("before").rlike(r"^\s*(винодельня|winery|domaine|дом|хутор)\s*$") & F.col("text").isNotNull()).select("line_id", F.trim("text").alias("house"))
+    rows = table(spark, d, "text_lines").withColumn("before", F.lag("text").over(order)).where("text is not null")
+    line = F.trim(F.regexp_replace("text", r"[«»\"“”,;|/\s]+", " "))
+    after = F.regexp_extract(line, f"(?iu)^(?:{HOUSE}) (\\S.*)$", 1)
+    ahead = F.regexp_extract(line, r"(?i)^(\S.*) (?:winery|estate)$", 1)
+    only = F.lower(F.trim(F.regexp_replace("before", r"\s+", " "))).rlike(f"^({HOUSE})$")
+    house = F.coalesce(F.nullif(after, F.lit("")), F.nullif(ahead, F.lit("")), F.when(only, F.nullif(line, F.lit(""))))
+    return rows.select("line_id", house.alias("house")).where("house is not null")
 
 
 def ma18_hashes(spark, d):
@@ -447,7 +456,8 @@ SQL = {
       + ") as classes, length(array_to_string(list_filter(s, lambda x: not regexp_matches(lower(x), '" + "|".join(f"({p})" for _, p in X.VIOLATIONS) + "')), ' '))::int as left_over from t",
     "tx29_winery": """with n as (select entry_id, norm, string_split(norm, ' ')[-1] as house from lex_entries where lex_field = 'producer' and not is_part), w as (select listing_id, trim(regexp_replace(lower(winery), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') as said from wine_cards where winery is not null),
       x as (select listing_id, (select min(entry_id) from n where n.norm = w.said) as exact, (select min(entry_id) from n where n.house = string_split(w.said, ' ')[-1]) as h from w) select listing_id, coalesce(exact, h) as entry_id, case when exact is not null then 'name' when h is not null then 'house' end as how from x""",
-    "tx37_house_lines": "select line_id, trim(text, ' ') as house from (select *, lag(text) over (partition by reading_key order by line_no, line_id) as b from text_lines) where text is not null and regexp_full_match(lower(b), '[ \\t\\n\\x0B\\f\\r]*(винодельня|winery|domaine|дом|хутор)[ \\t\\n\\x0B\\f\\r]*')",
+    "tx37_house_lines": f"""with l as (select line_id, text, trim(regexp_replace(text, '[«»"“”,;|/ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') as line, lower(trim(regexp_replace(lag(text) over (partition by reading_key order by line_no, line_id), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) as b from text_lines),
+      h as (select line_id, coalesce(nullif(regexp_extract(line, '(?i)^(?:{HOUSE}) (\\S.*)$', 1), ''), nullif(regexp_extract(line, '(?i)^(\\S.*) (?:winery|estate)$', 1), ''), case when regexp_full_match(b, '{HOUSE}') then nullif(line, '') end) as house from l where text is not null) select * from h where house is not null""",
     "ma20_strength": "with f as (select line_id, regexp_extract(text, '([0-9]{1,2}(?:[.,][0-9])?) ?% ?(?:vol|об)|(?:алк\\.?|vol) ?([0-9]{1,2}(?:[.,][0-9])?) ?%', 0) as x from text_lines), v as (select line_id, try_cast(replace(regexp_extract(x, '([0-9]{1,2}(?:[.,][0-9])?)', 1), ',', '.') as double) as abv from f) select * from v where abv between 4 and 22",
     "ag11_idf": "with n as (select count(distinct doc_id) as n from documents where text is not null), w as (select doc_id, unnest(string_split(trim(regexp_replace(lower(lang), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' ')) as word from documents where text is not null) select word, count(distinct doc_id) as df, round(ln((1 + any_value(n)) / (1 + count(distinct doc_id))::double) + 1, 4) as idf from w, n group by word",
     "ag12_word_frequency": "select word, count(distinct winery) as df from (select winery, unnest(string_split(lower(winery), ' ')) as word from catalog_positions where winery is not null) group by 1",

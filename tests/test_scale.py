@@ -226,3 +226,17 @@ def test_weighted_fuzzy_join(spark):
             if (n := plain(w, e)) <= 2 and (cost := X.weighted_edits_text(w, e, 2.0)) <= allowed(len(e)):
                 want[w, e] = (n, round(cost, 6))
     assert got == want and any(n > allowed(len(e)) for (_, e), (n, _) in want.items())
+
+
+def test_weighted_edits_of_many_pairs(spark):
+    rng = random.Random(13)
+    made = lambda: "".join(rng.choice("rnmvwcliudьыио0o1 5sшщ") for _ in range(rng.randrange(0, 9)))
+    pairs = [(made(), made()) for _ in range(600)]
+    pairs += [(x, x.replace("m", "rn").replace("0", "o")) for x, _ in pairs] + [("", ""), ("a" * 40, "a" * 39)]
+    for cutoff in (0.5, 2.0):
+        want = [X.weighted_edits_text(x, y, cutoff) for x, y in pairs]
+        got = X.weighted_edits_arrays([x for x, _ in pairs], [y for _, y in pairs], cutoff, block=100)
+        assert np.allclose(got, want)
+    rows = spark.createDataFrame([*pairs[:50], (None, "a"), ("a", None)], "a string, b string").select("a", "b", X.weighted_edits("a", "b").alias("c")).collect()
+    for r in rows:
+        assert (r.c is None) if r.a is None or r.b is None else r.c == pytest.approx(X.weighted_edits_text(r.a, r.b, 2.0))
