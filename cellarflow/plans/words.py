@@ -383,8 +383,8 @@ def tx33_name_parts(spark, d):
     name = F.regexp_replace(F.coalesce("name", F.lit("")), "[|/,«»\"]", " ")
     year = F.regexp_extract(name, r"\b((?:19|20)\d\d)\b", 1)
     volume = F.regexp_extract(F.lower(name), r"(\d+(?:[.,]\d+)? ?(?:мл|ml|cl|л|l))(?: |$)", 1)
-    rest = F.regexp_replace(F.regexp_replace(name, r"\b(?:19|20)\d\d\b", " "), r"(?i)\d+(?:[.,]\d+)? ?(?:мл|ml|cl|л|l)(?= |$)", " ")
-    rest = F.regexp_replace(rest, r"(?i)(^| )(вино|wine|красное|белое|розовое|оранжевое|red|white|rose|orange|кр\.|бел\.|роз\.|оранж\.)(?= |$)", " ")
+    rest = F.regexp_replace(F.regexp_replace(name, r"\b(?:19|20)\d\d\b", " "), r"(?iu)\d+(?:[.,]\d+)? ?(?:мл|ml|cl|л|l)(?= |$)", " ")
+    rest = F.regexp_replace(rest, r"(?iu)(^| )(вино|wine|красное|белое|розовое|оранжевое|red|white|rose|orange|кр\.|бел\.|роз\.|оранж\.)(?= |$)", " ")
     return table(spark, d, "wine_cards").select("listing_id", F.nullif(year, F.lit("")).alias("year"), F.nullif(F.replace(volume, F.lit(" "), F.lit("")), F.lit("")).alias("volume"), X.first_class("name", X.COLOUR_PHRASES).alias("colour"), X.first_class("name", X.SUGAR_PHRASES).alias("sugar"), F.trim(F.regexp_replace(rest, r"\s+", " ")).alias("rest"))
 
 
@@ -425,6 +425,14 @@ def _bounded(pattern: str) -> str:
     return "".join(out[:-1])
 
 
+def _class(rules: list[tuple[str, str]], column: str) -> str:
+    return "case " + " ".join(f"when regexp_matches(lower({column}), '{_bounded(p)}') then '{n}'" for n, p in rules) + " end"
+
+
+_GREEDY = f"""{_GRAMS}, h as (select line_id, start, start + size - 1 as e, size, gram as text, row_number() over (partition by line_id order by size desc, length(gram) desc, start, gram) as i from g where size <= 3 and gram in (select norm from lex_entries)),
+  rc(line_id, i, chosen) as (select line_id, 0::bigint, []::struct(s bigint, e bigint, t varchar)[] from (select distinct line_id from h) union all
+    select h.line_id, h.i, case when len(list_filter(rc.chosen, lambda y: y.s <= h.e and h.start <= y.e)) > 0 then rc.chosen else list_append(rc.chosen, struct_pack(s := h.start::bigint, e := h.e::bigint, t := h.text)) end from rc join h on h.line_id = rc.line_id and h.i = rc.i + 1),
+  greedy as (select line_id, c.s as start, c.e as "end", c.t as text from (select line_id, unnest(arg_max(chosen, i)) as c from rc group by 1))"""
 _SKELETON = _chain(__import__("functools").reduce(lambda s, p: f"replace({s}, '{p[0]}', '{p[1]}')", X.ROMANISED.items(), "lower(norm)"), [("[^a-z]+", ""), ("shch|sch|sh", "s"), ("zh", "z"), ("kh", "h"), ("ch", "c"), ("ts|tz", "c"), ("ck|q", "k"), ("ph", "f"), ("w", "v"), ("x", "ks"), ("[yj]", "i"), *[(f"{c}{c}+", c) for c in "abcdefghijklmnopqrstuvwxyz"]])
 _ALIKE = "[" + X._LATIN_LIKE + X._CYRILLIC_LIKE + "]"
 
@@ -438,6 +446,15 @@ SQL = {
     "tx11_skeleton": f"select entry_id, {_SKELETON} as key from lex_entries",
     "tx15_forms": f"""with w as (select distinct unnest({_WORDS.format('lower(text)')}) as w from documents where text is not null), v as (select w, length(w) as n from w where length(w) >= 4)
       select x.w as a, y.w as b from v x join v y on left(x.w, 3) = left(y.w, 3) and x.w < y.w where abs(x.n - y.n) <= 3 and left(x.w, least(5, greatest(least(x.n, y.n) - 1, 3))::int) = left(y.w, least(5, greatest(least(x.n, y.n) - 1, 3))::int)""",
+    "wn16_greedy_phrases": f"with recursive {_GREEDY} select * from greedy",
+    "wn17_clusters": f"""with recursive t as (select query_id, token_id, norm, row_number() over (partition by query_id order by token_id, norm) as i from token_spans where kind = 'word' and regexp_full_match(norm, '\\p{{L}}+') and length(norm) >= 4 and norm not in (select norm from lex_entries)),
+      r(query_id, i, token_id, norm, lead, leads) as (select query_id, 0::bigint, null::bigint, null::varchar, null::varchar, []::varchar[] from (select distinct query_id from t) union all
+        select t.query_id, t.i, t.token_id, t.norm, coalesce(list_filter(r.leads, lambda y: levenshtein({_BYTES('y')}, {_BYTES('t.norm')}) <= 1)[1], t.norm), case when len(list_filter(r.leads, lambda y: levenshtein({_BYTES('y')}, {_BYTES('t.norm')}) <= 1)) > 0 then r.leads else list_append(r.leads, t.norm) end from r join t on t.query_id = r.query_id and t.i = r.i + 1)
+      select query_id, token_id, norm, lead from r where i > 0""",
+    "tx33_name_parts": f"""with n as (select listing_id, name, regexp_replace(coalesce(name, ''), '[|/,«»"]', ' ', 'g') as n from wine_cards), y as (select *, regexp_replace(regexp_replace(n, '(^|[^\\p{{L}}\\p{{N}}_])(?:19|20)[0-9][0-9]($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\2', 'g'), '(^|[^\\p{{L}}\\p{{N}}_])(?:19|20)[0-9][0-9]($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\2', 'g') as r from n),
+      v as (select *, replace(regexp_replace(r, '(?i)[0-9]+(?:[.,][0-9]+)? ?(?:мл|ml|cl|л|l)( |$)', ' \\1', 'g'), ' ', '  ') as q from y)
+      select listing_id, nullif(regexp_extract(n, '(?:^|[^\\p{{L}}\\p{{N}}_])((?:19|20)[0-9][0-9])(?:$|[^\\p{{L}}\\p{{N}}_])', 1), '') as year, nullif(replace(regexp_extract(lower(n), '([0-9]+(?:[.,][0-9]+)? ?(?:мл|ml|cl|л|l))(?: |$)', 1), ' ', ''), '') as volume, {_class(X.COLOUR_PHRASES, 'name')} as colour, {_class(X.SUGAR_PHRASES, 'name')} as sugar,
+        trim(regexp_replace(regexp_replace(q, '(?i)(^| )(?:вино|wine|красное|белое|розовое|оранжевое|red|white|rose|orange|кр\\.|бел\\.|роз\\.|оранж\\.)( |$)', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') as rest from v""",
     "tx17_finders": f"select doc_id, {_FOUND(X.SUGAR_PHRASES)} as sugars, {_FOUND(X.COLOUR_PHRASES)} as colours from documents where text is not null",
     "tx26_lines": """with t as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') as l, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]*\\n[ \\t\\n\\x0B\\f\\r]*'), lambda s: s <> '') as k, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda s: s <> '') as w from documents where text is not null)
       select doc_id, len(list_distinct(list_transform(l, lambda s: lower(s))))::int as n_lines, len(list_filter(list_distinct(k), lambda s: len(list_filter(k, lambda x: x = s)) > 3)) > 0 or len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] and w[i] = w[i + 2] and w[i] = w[i + 3])) > 0 as looped,
@@ -512,3 +529,7 @@ SQL = {
       n as (select token_id, coalesce(l1, case when not s1 then coalesce(l2, case when not s2 then l3 end) end) as l, coalesce(r1, case when not q1 then r2 end) as r from w where kind = 'year')
       select token_id, case when l = 'not' or r = 'not' then 'not' else coalesce(l, r) end as anchor from n""",
 }
+SQL["ma21_fields"] = f"""with recursive {_GREEDY}, f as (select query_id, lex_field, canonical as value, reading_key from greedy join lex_entries e on e.norm = greedy.text and not e.is_part join text_lines using (line_id)
+    union all select query_id, 'year', vintage::varchar, reading_key from ({SQL['ma19_vintage']}) join token_spans using (token_id) union all select query_id, 'abv', abv::varchar, reading_key from ({SQL['ma20_strength']}) join text_lines using (line_id)),
+  c as (select query_id, lex_field, value, count(*) as n from f where value is not null group by 1, 2, 3), s as (select query_id, lex_field, count(distinct reading_key) as support from f group by 1, 2)
+  select s.query_id, s.lex_field, value, support from s left join (select * from c qualify row_number() over (partition by query_id, lex_field order by n desc, value) = 1) m on m.query_id is not distinct from s.query_id and m.lex_field = s.lex_field"""
