@@ -57,10 +57,10 @@ def _deal(loads: list[int], size: int, count: int) -> list[tuple[int, list[int]]
         turn = [i for i in order if (loads[i], i) < low]
         rounds = -(-(count - done) // len(turn))
         if len(turn) < len(loads):
-            far = order[len(turn)]
-            # the fewest rounds after which the next fold is lighter than the first one's next load
-            behind = loads[far] - loads[order[0]]
-            rounds = min(rounds, max(1, behind // size if (loads[far], far) < (loads[order[0]] + behind // size * size + size, order[0]) else behind // size + 1))
+            # as many rounds as end, with the last one in turn, before the next fold is lighter
+            far, last = order[len(turn)], turn[-1]
+            behind = loads[far] - loads[last]
+            rounds = min(rounds, behind // size + 1 if behind % size or last < far else behind // size)
         taken = min(count - done, rounds * len(turn))
         runs.append((done, turn))
         for k, i in enumerate(turn):

@@ -34,6 +34,22 @@ def test_folds_are_greedy(spark):
     assert E.group_folds(spark.createDataFrame([], "g string"), "g", 4).count() == 0
 
 
+def test_dealing_in_stretches():
+    for seed in range(3000):
+        rng = random.Random(seed)
+        k = rng.randint(1, 6)
+        one, dealt = [0] * k, [0] * k
+        for size in sorted(rng.sample(range(1, 30), rng.randint(1, 6)), reverse=True):
+            count, want = rng.randint(1, 40), []
+            for _ in range(count):
+                at = one.index(min(one))
+                one[at] += size
+                want.append(at)
+            runs = E._deal(dealt, size, count)
+            turns = [[r for r in runs if r[0] <= t][-1] for t in range(count)]
+            assert [turn[(t - start) % len(turn)] for t, (start, turn) in enumerate(turns)] == want and one == dealt and len(runs) <= k
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(300, 301), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in E.components(edges).collect()}
