@@ -91,3 +91,26 @@ def test_group_verdict(spark, matrix, no_matrix):
         best[r.p_partkey, r.s_nationkey] = min(at, best.get((r.p_partkey, r.s_nationkey), at))
     want = Counter(best.values())
     assert {r.best: r.n for r in P.ag45_group_verdict(spark, d).collect()} == want and len(want) == 4
+
+
+def test_dish_check(spark, tmp_path, no_matrix):
+    rng = random.Random(8)
+    parts = [(k, rng.choice(["Brand#1", "Brand#2", None]), rng.choice(["PROMO", "SMALL", None]), rng.choice([None, *range(1, 51)]), rng.choice([None, 900.1, 901.23, 1501.23, 1700.0, 2050.5])) for k in range(70)]
+    parts += [(90, "Brand#3", "SMALL", 3, 900.0), (91, "Brand#3", "PROMO", 4, None), (92, "Brand#3", "PROMO", 4, 1000.0), (93, "Brand#3", "PROMO", 4, None), (94, "Brand#3", "SMALL", 3, None)]
+    edge = [v for x in sorted({x[4] for x in parts if x[4]}) for v in around(x * 5, 1000)]
+    dishes = [(k, rng.choice([None, *range(25)]), v) for k, v in enumerate([None, -5.0, *edge, *(rng.uniform(-900, 9900) for _ in range(40))])] + [(None, 3, 5000.0), (900, 3, 9000.0), (901, 3, 9000.0)]
+    d = str(tmp_path)
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame(dishes, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
+    pairs = [(*p, *s) for p in parts for s in dishes]
+    frame = spark.createDataFrame(pairs, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double, s_suppkey long, s_nationkey int, s_acctbal double")
+    verdicts = {(r.p_partkey, r.s_suppkey): r.verdict for r in P._judged(P.R.score_rules(frame, P._rules())).select("p_partkey", "s_suppkey", "verdict").collect()}
+    gap = lambda a, b: (1, 0) if a is None or b is None else (0, abs(a - b))
+    want = set()
+    for s, *_ in dishes:
+        for a, brand, _, _, price in parts:
+            if s is not None and brand and verdicts[a, s] == "no":
+                good = sorted((gap(price, p), k) for k, b, _, _, p in parts if b == brand and verdicts[k, s] == "yes")
+                want |= {(s, a, k, i) for i, (_, k) in enumerate(good[:2], 1)}
+    got = [tuple(r) for r in P.so17_dish_check(spark, d).select("s_suppkey", "asked", "p_partkey", "place").collect()]
+    assert len(got) == len(want) and set(got) == want and {(900, 90, 92, 1), (900, 90, 91, 2), (901, 94, 91, 1), (901, 94, 92, 2)} <= want
